@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltbed.llm.decontaminate import OP6_SQL, op6_decontamination
+from siltbed.llm.packing import op10_packing
+from siltbed.llm.simhash import op5_simhash
 from siltbed.llm.substring_dedup import OP9_SQL, op9_substring_dedup
+from siltbed.llm.tokens import op4_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_ids": op4_token_ids,
+    "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
 }

@@ -89,12 +89,18 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        terms = _BYTE[self.data] * _byte_up.upto(len(self.data))
-        sums = np.cumsum(terms, dtype=np.uint64)
-        value = (sums[self.ends - 1] - sums[self.starts] + terms[self.starts]) * _byte_down.at(self.starts)
-        return mix(value + (self.ends - self.starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes that isn't empty; starts ascend."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    terms = _BYTE[data]
+    terms *= _byte_up.upto(len(data))
+    sums = np.cumsum(terms, dtype=np.uint64)
+    value = (sums[ends - 1] - sums[starts] + terms[starts]) * _byte_down.at(starts)
+    return mix(value + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
