@@ -216,7 +216,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and n + 1 bounds of a list column without nulls."""
-    bounds = column.offsets.to_numpy()
+    bounds = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
