@@ -141,7 +141,31 @@ def _rarity(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
     return out
 
 
-_OUT = "mark long, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
+def _hits(block: Block, probes: dict[int, _Probe], words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows that occur in a batch: document, first word (in the batch), and window, compared byte by byte."""
+    first = words.first
+    starts, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size, probe in probes.items():
+        at, key = probe(window_hashes(hashes, size))
+        bound, window, offset = block.uses[size]
+        many = bound[key + 1] - bound[key]
+        use = np.repeat(bound[key] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        starts.append(np.repeat(at, many) - offset[use])
+        which.append(window[use])
+    start, window = np.concatenate(starts), np.concatenate(which)
+    doc = np.searchsorted(first, start, "right") - 1
+    fits = (start >= 0) & (doc < len(first) - 1)
+    fits[fits] = start[fits] + block.size[window[fits]] <= first[doc[fits] + 1]
+    start, window, doc = start[fits], window[fits], doc[fits]
+    same = np.ones(len(start), bool)
+    for k in range(int(block.size[window].max(initial=0))):
+        more = same & (block.size[window] > k)
+        same[more] = hashes[start[more] + k] == block.hashes[block.at[window[more]] + k]
+    start, window, doc = start[same], window[same], doc[same]
+    raw = words.data.tobytes()
+    read = [tuple(raw[a:b] for a, b in zip(words.starts[s:e].tolist(), words.ends[s:e].tolist(), strict=True)) for s, e in zip(start.tolist(), (start + block.size[window]).tolist(), strict=True)]
+    exact = np.fromiter((x == block.windows[w] for x, w in zip(read, window.tolist(), strict=True)), bool, len(read))
+    return doc[exact], start[exact], window[exact]
 
 
 def _join(docs: DataFrame, block: Block | None) -> DataFrame:
@@ -154,47 +178,50 @@ def _join(docs: DataFrame, block: Block | None) -> DataFrame:
         probes = {size: _Probe(x[0]) for size, x in block.shingles.items()} if block else {}
         for batch in small_batches(batches):
             words = _words(batch.column("text"))
-            first, n = words.first, len(words.starts)
-            hashes = words.hashes() if probes else None
-            starts, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for size, probe in probes.items():
-                at, key = probe(window_hashes(hashes, size))
-                bound, window, offset = block.uses[size]
-                many = bound[key + 1] - bound[key]
-                use = np.repeat(bound[key] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
-                starts.append(np.repeat(at, many) - offset[use])
-                which.append(window[use])
-            start, window = np.concatenate(starts), np.concatenate(which)
-            length = block.size[window] if block else window
-            doc = np.searchsorted(first, start, "right") - 1
-            fits = (start >= 0) & (doc < batch.num_rows)
-            fits[fits] = start[fits] + length[fits] <= first[doc[fits] + 1]
-            start, window, length, doc = start[fits], window[fits], length[fits], doc[fits]
-            same = np.ones(len(start), bool)
-            for k in range(int(length.max(initial=0))):
-                more = same & (length > k)
-                same[more] = hashes[start[more] + k] == block.hashes[block.at[window[more]] + k]
-            start, window, length, doc = start[same], window[same], length[same], doc[same]
-            raw = words.data.tobytes()
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            for s, w, d in zip(start.tolist(), window.tolist(), doc.tolist(), strict=True):
-                e = s + len(block.windows[w])
-                if tuple(raw[a:b] for a, b in zip(words.starts[s:e].tolist(), words.ends[s:e].tolist(), strict=True)) == block.windows[w]:
-                    spans.setdefault(d, []).append((s - int(first[d]), e - int(first[d])))
+            if probes:
+                for d, s, w in zip(*(x.tolist() for x in _hits(block, probes, words, words.hashes())), strict=True):
+                    begin = s - int(words.first[d])
+                    spans.setdefault(d, []).append((begin, begin + len(block.windows[w])))
                     items.setdefault(d, set()).update(block.ids[w])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([xxhash.xxh64_intdigest(x or "") >> 1 for x in batch.column("text").to_pylist()], pa.int64()),
-                    pa.array(np.diff(first), pa.int64()),
+                    pa.array(words.counts(), pa.int64()),
                     pa.array([_union(spans.get(d, [])) for d in range(batch.num_rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(items.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string())),
                 ],
                 ["doc_id", "mark", "n_words", "hits", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_OUT}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark long, n_words long, hits array<struct<start: long, end: long>>, items array<string>")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs, all columns, without the rows whose text holds a window; each block of the benchmark filters what the last one left."""
+
+    def without(rows: DataFrame, block: Block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            probes = {size: _Probe(x[0]) for size, x in block.shingles.items()}
+            for batch in small_batches(batches):
+                words = _words(batch.column("text"))
+                clean = np.ones(batch.num_rows, bool)
+                clean[_hits(block, probes, words, words.hashes())[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for block in _blocks(benchmark, window, shingle, block_windows):
+        if block.windows:
+            block.keep_rarest(_rarity(docs, block))
+            block.pack()
+            docs = without(docs, block)
+    return docs
 
 
 def _union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:

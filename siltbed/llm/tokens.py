@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.shared import new_folder, shares, text_bytes
-from siltbed.llm.words import small_batches, span_hashes, utf8
+from siltbed.llm.words import Numbers, small_batches, span_hashes, utf8
 
 #: Of the memo of a worker: slots as a power of two, and the most pieces, after which it starts anew.
 _MEMO_BITS, _MEMO_PIECES = 22, 2_000_000
@@ -52,42 +52,6 @@ LAYOUT = {
 }
 
 
-class _Numbers:
-    """An open-addressing table from 64-bit hashes to 0, 1, 2, ... in the order they came."""
-
-    def __init__(self, bits: int) -> None:
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-        self.low, self.n = np.uint64((1 << bits) - 1), 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each hash, -1 for one that isn't there."""
-        slot = (hashes & self.low).astype(np.int64)
-        key = self.keys[slot]
-        out = np.where(key == hashes, self.values[slot], np.int32(-1))
-        rest = np.flatnonzero((key != hashes) & (key != 0))
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & int(self.low)
-            key = self.keys[slot[rest]]
-            same = key == hashes[rest]
-            out[rest[same]] = self.values[slot[rest[same]]]
-            rest = rest[~same & (key != 0)]
-        return out
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Distinct hashes that aren't there yet."""
-        slot = (hashes & self.low).astype(np.int64)
-        rest = np.arange(len(hashes))
-        while len(rest):
-            at = slot[rest]
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[rest[free]]
-            placed = free & (self.keys[at] == hashes[rest])
-            self.values[at[placed]] = self.n + rest[placed]
-            rest = rest[~placed]
-            slot[rest] = (slot[rest] + 1) & int(self.low)
-        self.n += len(hashes)
-
-
 class MemoTokenizer:
     """encode(): ids of all texts of a batch and n + 1 bounds. Pieces are told apart by 64-bit hashes."""
 
@@ -109,7 +73,7 @@ class MemoTokenizer:
         return cls._made[key]
 
     def _clear(self) -> None:
-        self.known = _Numbers(_MEMO_BITS)
+        self.known = Numbers(_MEMO_BITS)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 18, np.int32), 0
 
