@@ -1,9 +1,441 @@
-"""All registered queries of the key-value engine."""
+"""The registered queries of the key-value engine, each with its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from siltbed.functions.scalar import LOG_RECORD, LOG_RECORD_COMPACT, RUN_RECORD, RUN_RECORD_COMPACT, rank_percentiles, record_size, varint_size
+from siltbed.operators import compact, index, reads, resolve, stats
+from siltbed.plans.fixtures import OPS_SQL, count, operations, runs, scratch
+from siltbed.sources import log
+from siltbed.sources.runs import RunStore
+from siltbed.streaming.flush import latest_stream, log_stream, streamed_runs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = f"with {OPS_SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"with {OPS_SQL.strip()}\n{sql}"
+        return f
+
+    return keep
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.entries(operations(spark, sf_dir))
+
+
+FIRST, LAST = "u00003", "u00011:k99"
+
+
+@_query("q01_operation_log", "select seq, key, op, value from ops")
+def q01(spark, sf_dir):
+    return operations(spark, sf_dir).select("seq", "key", "op", "value")
+
+
+@_query("q02_replay_latest", "select key, value, tombstone, seq from last")
+def q02(spark, sf_dir):
+    return resolve.latest(_entries(spark, sf_dir))
+
+
+@_query("q03_replay_after_checkpoint", "select * from entry, total where seq > n // 2 qualify row_number() over (partition by key order by seq desc) = 1".replace("*", "key, value, tombstone, seq"))
+def q03(spark, sf_dir):
+    half = count(spark, sf_dir) // 2
+    return resolve.latest(_entries(spark, sf_dir).where(F.col("seq") > half))
+
+
+@_query(
+    "q04_get",
+    """, probe as (select min(key) as key from live union all select min(key) from last where tombstone union all select 'u99999:k00')
+select probe.key, live.key is not null as found, live.value from probe left join live on probe.key = live.key""",
+)
+def q04(spark, sf_dir):
+    versions = _entries(spark, sf_dir)
+    first = resolve.latest(versions).groupBy("tombstone").agg(F.min("key").alias("key")).collect()  # two rows
+    probes = [r.key for r in first] + ["u99999:k00"]
+    out = None
+    for key in probes:
+        one = spark.createDataFrame([(key,)], "key string").join(reads.get(versions, key), "key", "left").select("key", F.col("seq").isNotNull().alias("found"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PROBE_SQL = """, probe as (select distinct key from ops where seq % 7 = 0 union select 'x' || key from ops where seq % 13 = 0)
+"""
+
+
+def _probes(spark, sf_dir):
+    log = operations(spark, sf_dir)
+    return log.where("seq % 7 = 0").select("key").union(log.where("seq % 13 = 0").select(F.concat(F.lit("x"), "key").alias("key"))).distinct()
+
+
+@_query("q05_batch_get", _PROBE_SQL + "select probe.key, live.key is not null as found, live.value from probe left join live on probe.key = live.key")
+def q05(spark, sf_dir):
+    return reads.get_many(_entries(spark, sf_dir), _probes(spark, sf_dir))
+
+
+@_query(
+    "q06_absent_keys",
+    _PROBE_SQL + "select count(*) as n_probes, count(*) filter (where key not in (select key from ops)) as n_absent, 100.0 * count(*) filter (where key not in (select key from ops)) / count(*) as pct_rejected from probe".replace("100.0", "cast(100 as double)"),
+)
+def q06(spark, sf_dir):
+    probes = _probes(spark, sf_dir)
+    absent = reads.absent(_entries(spark, sf_dir), probes).agg(F.count("*").alias("n_absent"))
+    both = probes.agg(F.count("*").alias("n_probes")).join(F.broadcast(absent))
+    return both.select("n_probes", "n_absent", (F.lit(100.0) * F.col("n_absent") / F.col("n_probes")).alias("pct_rejected"))
+
+
+@_query("q07_range_scan", f"select key, value, seq from live where key between '{FIRST}' and '{LAST}'")
+def q07(spark, sf_dir):
+    return reads.scan(_entries(spark, sf_dir), FIRST, LAST)
+
+
+@_query("q08_scan_limit", f"select key, value, seq from live where key >= '{FIRST}' and key < 'u9' order by key limit 1000")
+def q08(spark, sf_dir):
+    return reads.scan(_entries(spark, sf_dir), FIRST, "u9", end_exclusive=True, limit=1000)
+
+
+@_query("q09_latest_by_rank", "select key, value, tombstone, seq, run_id, level from run qualify row_number() over (partition by key order by seq desc, run_id desc) = 1")
+def q09(spark, sf_dir):
+    return resolve.latest(runs(spark, sf_dir), order=("seq", "run_id"))
+
+
+@_query("q10_snapshot", "select key, value, tombstone, seq from last")
+def q10(spark, sf_dir):
+    return resolve.snapshot(_entries(spark, sf_dir))
+
+
+@_query("q11_run_entries", "select key, value, tombstone, seq, run_id, level from run")
+def q11(spark, sf_dir):
+    return runs(spark, sf_dir)
+
+
+@_query("q11b_run_scan", f"select key, value, tombstone, seq from run where run_id = 5 and key between '{FIRST}' and '{LAST}'")
+def q11b(spark, sf_dir):
+    one = runs(spark, sf_dir).where("run_id = 5")
+    return reads.between(one, FIRST, LAST).select("key", "value", "tombstone", "seq").orderBy("key")
+
+
+@_query("q12_compact_upper", "select key, value, tombstone, seq from run where level in (0, 1) qualify row_number() over (partition by key order by seq desc) = 1")
+def q12(spark, sf_dir):
+    return compact.merged(runs(spark, sf_dir), [0, 1], bottom=False)
+
+
+@_query("q12b_compact_bottom", "select * from (select key, value, tombstone, seq from run where level in (1, 2) qualify row_number() over (partition by key order by seq desc) = 1) where not tombstone")
+def q12b(spark, sf_dir):
+    return compact.merged(runs(spark, sf_dir), [1, 2], bottom=True)
+
+
+@_query(
+    "q12c_state_after_compaction",
+    "select key, value, seq from live",
+)
+def q12c(spark, sf_dir):
+    """The live state over levels 0 and 1 compacted and level 2 as it was: what it was before."""
+    all_runs = runs(spark, sf_dir)
+    upper = compact.merged(all_runs, [0, 1], bottom=False)
+    return resolve.live(resolve.merge([upper, all_runs.where("level = 2").select("key", "value", "tombstone", "seq")]))
+
+
+_BYTES = "cast(strlen(key) + coalesce(strlen(cast(value as varchar)), 0) as bigint)"
+
+
+def _sized_runs(spark, sf_dir):
+    """Runs with the value as a whole number's digits: the text of a double differs between engines."""
+    return runs(spark, sf_dir).withColumn("value", F.floor(F.col("value") * 100).cast("long").cast("string"))
+
+
+_SIZED = """, sized as (select key, cast(cast(floor(value * 100) as bigint) as varchar) as value, tombstone, seq, run_id, level from run)
+"""
+
+
+@_query(
+    "q13_level_state",
+    _SIZED + f"""select level, count(distinct run_id) as files, cast(sum({_BYTES} + {RUN_RECORD}) as bigint) as bytes,
+  case level when 0 then count(distinct run_id) >= 4 when 1 then sum({_BYTES} + {RUN_RECORD}) > 10485760 else false end as due from sized group by level""",
+)
+def q13(spark, sf_dir):
+    return compact.level_state(_sized_runs(spark, sf_dir))
+
+
+@_query("q13b_read_order", "select distinct level, run_id from run")
+def q13b(spark, sf_dir):
+    return compact.read_order(runs(spark, sf_dir))
+
+
+@_query(
+    "q14_run_metadata",
+    _SIZED + f"""select run_id, level, count(*) as num_entries, count(*) filter (where tombstone) as num_tombstones, min(key) as smallest, max(key) as largest, min(seq) as min_seq, max(seq) as max_seq,
+  cast(sum({_BYTES} + {RUN_RECORD}) as bigint) as file_size from sized group by run_id, level""",
+)
+def q14(spark, sf_dir):
+    return index.run_metadata(_sized_runs(spark, sf_dir))
+
+
+@_query(
+    "q15_candidate_runs",
+    _PROBE_SQL + """, meta as (select run_id, level, min(key) as lo, max(key) as hi from run group by run_id, level)
+select probe.key, run_id, level from probe join meta on probe.key between lo and hi""",
+)
+def q15(spark, sf_dir):
+    return index.candidate_runs(index.run_bounds(runs(spark, sf_dir)), _probes(spark, sf_dir))
+
+
+@_query(
+    "q16_answering_run",
+    """, meta as (select run_id, min(key) as lo, max(key) as hi from run group by run_id)
+, answer as (select * from run qualify row_number() over (partition by key order by seq desc, run_id desc) = 1)
+select a.key, a.run_id, a.level, a.tombstone as deleted, count(*) as runs_probed from answer a join meta m on m.run_id >= a.run_id and a.key between lo and hi group by all""",
+)
+def q16(spark, sf_dir):
+    return index.answering_run(runs(spark, sf_dir))
+
+
+_INDEX = _SIZED + f""", placed as (
+  select run_id, key, row_number() over w as i, cast(coalesce(sum({_BYTES} + {RUN_RECORD}) over (partition by run_id order by key rows between unbounded preceding and 1 preceding), 0) + 8 as bigint) as "offset"
+  from sized window w as (partition by run_id order by key)
+), idx as (select run_id, key, "offset" from placed where (i - 1) % 16 = 0)
+"""
+
+
+@_query("q17_sparse_index", _INDEX + 'select run_id, key, "offset" from idx')
+def q17(spark, sf_dir):
+    return index.sparse_index(_sized_runs(spark, sf_dir))
+
+
+@_query(
+    "q18_index_seek",
+    _INDEX + """, want as (select distinct run_id, key from run where seq % 5 = 0 union select run_id, 'a' from run)
+select want.run_id, want.key, coalesce(max_by(idx."offset", idx.key), -1) as "offset" from want left join idx on want.run_id = idx.run_id and idx.key <= want.key group by want.run_id, want.key""",
+)
+def q18(spark, sf_dir):
+    r = _sized_runs(spark, sf_dir)
+    probes = r.where("seq % 5 = 0").select("run_id", "key").union(r.select("run_id", F.lit("a").alias("key")).distinct())
+    return index.seek(index.sparse_index(r), probes)
+
+
+def _requests(spark, sf_dir):
+    """The log as engine operations: purchases count as reads, the newest tenth is still in memory."""
+    n = count(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "purchase", "GET").when(F.col("event_type") == "error", "DELETE").otherwise("PUT")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").join(operations(spark, sf_dir).select("seq", "key"), F.col("event_id") == F.col("seq"))
+    return ev.select(
+        kind.alias("kind"),
+        "key",
+        F.when(kind == "PUT", F.floor(F.col("value") * 100).cast("long").cast("string")).alias("value"),
+        F.when(F.col("user_id") % 3 == 0, "memory").when(F.col("user_id") % 3 == 1, "run").alias("tier"),
+        (F.col("user_id") % 4).alias("rejected"),
+        (F.col("seq") >= n - n // 10).alias("in_memory"),
+    )
+
+
+_REQUESTS = """, req as (
+  select case event_type when 'purchase' then 'GET' when 'error' then 'DELETE' else 'PUT' end as kind, o.key,
+    case when event_type not in ('purchase', 'error') then cast(cast(floor(e.value * 100) as bigint) as varchar) end as value,
+    case user_id % 3 when 0 then 'memory' when 1 then 'run' end as tier, user_id % 4 as rejected, o.seq >= n - n // 10 as in_memory
+  from events e join ops o on e.event_id = o.seq, total
+), size as (select *, strlen(key) + coalesce(strlen(value), 0) as b from req)
+, counters as (
+  select unnest([
+    struct_pack(name := 'writes', value := cast(count(*) filter (where kind = 'PUT') as bigint)),
+    struct_pack(name := 'reads', value := cast(count(*) filter (where kind = 'GET') as bigint)),
+    struct_pack(name := 'deletes', value := cast(count(*) filter (where kind = 'DELETE') as bigint)),
+    struct_pack(name := 'mem_hits', value := cast(count(*) filter (where kind = 'GET' and tier = 'memory') as bigint)),
+    struct_pack(name := 'sst_hits', value := cast(count(*) filter (where kind = 'GET' and tier = 'run') as bigint)),
+    struct_pack(name := 'bloom_misses', value := cast(coalesce(sum(rejected) filter (where kind = 'GET'), 0) as bigint)),
+    struct_pack(name := 'bytes_written', value := cast(coalesce(sum(b) filter (where kind = 'PUT'), 0) as bigint)),
+    struct_pack(name := 'memtable_size', value := cast(coalesce(sum(b) filter (where in_memory and kind <> 'GET'), 0) as bigint)),
+    struct_pack(name := 'flush_count', value := cast(9 as bigint)),
+    struct_pack(name := 'bytes_compacted', value := cast(0 as bigint)),
+    struct_pack(name := 'sstable_count', value := cast(9 as bigint))
+  ]) as c from size
+), engine as (select c.name as name, c.value as value from counters)
+"""
+
+
+@_query("q19_engine_stats", _REQUESTS + "select name, value from engine")
+def q19(spark, sf_dir):
+    return stats.engine_stats(_requests(spark, sf_dir), sstable_count=9, flush_count=9)
+
+
+@_query(
+    "q19b_server_stats",
+    _REQUESTS + """, call as (select user_id, event_type, value, props from events)
+, server as (select unnest([
+    struct_pack(name := 'total_connections', value := cast(count(distinct user_id) as bigint)),
+    struct_pack(name := 'active_connections', value := cast(count(distinct user_id) filter (where event_type = 'view') as bigint)),
+    struct_pack(name := 'total_requests', value := cast(count(*) as bigint)),
+    struct_pack(name := 'errors', value := cast(count(*) filter (where event_type = 'error') as bigint)),
+    struct_pack(name := 'bytes_read', value := cast(coalesce(sum(strlen(props)), 0) as bigint)),
+    struct_pack(name := 'bytes_written', value := cast(coalesce(sum(strlen(event_type)), 0) as bigint))
+  ]) as c from call)
+select c.name as name, c.value as value from server union all select 'engine_' || name, value from engine""",
+)
+def q19b(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    calls = ev.select(F.col("user_id").alias("connection"), (F.col("event_type") == "view").alias("open"), (F.col("event_type") != "error").alias("ok"), F.octet_length("props").alias("bytes_in"), F.octet_length("event_type").alias("bytes_out"))
+    return stats.server_stats(calls, q19(spark, sf_dir))
+
+
+@_query("q19c_save_rate", "select user_id, count(*) filter (where event_type = 'view') as saved, count(*) filter (where event_type = 'click') as read,\n  case when count(*) filter (where event_type in ('view', 'click')) = 0 then 0 else cast(count(*) filter (where event_type = 'view') as double) / count(*) filter (where event_type in ('view', 'click')) end as rate from events group by user_id")
+def q19c(spark, sf_dir):
+    one = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("saved"), F.count_if(F.col("event_type") == "click").alias("read"))
+    return one.withColumn("rate", stats.save_rate(F.col("saved"), F.col("read")))
+
+
+@_query(
+    "q20_ticks",
+    """, tick as (select date_trunc('hour', ts) as tick, count(*) filter (where op = 'PUT') as puts, count(*) filter (where op = 'DELETE') as deletes from ops group by 1)
+select epoch_us(tick) as tick, puts, deletes, cast(sum(puts) over (order by tick) as bigint) as total_puts, cast(sum(deletes) over (order by tick) as bigint) as total_deletes,
+  puts + deletes - coalesce(lag(puts + deletes) over (order by tick), 0) as change from tick""",
+)
+def q20(spark, sf_dir):
+    return stats.ticks(operations(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("tick", F.unix_micros("tick"))
+
+
+@_query("q20b_throughput", "select count(*) as ops, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds, count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) as ops_per_second from ops")
+def q20b(spark, sf_dir):
+    return stats.throughput(operations(spark, sf_dir))
+
+
+_SHARES = [("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999), ("max", 1.0)]
+
+
+@_query(
+    "q21_rank_percentiles",
+    f""", lat as (select cast(floor(value * 1000) as bigint) as v, row_number() over (order by value) - 1 as r, count(*) over () as n from events where value is not null)
+, share as (select unnest({[x for x, _ in _SHARES]!r}) as name, unnest({[x for _, x in _SHARES]!r}) as p)
+select name, v as value from share, lat where r = least(cast(floor(n * cast(p as double)) as bigint), n - 1)""",
+)
+def q21(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("value") * 1000).cast("long").alias("latency"))
+    return rank_percentiles(ev, "latency", _SHARES)
+
+
+@_query("q22_valid_prefix", "select seq, op, key from ops, total where seq < n * 3 // 5")
+def q22(spark, sf_dir):
+    """A log in which one record in the middle and one near the end lost a byte."""
+    n = count(spark, sf_dir)
+    records = log.with_crc(operations(spark, sf_dir).withColumn("value", F.col("value").cast("string")))
+    hurt = F.col("seq").isin(n * 3 // 5, n - 2)
+    torn = records.withColumn("value", F.when(hurt, F.lit(b"x")).otherwise(F.col("value")))
+    return log.replay(torn).select("seq", "op", F.col("key").cast("string").alias("key"))
+
+
+@_query(
+    "q23_recovery",
+    """, got as (select key, case when seq % 77 = 0 then value + 1 else value end as value from live where seq % 50 <> 0 union all select 'zz', 0)
+select count(*) filter (where l.key is not null and g.key is not null and l.value is not distinct from g.value) as recovered, count(*) filter (where g.key is null) as missing,
+  count(*) filter (where l.key is not null and g.key is not null and l.value is distinct from g.value) as wrong, count(*) filter (where l.key is null) as unexpected
+from live l full join got g on l.key = g.key""",
+)
+def q23(spark, sf_dir):
+    live = resolve.live(resolve.latest(_entries(spark, sf_dir)))
+    got = live.where("seq % 50 <> 0").select("key", F.when(F.col("seq") % 77 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    return resolve.recovery(live.select("key", "value"), got.unionByName(spark.createDataFrame([("zz", 0.0)], "key string, value double")))
+
+
+@_query(
+    "q24_snapshot_difference",
+    """, early as (select * from (select * from entry, total where seq <= n // 2 qualify row_number() over (partition by key order by seq desc) = 1) where not tombstone)
+select coalesce(a.key, b.key) as key, case when a.key is null then 'added' when b.key is null then 'removed' else 'changed' end as change, a.value as old_value, b.value as new_value
+from early a full join live b on a.key = b.key where a.seq is distinct from b.seq""",
+)
+def q24(spark, sf_dir):
+    versions = _entries(spark, sf_dir)
+    early = resolve.live(resolve.latest(versions.where(F.col("seq") <= count(spark, sf_dir) // 2)))
+    return resolve.difference(early, resolve.live(resolve.latest(versions)))
+
+
+@_query(
+    "q25_record_sizes",
+    f""", r as (select strlen(key) as k, strlen(coalesce(cast(cast(floor(value * 100) as bigint) as varchar), '')) as v, seq, op from ops)
+select op, cast(sum(k + v + {LOG_RECORD}) as bigint) as log_bytes, cast(sum(k + v + {LOG_RECORD_COMPACT}) as bigint) as compact_log_bytes, cast(sum(k + v + {RUN_RECORD}) as bigint) as run_bytes,
+  cast(sum(k + v + {RUN_RECORD_COMPACT}) as bigint) as compact_run_bytes, cast(sum(case when seq < 128 then 1 when seq < 16384 then 2 when seq < 2097152 then 3 else 4 end) as bigint) as varint_bytes from r group by op""",
+)
+def q25(spark, sf_dir):
+    r = operations(spark, sf_dir).select("op", "seq", "key", F.floor(F.col("value") * 100).cast("long").cast("string").alias("value"))
+    size = lambda n, name: F.sum(record_size(F.col("key"), F.col("value"), n)).alias(name)
+    return r.groupBy("op").agg(size(LOG_RECORD, "log_bytes"), size(LOG_RECORD_COMPACT, "compact_log_bytes"), size(RUN_RECORD, "run_bytes"), size(RUN_RECORD_COMPACT, "compact_run_bytes"), F.sum(varint_size(F.col("seq"))).cast("long").alias("varint_bytes"))
+
+
+@_query(
+    "q26_bloom",
+    "select run_id, count(*) as n_keys, count(*) as n_found, true as rejects_90_percent from run group by run_id",
+)
+def q26(spark, sf_dir):
+    """Of each run's filter: all its keys are found, and of keys that no run has at least nine in ten are rejected."""
+    r = runs(spark, sf_dir)
+    bloom = index.bloom_build(r)
+    own = index.bloom_probe(bloom, r).join(r.select("run_id", "key"), ["run_id", "key"]).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.count_if("maybe").alias("n_found"))
+    other = r.select(F.concat(F.lit("absent:"), "key").alias("key"))
+    spared = index.bloom_probe(bloom, other).groupBy("run_id").agg((F.count_if(~F.col("maybe")) >= 0.9 * F.count("*")).alias("rejects_90_percent"))
+    return own.join(spared, "run_id")
+
+
+@_query("q27_stream_flush", "select key, value, seq from live")
+def q27(spark, sf_dir):
+    """The log as a stream of five files, each flushed to a run; the live state over the runs."""
+    folder = scratch(spark, "stream")
+    records = operations(spark, sf_dir).select("op", "seq", "key", "value")
+    records.repartitionByRange(5, "seq").write.parquet(f"{folder}/log")
+    made = streamed_runs(spark, f"{folder}/log", "op string, seq long, key string, value double", folder)
+    return resolve.live(resolve.latest(made.select("key", "value", "tombstone", "seq")))
+
+
+@_query("q28_stream_state", "select key, value, tombstone, seq from last")
+def q28(spark, sf_dir):
+    """The latest version of each key as streaming state, written once the stream has caught up."""
+    folder = scratch(spark, "state")
+    operations(spark, sf_dir).select("op", "seq", "key", "value").repartitionByRange(3, "seq").write.parquet(f"{folder}/log")
+    state = latest_stream(log_stream(spark, f"{folder}/log", "op string, seq long, key string, value double"))
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/state")
+    state.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/state").select("key", "value", "tombstone", "seq")
+
+
+@_query("q29_run_files", "select key, cast(cast(floor(value * 100) as bigint) as varchar) as value, tombstone, seq, run_id, level from run where level = 1")
+def q29(spark, sf_dir):
+    """All runs written as sorted files with Bloom filters, and the runs of level 1 read back through the manifest."""
+    store = RunStore(spark, scratch(spark, "runs"))
+    made = _sized_runs(spark, sf_dir)
+    for r in made.select("level", "run_id").distinct().collect():  # ten
+        one = made.where((F.col("run_id") == r.run_id)).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "tombstone", "seq")
+        store.write(one, r.level, r.run_id, 10_000)
+        store.manifest.runs.append([r.level, r.run_id])
+    store.save()
+    back = RunStore(spark, store.folder).read(levels=[1])
+    return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tombstone", "seq", "run_id", "level")
+
+
+@_query(
+    "q30_line_items_latest",
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice from lineitem
+qualify row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc) = 1""",
+)
+def q30(spark, sf_dir):
+    """Overwrites by volume: the latest line of each order and line number, every column deciding ties."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    order = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return resolve.latest(items, keys=("l_orderkey", "l_linenumber"), order=order).drop("l_shipdate")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live state by key: the log resolved and scanned from end to end."""
+    return reads.scan(_entries(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
