@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from siltbed.llm.shared import new_folder, shares, text_bytes
 from siltbed.llm.words import Numbers, small_batches, span_hashes, utf8
 
+#: Pieces that are encoded at once; the library's results are much larger than their ids.
+_AT_ONCE = 5_000
 #: Of the memo of a worker: slots as a power of two, and the most pieces, after which it starts anew.
-_MEMO_BITS, _MEMO_PIECES = 22, 2_000_000
+_MEMO_BITS, _MEMO_PIECES = 21, 1_200_000
 #: Written by the shard writer; a smaller row group or page makes selective reads cheaper and full reads dearer.
 LAYOUT = {
     "compression": "zstd",
@@ -78,7 +80,7 @@ class MemoTokenizer:
         self.ids, self.n_ids = np.zeros(1 << 18, np.int32), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [x.ids for a in range(0, len(pieces), _AT_ONCE) for x in self.tokenizer.encode_batch_fast(pieces[a : a + _AT_ONCE], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         n, m = self.known.n, len(found)
@@ -147,7 +149,7 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, place = MemoTokenizer.of(shared.value), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=2 << 20):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end_id)
             size = np.diff(bounds)
             yield pa.RecordBatch.from_arrays(
