@@ -10,8 +10,8 @@ global offsets. So one pass encodes, and no second pass over the tokens is neede
 How it scales: one range shuffle of the texts by doc_id, then everything streams. The manifest has a row for each shard
 (an output partition), and only that is ever gathered or broadcast.
 
-Encoding is the tokenizers library's, with a memo: texts are cut before white space that follows a character that can't
-join it, each distinct piece is encoded once, and the ids are put together by array lookups. Neither kind of vocabulary
+Encoding is the tokenizers library's, with a memo (a lone word goes to its model directly): texts are cut before white space that follows a character that can't
+join it and before marks that follow a letter, each distinct piece is encoded once, and the ids are put together by array lookups. Neither kind of vocabulary
 used here can make a token across such a cut; tests compare with whole-text encoding.
 
 Cases: a null text is empty, and gives the end id alone. Rows that share a doc_id stay separate rows, in the order of their
@@ -22,6 +22,7 @@ are ignored. An empty table gives empty shards and no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -54,6 +55,19 @@ LAYOUT = {
 }
 
 
+_ASCII_LETTERS = np.zeros(256, bool)
+_ASCII_LETTERS[65:91] = _ASCII_LETTERS[97:123] = True
+#: Byte-level vocabularies write each byte as a character: visible ones of Latin-1 as themselves, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+#: Words that tell how a vocabulary treats case, spaces and letters beyond ASCII.
+_SAMPLES = [" the", "The", " Straße", "École", " año", "ÑANDÚ", " a", "Z", " íntegramente", "THENCE", " überGang", "ÿ", " Àà", "xyzzy"]
+_MARKS = np.zeros(256, bool)
+_MARKS[0x21:0x7F] = True
+_MARKS[48:58] = False
+_MARKS &= ~_ASCII_LETTERS
+
+
 class MemoTokenizer:
     """encode(): ids of all texts of a batch and n + 1 bounds. Pieces are told apart by 64-bit hashes."""
 
@@ -63,6 +77,13 @@ class MemoTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # Marks that an added token has may stand inside it, so no text is cut there.
+        added = "".join(x["content"] for x in json.loads(definition).get("added_tokens") or []).encode()
+        self.cutters = _MARKS.copy()
+        self.cutters[[0x20, 0x0A]] = True
+        self.cutters[list(added)] = False
+        self.model = self.tokenizer.model
+        self.direct = self._find_direct()
         self._clear()
 
     @classmethod
@@ -79,8 +100,36 @@ class MemoTokenizer:
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = [x.ids for a in range(0, len(pieces), _AT_ONCE) for x in self.tokenizer.encode_batch_fast(pieces[a : a + _AT_ONCE], add_special_tokens=False)]
+    def _find_direct(self) -> tuple[bool, bool] | None:
+        """Whether a piece of letters goes to the model with its leading space, and in lower case, if that gives what encode gives."""
+        want = [x.ids for x in self.tokenizer.encode_batch(_SAMPLES, add_special_tokens=False)]
+        for space, lower in ((True, False), (False, True), (True, True), (False, False)):
+            if [self._direct(x, space, lower) for x in _SAMPLES] == want:
+                return space, lower
+        return None
+
+    def _direct(self, piece: str, space: bool, lower: bool) -> list[int]:
+        """One word of letters, as the model sees it: its UTF-8 bytes, each as the character that stands for it."""
+        piece = piece.lower() if lower else piece
+        piece = piece if space else piece.lstrip(" ")
+        return [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+    def _encoded(self, pieces: list[str], words: np.ndarray) -> list[list[int]]:
+        """Ids of pieces; `words` marks those of one optional space and letters, which are one unit of the model each."""
+        if self.direct is None:
+            words = np.zeros(len(pieces), bool)
+        out: list[list[int]] = [[]] * len(pieces)
+        for i in np.flatnonzero(words).tolist():
+            out[i] = self._direct(pieces[i], *self.direct)
+        rest = np.flatnonzero(~words)
+        for a in range(0, len(rest), _AT_ONCE):
+            some = rest[a : a + _AT_ONCE].tolist()
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = x.ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str], words: np.ndarray) -> None:
+        found = self._encoded(pieces, words)
         size = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         n, m = self.known.n, len(found)
@@ -94,16 +143,17 @@ class MemoTokenizer:
         self.n_ids += len(flat)
         self.known.add(hashes)
 
-    @staticmethod
-    def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Ends of documents, and each space or newline after visible ASCII or a letter from U+00C0 to U+00FF."""
-        blank = np.flatnonzero((data == 0x20) | (data == 0x0A))
-        blank = blank[blank > 1]
-        before = data[blank - 1]
-        plain = (before > 0x20) & (before < 0x7F) | (before >= 0x80) & (data[blank - 2] == 0xC3)
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ends of documents; each space or newline after visible ASCII or a letter from U+00C0 to U+00FF; each mark after a letter."""
         edge = np.zeros(len(data) + 1, bool)
+        at = np.flatnonzero(self.cutters[data])
+        at = at[at > 1]
+        here, before = data[at], data[at - 1]
+        latin = (before >= 0x80) & (data[at - 2] == 0xC3)
+        after_letter = _ASCII_LETTERS[before] | latin & (before != 0x97) & (before != 0xB7)
+        after_visible = (before > 0x20) & (before < 0x7F) | latin
+        edge[at[np.where((here == 0x20) | (here == 0x0A), after_visible, after_letter)]] = True
         edge[offsets] = True
-        edge[blank[plain]] = True
         return np.flatnonzero(edge)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +171,13 @@ class MemoTokenizer:
                 return self.encode(column)
             distinct, at = np.unique(hashes[new], return_index=True)
             raw, at = data.tobytes(), new[at]
-            self._learn(distinct, [raw[a:b].decode() for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True)])
+            start, end = cuts[at], cuts[at + 1]
+            letter = _ASCII_LETTERS[data] | (data == 0xC3)
+            letter[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            other = np.concatenate([[0], np.cumsum(~letter, dtype=np.int32)])
+            begin = start + (data[start] == 0x20)
+            words = (other[end] == other[begin]) & (end > begin)
+            self._learn(distinct, [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], words)
             piece[new] = self.known.find(hashes[new])
         size = self.size[piece]
         ends = np.cumsum(size, dtype=np.int64)
