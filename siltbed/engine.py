@@ -126,6 +126,10 @@ class Store:
             self.compact(level)
         return due
 
+    def rotate_log(self) -> int:
+        """Removes log files that runs have taken over; the count of files."""
+        return log.rotate(self.spark, self.log_path, self.store.manifest.checkpoint)
+
     def stats(self) -> dict[str, int]:
         m = self.store.manifest
         size = self.pending().agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.scalar import LOG_RECORD, LOG_RECORD_COMPACT, RUN_RECORD, RUN_RECORD_COMPACT, rank_percentiles, record_size, varint_size
 from siltbed.operators import compact, index, reads, resolve, stats
+from siltbed.plans import load
 from siltbed.plans.fixtures import OPS_SQL, count, operations, runs, scratch
 from siltbed.sources import log
 from siltbed.sources.runs import RunStore
@@ -428,6 +429,42 @@ def q30(spark, sf_dir):
     return resolve.latest(items, keys=("l_orderkey", "l_linenumber"), order=order).drop("l_shipdate")
 
 
+@_query("q04b_raw_get", """select * from last where key = (select min(key) from last where tombstone)""")
+def q04b(spark, sf_dir):
+    """The raw lookup finds a tombstone."""
+    versions = _entries(spark, sf_dir)
+    key = resolve.latest(versions).where("tombstone").agg(F.min("key")).first()[0]
+    return reads.raw_get(versions, key)
+
+
+@_query(
+    "q10b_memory_size",
+    """, tail as (select key, value, op from ops, total where seq >= n - n // 10 qualify row_number() over (partition by key order by seq desc) = 1)
+select count(*) as n_entries, count(*) filter (where op = 'DELETE') as n_tombstones, cast(sum(strlen(key) + case when value is null then 0 else 8 end) as bigint) as n_bytes from tail""",
+)
+def q10b(spark, sf_dir):
+    """What is not flushed yet: entries with tombstones, and bytes of keys and values."""
+    n = count(spark, sf_dir)
+    tail = resolve.latest(_entries(spark, sf_dir).where(F.col("seq") >= n - n // 10))
+    size = F.octet_length("key") + F.when(F.col("value").isNull(), 0).otherwise(8)
+    return tail.agg(F.count("*").alias("n_entries"), F.count_if("tombstone").alias("n_tombstones"), F.sum(size).alias("n_bytes"))
+
+
+_LOAD = """, load as (
+  select id, x % 100 < 40 as write, x % 2000000 + 1000 as ns, x % 997 <> 0 as ok from (select seq as id, (seq + 1) * 48271 % 2147483647 as x from ops)
+), good as (select ns, row_number() over (order by ns) - 1 as r, count(*) over () as n from load where ok)
+, share as (select unnest(['p50', 'p95', 'p99', 'p999', 'max']) as name, unnest([0.5, 0.95, 0.99, 0.999, 1.0]) as p)
+select 'writes' as name, count(*) filter (where ok and write) as value from load union all select 'reads', count(*) filter (where ok and not write) from load
+union all select 'errors', count(*) filter (where not ok) from load
+union all select name, ns from share, good where r = least(cast(floor(n * cast(p as double)) as bigint), n - 1)"""
+
+
+@_query("q31_load_report", _LOAD)
+def q31(spark, sf_dir):
+    """As many operations as the log has, at four writes in ten, and their report."""
+    return load.report(load.operations(spark, count(spark, sf_dir)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live state by key: the log resolved and scanned from end to end."""
     return reads.scan(_entries(spark, sf_dir))

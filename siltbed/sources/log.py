@@ -56,3 +56,18 @@ def last_checkpoint(log: DataFrame) -> int | None:
 def size(log: DataFrame) -> DataFrame:
     """One row (records, bytes) as the binary encoding counts them."""
     return log.agg(F.count("*").alias("records"), F.coalesce(F.sum(record_size(F.col("key"), F.col("value"), LOG_RECORD)), F.lit(0).cast("long")).alias("bytes"))
+
+
+def rotate(spark: SparkSession, path: str, upto: int) -> int:
+    """Deletes the log's files whose records all have seq <= upto, and returns how many; a file with a later record stays whole."""
+    spent = read(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("seq").alias("top")).where(F.col("top") <= upto)
+    files = [r.file for r in spent.collect()]  # a row for each file
+    for file in files:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)
+    return len(files)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

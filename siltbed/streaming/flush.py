@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltbed.engine import Store
 from siltbed.operators.resolve import entries, latest
 
 
@@ -28,6 +29,23 @@ def flush_stream(records: DataFrame, runs: str, checkpoint: str) -> StreamingQue
     return records.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_stream(records: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch (op, seq, key, value) goes to a store in order of seq; then what is due is flushed and compacted.
+
+    A repeated micro-batch writes the same operations again after all others of its keys, so the state it leaves is the same.
+    """
+
+    def take(batch: DataFrame, _: int) -> None:
+        last = latest(entries(batch)).persist()
+        store.put_all(last.where(~F.col("tombstone")).select("key", "value"))
+        store.delete_all(last.where("tombstone").select("key"))
+        last.unpersist()
+        store.flush(force=False)
+        store.compact_due()
+
+    return records.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_stream(records: DataFrame) -> DataFrame:
     """The latest version of each key as streaming state (update or complete mode): (key, seq, tombstone, value)."""
     e = entries(records)

@@ -15,7 +15,7 @@ from siltbed.operators.stats import as_json, save_rate
 from siltbed.plans.fixtures import scratch
 from siltbed.sources import log
 from siltbed.sources.runs import RunStore
-from siltbed.streaming.flush import flush_stream, log_stream
+from siltbed.streaming.flush import flush_stream, ingest_stream, log_stream
 
 ENTRY = "key binary, value binary, tombstone boolean, seq long"
 
@@ -190,6 +190,20 @@ def test_stream_restart_repeats_nothing(spark):
     assert [(r.key, r.value) for r in state.collect()] == [("b", "2")]
 
 
+def test_ingest_stream_and_log_rotation(spark):
+    folder = scratch(spark, "t")
+    schema = "op string, seq long, key binary, value binary"
+    rows = [("PUT", 1, bytearray(b"a"), bytearray(b"1")), ("PUT", 2, bytearray(b"b"), bytearray(b"1")), ("DELETE", 3, bytearray(b"a"), None), ("PUT", 4, bytearray(b"b"), bytearray(b"2"))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store", Config(flush_bytes=1))
+    ingest_stream(log_stream(spark, f"{folder}/in", schema), store, f"{folder}/c").awaitTermination()
+    assert pairs(store.scan()) == [(b"b", b"2")]
+    assert store.rotate_log() > 0
+    store.put(b"c", b"3")
+    assert pairs(Store(spark, f"{folder}/store").scan()) == [(b"b", b"2"), (b"c", b"3")]
+    assert store.rotate_log() <= 1
+
+
 operation = st.tuples(st.sampled_from(["put", "del"]), st.binary(min_size=1, max_size=2), st.binary(max_size=3))
 
 
