@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from siltbed.llm.shared import new_folder, shares, text_bytes
 from siltbed.llm.words import Numbers, small_batches, span_hashes, utf8
 
+#: Beyond so many, shards grow instead: the manifest stays a table that a driver can hold.
+_MOST_SHARDS = 50_000
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
 #: Of the memo of a worker: slots as a power of two, and the most pieces, after which it starts anew.
@@ -220,7 +222,8 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard
             )
             place += int(bounds[-1])
 
-    n = shares(text_bytes(docs), shard_bytes, spark.sparkContext.defaultParallelism)
+    total = text_bytes(docs)
+    n = shares(total, max(shard_bytes, total // _MOST_SHARDS), spark.sparkContext.defaultParallelism)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(run, f"shard int, place long, doc_id {kind}, n_tokens long, ids array<int>")
     encoded.write.options(**LAYOUT).parquet(f"{path}/shards")
