@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 1, 6: 1, 7: 0, 8: 0, 9: 0}
-_own: dict[str, str] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +40,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(entries(log).withColumn("run_id", run), keys=("run_id", "key")).withColumn("level", level)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder: below spark.checkpoint.dir where that is set, else below one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="siltbed-"))
-    path = f"{base.rstrip('/')}/siltbed/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 OPS_SQL = r"""
 total as (select count(*) as n from events),
 ops as (

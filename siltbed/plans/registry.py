@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from siltbed.functions.scalar import LOG_RECORD, LOG_RECORD_COMPACT, RUN_RECORD, RUN_RECORD_COMPACT, rank_percentiles, record_size, varint_size
 from siltbed.operators import compact, index, reads, resolve, stats
 from siltbed.plans import load
-from siltbed.plans.fixtures import OPS_SQL, count, operations, runs, scratch
+from siltbed.plans.fixtures import OPS_SQL, count, operations, runs
 from siltbed.sources import log
+from siltbed.sources.folders import new_folder
 from siltbed.sources.runs import RunStore
 from siltbed.streaming.flush import latest_stream, log_stream, streamed_runs
 
@@ -385,7 +386,7 @@ def q26(spark, sf_dir):
 @_query("q27_stream_flush", "select key, value, seq from live")
 def q27(spark, sf_dir):
     """The log as a stream of five files, each flushed to a run; the live state over the runs."""
-    folder = scratch(spark, "stream")
+    folder = new_folder(spark, "stream")
     records = operations(spark, sf_dir).select("op", "seq", "key", "value")
     records.repartitionByRange(5, "seq").write.parquet(f"{folder}/log")
     made = streamed_runs(spark, f"{folder}/log", "op string, seq long, key string, value double", folder)
@@ -395,7 +396,7 @@ def q27(spark, sf_dir):
 @_query("q28_stream_state", "select key, value, tombstone, seq from last")
 def q28(spark, sf_dir):
     """The latest version of each key as streaming state, written once the stream has caught up."""
-    folder = scratch(spark, "state")
+    folder = new_folder(spark, "state")
     operations(spark, sf_dir).select("op", "seq", "key", "value").repartitionByRange(3, "seq").write.parquet(f"{folder}/log")
     state = latest_stream(log_stream(spark, f"{folder}/log", "op string, seq long, key string, value double"))
     save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/state")
@@ -406,7 +407,7 @@ def q28(spark, sf_dir):
 @_query("q29_run_files", "select key, cast(cast(floor(value * 100) as bigint) as varchar) as value, tombstone, seq, run_id, level from run where level = 1")
 def q29(spark, sf_dir):
     """All runs written as sorted files with Bloom filters, and the runs of level 1 read back through the manifest."""
-    store = RunStore(spark, scratch(spark, "runs"))
+    store = RunStore(spark, new_folder(spark, "runs"))
     made = _sized_runs(spark, sf_dir)
     for r in made.select("level", "run_id").distinct().collect():  # ten
         one = made.where((F.col("run_id") == r.run_id)).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "tombstone", "seq")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.scalar import LOG_RECORD, log_crc, record_size
+from siltbed.sources.folders import exists, remove_folder
 
 SCHEMA = "op string, seq long, key binary, value binary, crc long"
 CHECKPOINT_KEY = b"__checkpoint__"
@@ -27,8 +28,7 @@ def checkpoint(spark: SparkSession, seq: int, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records; a log that isn't there is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA).parquet(path)
 
@@ -63,11 +63,9 @@ def rotate(spark: SparkSession, path: str, upto: int) -> int:
     spent = read(spark, path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("seq").alias("top")).where(F.col("top") <= upto)
     files = [r.file for r in spent.collect()]  # a row for each file
     for file in files:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)
+        remove_folder(spark, file)
     return len(files)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    remove_folder(spark, path)

@@ -12,8 +12,8 @@ from siltbed.engine import Store
 from siltbed.functions.scalar import formatted_key, rank_percentiles, varint_size
 from siltbed.operators import compact, index, reads, resolve
 from siltbed.operators.stats import as_json, save_rate
-from siltbed.plans.fixtures import scratch
 from siltbed.sources import log
+from siltbed.sources.folders import new_folder
 from siltbed.sources.runs import RunStore
 from siltbed.streaming.flush import flush_stream, ingest_stream, log_stream
 
@@ -29,7 +29,7 @@ def pairs(df):
 
 
 def test_put_get_overwrite_delete(spark):
-    store = Store(spark, scratch(spark, "t"))
+    store = Store(spark, new_folder(spark, "t"))
     store.put(b"apple", b"red")
     store.put(b"k", b"v1")
     store.put(b"k", b"v2")
@@ -47,7 +47,7 @@ def test_put_get_overwrite_delete(spark):
 
 
 def test_recovery_flush_and_compaction_keep_state(spark):
-    folder = scratch(spark, "t")
+    folder = new_folder(spark, "t")
     store = Store(spark, folder, Config(level0_runs=2))
     store.put_many([(b"key:%03d" % i, b"v%d" % i) for i in range(60)])
     store.flush()
@@ -70,7 +70,7 @@ def test_recovery_flush_and_compaction_keep_state(spark):
 
 
 def test_sequence_goes_on_after_restart(spark):
-    folder = scratch(spark, "t")
+    folder = new_folder(spark, "t")
     Store(spark, folder).put(b"k", b"old")
     Store(spark, folder).put(b"k", b"new")
     store = Store(spark, folder)
@@ -116,7 +116,7 @@ def test_log_corruption_ends_replay(spark):
 
 
 def test_missing_log_is_empty_and_size(spark):
-    path = scratch(spark, "nolog")
+    path = new_folder(spark, "nolog")
     assert log.read(spark, path).count() == 0
     log.append(spark.createDataFrame([("PUT", 1, "key", "x" * 64)], "op string, seq long, key string, value string"), path)
     log.checkpoint(spark, 1, path)
@@ -134,7 +134,7 @@ def test_crc_is_ieee_over_the_record_layout(spark):
 
 
 def test_unreadable_run_fails_compaction(spark):
-    folder = scratch(spark, "t")
+    folder = new_folder(spark, "t")
     store = Store(spark, folder)
     store.put(b"a", b"1")
     store.flush()
@@ -155,7 +155,7 @@ def test_bloom_filter_has_no_false_negatives(spark):
 
 
 def test_parquet_bloom_filter_skips_row_groups(spark):
-    store = RunStore(spark, scratch(spark, "t"))
+    store = RunStore(spark, new_folder(spark, "t"))
     store.write(entries(spark, [(b"key:%06d" % (2 * i), b"v", False, i) for i in range(5000)]), 0, 1, 5000)
     store.manifest.runs.append([0, 1])
     assert store.read().where(F.col("key") == bytearray(b"key:000004")).count() == 1
@@ -175,7 +175,7 @@ def test_percentiles_and_rates(spark):
 
 
 def test_stream_restart_repeats_nothing(spark):
-    folder = scratch(spark, "t")
+    folder = new_folder(spark, "t")
     schema = "op string, seq long, key string, value string"
     write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     write([("PUT", 1, "a", "1"), ("PUT", 2, "b", "1")])
@@ -191,7 +191,7 @@ def test_stream_restart_repeats_nothing(spark):
 
 
 def test_ingest_stream_and_log_rotation(spark):
-    folder = scratch(spark, "t")
+    folder = new_folder(spark, "t")
     schema = "op string, seq long, key binary, value binary"
     rows = [("PUT", 1, bytearray(b"a"), bytearray(b"1")), ("PUT", 2, bytearray(b"b"), bytearray(b"1")), ("DELETE", 3, bytearray(b"a"), None), ("PUT", 4, bytearray(b"b"), bytearray(b"2"))]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in")
