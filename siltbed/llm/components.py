@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import remove_folder, written
+from siltbed.llm.shared import written
+from siltbed.sources.folders import remove_folder
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
