@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.llm.shared import bounded_batches
 from siltbed.llm.words import ALNUM, LOWER, Words, find_words, small_batches, utf8, whole_windows, window_hashes
 
 WINDOW, SHINGLE = 10, 5
@@ -103,6 +104,7 @@ class _Probe:
 
 def _blocks(benchmark: DataFrame, window: int, shingle: int, block_windows: int) -> Iterator[Block]:
     """Items stream to the driver and leave it block by block; at most one block is held."""
+    bounded_batches(benchmark.sparkSession)
     held, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").toLocalIterator():
         w = _words(pa.array([row.text], pa.string()))

@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over words.
 
 A word's features are its affixes and n-grams (byte n-grams of the word with its ends marked, hashed to a fixed table) and, if
-the lexicon has it, the word itself; transitions between neighbouring words' languages and the first word's language are
+the lexicon has it, the word itself (words with digits have no features and follow their neighbours); transitions between neighbouring words' languages and the first word's language are
 learned with them. Forward-backward gives each word's language probabilities; a document's are their mean, so a text that
 switches between languages is scored by how much of it is in each.
 
@@ -17,19 +17,23 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.words import LOWER, Numbers, Words, find_words, small_batches, span_hashes, utf8
+from siltbed.llm.shared import BATCH_BYTES, bounded_batches
+from siltbed.llm.words import LOWER, Numbers, Words, find_words, kept, small_batches, span_hashes, utf8
 
 UNKNOWN = "und"
-#: Bytes of words: letters, and all bytes of characters beyond ASCII.
-_LETTERS = np.zeros(256, bool)
+#: Bytes of words: letters, digits, and all bytes of characters beyond ASCII.
+_DIGITS = np.zeros(256, bool)
+_DIGITS[48:58] = True
+_LETTERS = _DIGITS.copy()
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _NGRAMS = (1, 2, 3, 4)
 _BUCKETS = 1 << 16
@@ -55,6 +59,12 @@ def _words(column: pa.Array) -> Words:
     return find_words(LOWER[data], offsets, _LETTERS)
 
 
+def _coded(words: Words) -> np.ndarray:
+    """Which words have a digit: numbers, keys and the like, that tell no language."""
+    upto = np.concatenate([[0], np.cumsum(_DIGITS[words.data], dtype=np.int32)])
+    return upto[words.ends] > upto[words.starts]
+
+
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' n-grams, and where each word's begin; a word of n bytes has the n-grams of n + 2."""
     size = ends - starts + 2
@@ -86,6 +96,7 @@ class Model:
     lexical: np.ndarray  # lexicon row, language
     first: np.ndarray
     moves: np.ndarray  # from, to
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         buckets, at = _features(data, starts, ends)
@@ -124,6 +135,9 @@ def train(texts: list[str], labels: list[str], settings: Training = Training())
     names = sorted(set(labels))
     number = {x: i for i, x in enumerate(names)}
     words = _words(pa.array(texts, pa.string()))
+    plain = ~_coded(words)
+    first = np.concatenate([[0], np.cumsum(plain)])[words.first]
+    words = Words(words.data, words.starts[plain], words.ends[plain], first, words.offsets)
     hashes = words.hashes()
     rng = np.random.default_rng(7)
     pieces: list[tuple[int, int]] = []
@@ -184,6 +198,7 @@ def train(texts: list[str], labels: list[str], settings: Training = Training())
 
 def sample(docs: DataFrame, settings: Training = Training()) -> tuple[list[str], list[str]]:
     """Texts and labels of the bounded training sample: a top-k per language on (doc_id, lang) alone, then those rows' texts."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.where("text is not null and lang is not null")
     order = F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")
     ranked = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
@@ -200,7 +215,7 @@ class _Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = Numbers(21)
+        self.known = Numbers(20)
         self.table = np.zeros((1 << 14, len(self.model.languages)), np.float32)
 
     def _emissions(self, words: Words) -> np.ndarray:
@@ -210,7 +225,7 @@ class _Scorer:
         number = self.known.find(hashes)
         new = np.flatnonzero(number < 0)
         if len(new):
-            if self.known.n and self.known.n + len(new) > 1_000_000:
+            if self.known.n and self.known.n + len(new) > 600_000:
                 self._clear()
                 return self._emissions(words)
             distinct, at = np.unique(hashes[new], return_index=True)
@@ -223,7 +238,9 @@ class _Scorer:
                 self.table[n + a : n + a + len(some)] = self.model.emissions(words.data, words.starts[some], words.ends[some], distinct[a : a + 50_000])
             self.known.add(distinct)
             number[new] = self.known.find(hashes[new])
-        return self.table[number]
+        out = self.table[number]
+        out[_coded(words)] = 0
+        return out
 
     def documents(self, column: pa.Array) -> np.ndarray:
         """Mean word probabilities (document, language) by forward-backward; zeros for a text without words."""
@@ -264,40 +281,47 @@ class _Scorer:
         return out
 
 
-_scorers: dict[int, _Scorer] = {}
+def _label(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+    if model is None:
+        return names, scores
+    chance = kept(("language", model.key), lambda: _Scorer(model)).documents(column)
+    best = chance.argmax(axis=1)
+    scores = np.clip(chance[np.arange(len(best)), best], 0, 1)
+    for i in np.flatnonzero(scores > 0).tolist():
+        names[i] = model.languages[best[i]]
+    data, offsets = utf8(column)
+    plain = np.concatenate([[0], np.cumsum(_LETTERS[data] & ~_DIGITS[data] & (data < 128))])[offsets]
+    for i in np.flatnonzero((scores > 0) & (np.diff(plain) == 0)).tolist():
+        if not any(map(str.isalpha, column[i].as_py() or "")):
+            names[i], scores[i] = UNKNOWN, 0.0
+    return names, scores
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, and lang_pred and score (which replace columns of these names)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    """(doc_id, lang_pred, score) for each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, most=BATCH_BYTES):
+            names, scores = _label(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def prevailing(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model is not None and id(model) not in _scorers:
-            _scorers.clear()
-            _scorers[id(model)] = _Scorer(model)
-        scorer = _scorers.get(id(model))
-        for batch in small_batches(batches, most=10 << 20):
-            column = batch.column(batch.schema.get_field_index("text"))
-            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if scorer is not None:
-                chance = scorer.documents(column)
-                best = chance.argmax(axis=1)
-                scores = chance[np.arange(len(best)), best]
-                for i in np.flatnonzero(scores > 0).tolist():
-                    names[i] = model.languages[best[i]]
-                data, offsets = utf8(column)
-                plain = np.concatenate([[0], np.cumsum(_LETTERS[data] & (data < 128))])[offsets]
-                for i in np.flatnonzero((scores > 0) & (np.diff(plain) == 0)).tolist():
-                    if not any(map(str.isalpha, column[i].as_py() or "")):
-                        names[i], scores[i] = UNKNOWN, 0.0
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.clip(scores, 0, 1))], [*[f.name for f in kept], "lang_pred", "score"])
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+        for batch in small_batches(batches, most=BATCH_BYTES):
+            names, scores = _label(shared.value, batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, settings: Training = Training()) -> DataFrame:

@@ -62,7 +62,12 @@ def _levels(digests: list[DataFrame], span: int, fan: int) -> int:
 
 def audit(a: DataFrame, b: DataFrame, span: int = SPAN, fan: int = FAN) -> DataFrame:
     """(file, offset, length_a, length_b, hash_a, hash_b, status: corrupt, missing_a or missing_b) of records that differ."""
-    digests = [written(digest_records(x), "digests") for x in (a, b)]
+    return compare(*(written(digest_records(x), "digests") for x in (a, b)), span, fan)
+
+
+def compare(a: DataFrame, b: DataFrame, span: int = SPAN, fan: int = FAN) -> DataFrame:
+    """The audit from the replicas' digests, which are read for the tree and again for the records of differing ranges."""
+    digests = [a, b]
     levels = _levels(digests, span, fan)
     left, right = (tree(x, levels, span, fan) for x in digests)
     suspects = None
@@ -85,34 +90,33 @@ def audit(a: DataFrame, b: DataFrame, span: int = SPAN, fan: int = FAN) -> DataF
 PER_FILE = 500
 
 
-def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """(file, offset, record, page_id): pages as WARC records, in files of per_file neighbouring page_ids, by page_id, url and html."""
-    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "),
-        url,
-        F.lit("\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
-        F.lit(">\r\nContent-Length: "),
-        F.octet_length(html).cast("string"),
-        F.lit("\r\n\r\n"),
-        html,
-        F.lit("\r\n\r\n"),
-    )
-    rows = pages.select(F.coalesce(_part("page_id", per_file), F.lit(-1).cast("long")).alias("file"), "page_id", url.alias("url"), record.alias("record"))
-    before = Window.partitionBy("file").orderBy("page_id", "url", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("record")).over(before), F.lit(0)).cast("long")).select("file", "offset", "record", "page_id")
+def warc_record(page_id: Column, url: Column, html: Column) -> Column:
+    """A page as a WARC record; a null page_id is written 'none', a null url or html is empty."""
+    url, html = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit(""))
+    head = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "
+    parts = [head, url, "\r\nWARC-Record-ID: <urn:page:", F.coalesce(page_id.cast("string"), F.lit("none")), ">\r\nContent-Length: ", F.octet_length(html).cast("string"), "\r\n\r\n", html, "\r\n\r\n"]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
 def op2_fixity(spark, sf_dir: str) -> DataFrame:
-    """The audit of all pages as an archive against a replica in which every 101st record lost a byte, every 211th is gone and every 307th is cut."""
-    good = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """The audit of all pages as an archive against a replica in which every 101st record lost a byte, every 211th is gone and every 307th is cut.
+
+    The archive has files of PER_FILE neighbouring page_ids, in each the records by page_id, url and hash. Both replicas are hashed in
+    one pass over the pages, and only digests are ordered to give offsets.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     record = F.col("record")
     flipped = F.concat(F.substring(record, 1, 59), F.lit("#"), F.substring(record, F.lit(61), F.length(record)))
     cut = F.substring(record, F.lit(1), F.floor(F.length(record) / 2).cast("int"))
-    bad = good.where(F.coalesce(F.col("page_id") % 211 != 13, F.lit(True)))
-    bad = bad.withColumn("record", F.when(F.col("page_id") % 307 == 5, cut).when(F.col("page_id") % 101 == 7, flipped).otherwise(record))
-    return audit(good, bad)
+    hurt = F.when(F.col("page_id") % 307 == 5, cut).when(F.col("page_id") % 101 == 7, flipped).otherwise(record)
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    digest = lambda x, side: (F.octet_length(x).cast("long").alias(f"length_{side}"), F.sha2(x.cast("binary"), 256).alias(f"hash_{side}"))
+    narrow = rows.select(F.coalesce(_part("page_id", PER_FILE), F.lit(-1).cast("long")).alias("file"), "page_id", "url", *digest(record, "a"), *digest(hurt, "b"))
+    before = Window.partitionBy("file").orderBy("page_id", "url", "hash_a").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(narrow.withColumn("offset", F.coalesce(F.sum("length_a").over(before), F.lit(0).cast("long"))), "digests")
+    good = placed.select("file", "offset", F.col("length_a").alias("length"), F.col("hash_a").alias("hash"))
+    bad = placed.where(F.coalesce(F.col("page_id") % 211 != 13, F.lit(True))).select("file", "offset", F.col("length_b").alias("length"), F.col("hash_b").alias("hash"))
+    return compare(good, bad)
 
 
 OP2_SQL = f"""
@@ -122,7 +126,7 @@ with page as (
     || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
   from pages
 ), good as (
-  select file, page_id, record, cast(coalesce(sum(strlen(record)) over (partition by file order by page_id nulls first, url, record rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from page
+  select file, page_id, record, cast(coalesce(sum(strlen(record)) over (partition by file order by page_id nulls first, url, sha256(record) rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from page
 ), bad as (
   select file, page_id, "offset", case when page_id % 307 = 5 then record[:length(record) // 2] when page_id % 101 = 7 then record[:59] || '#' || record[61:] else record end as record
   from good where coalesce(page_id % 211 <> 13, true)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.llm.shared import bounded_batches
 from siltbed.llm.sql import said, spans_sql
 from siltbed.llm.words import LOWER, small_batches, utf8
 
@@ -172,6 +173,7 @@ def _spans(rule: Rule, search: re.Pattern[str], text: str) -> Iterator[tuple[int
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans: array of (start, kind, end) by start, then by the rules' order) for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = [re.compile(r.pattern) for r in rules]
@@ -212,6 +214,7 @@ def masked(spark_text: str, spans: list[tuple[int, str, int]]) -> str:
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret's span in `text` replaced by its kind in brackets; all other columns and texts as they are."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = [re.compile(r.pattern) for r in rules]

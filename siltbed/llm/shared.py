@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.sources.folders import new_folder
 
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session have 8 MB instead of the default 64 MB; a limit that the user has set stays.
+
+    Both the JVM and the Python worker of each task hold a batch, several times while it grows.
+    """
+    if spark.conf.get(_LIMIT).rstrip("b") == str(_DEFAULT):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, computed once and read back from the shared folder: later plans start there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

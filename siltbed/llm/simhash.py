@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.components import components, forest
-from siltbed.llm.shared import written
+from siltbed.llm.shared import bounded_batches, written
 from siltbed.llm.words import LOWER, SPACED, find_words, small_batches, utf8
 
 SHINGLE, BITS = 3, 3
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import shares, text_bytes
-from siltbed.llm.words import Numbers, small_batches, span_hashes, utf8
+from siltbed.llm.shared import bounded_batches, shares, text_bytes
+from siltbed.llm.words import Numbers, kept, small_batches, span_hashes, utf8
 from siltbed.sources.folders import new_folder
 
 #: Beyond so many, shards grow instead: the manifest stays a table that a driver can hold.
@@ -42,7 +42,7 @@ _MOST_SHARDS = 50_000
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
 #: Of the memo of a worker: slots as a power of two, and the most pieces, after which it starts anew.
-_MEMO_BITS, _MEMO_PIECES = 21, 1_200_000
+_MEMO_BITS, _MEMO_PIECES = 21, 1_000_000
 #: Written by the shard writer; a smaller row group or page makes selective reads cheaper and full reads dearer.
 LAYOUT = {
     "compression": "zstd",
@@ -74,8 +74,6 @@ _MARKS &= ~_ASCII_LETTERS
 class MemoTokenizer:
     """encode(): ids of all texts of a batch and n + 1 bounds. Pieces are told apart by 64-bit hashes."""
 
-    _made: dict[str, MemoTokenizer] = {}
-
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
@@ -91,12 +89,8 @@ class MemoTokenizer:
 
     @classmethod
     def of(cls, definition: str) -> MemoTokenizer:
-        """One for each definition and worker process; only the last is kept."""
-        key = hashlib.md5(definition.encode()).hexdigest()
-        if key not in cls._made:
-            cls._made.clear()
-            cls._made[key] = cls(definition)
-        return cls._made[key]
+        """One for each definition and worker process."""
+        return kept(("tokenizer", hashlib.md5(definition.encode()).hexdigest()), lambda: cls(definition))
 
     def _clear(self) -> None:
         self.known = Numbers(_MEMO_BITS)
@@ -203,12 +197,13 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
 def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard_bytes: int = 16 << 20) -> None:
     """Encodes docs by the tokenizer definition (its JSON) and writes shards and manifest below path."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(definition)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, place = MemoTokenizer.of(shared.value), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, most=2 << 20):
+        for batch in small_batches(batches):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end_id)
             size = np.diff(bounds)
             yield pa.RecordBatch.from_arrays(

@@ -5,13 +5,23 @@ Every alphabet used here puts all bytes from 0x80 on one side, so classes of byt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: the last object only, so that memos of several operators don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def _class(separators: list[tuple[int, int]]) -> np.ndarray:
@@ -194,7 +204,7 @@ def whole_windows(first: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(change)[: total - size + 1] > 0
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that arrays over bytes stay small; a longer text is one batch."""
     for batch in batches:
         offsets = utf8(batch.column(column))[1]

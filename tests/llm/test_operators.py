@@ -368,8 +368,9 @@ def test_pipeline_equals_a_plain_version(spark, cases, case_rows):
     docs = read(spark, cases)
     kept = corpus_pipeline.language(spark, docs, cases)
     assert kept.columns == docs.columns
-    plain = {r.doc_id: r for r in language.identify(docs.select("doc_id", "text"), docs.where(~language.held_out())).collect()}
-    assert kept.where("text is null or text = ''").count() == 0
+    found = language.identify(docs, docs.where(~language.held_out())).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in found.collect())
+    assert kept.where("score not like 'clash%'").count() == 0
     near = corpus_pipeline.near_copies(spark, kept, cases)
     ids = [r.doc_id for r in near.collect()]
     assert len(ids) == len(set(ids)) and near.columns == docs.columns
@@ -388,4 +389,13 @@ def test_pipeline_equals_a_plain_version(spark, cases, case_rows):
     assert masked.where("text like '%deadbeefdeadbeef%' or text like '%hunter22%'").count() == 0
     pieces = corpus_pipeline.run(spark, cases)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in masked.collect()}
-    assert plain
+
+
+def test_stages_on_empty_and_null_tables(spark, nothing, cases):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nulls, cases)
+        assert out.count() == {"language": 0, "near_copies": 1}.get(name, 3)
