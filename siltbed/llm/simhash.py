@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.components import components, forest
@@ -72,17 +72,18 @@ def _text_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp: the 64-bit fingerprint as a signed long), one row for each row of docs; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of `carry`, fp: the 64-bit fingerprint as a signed long), one row for each row of docs; no shuffle."""
+    names = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = _text_fingerprints(batch.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = "".join(f"{x} {docs.schema[x].dataType.simpleString()}, " for x in names)
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}fp long")
 
 
 def _pairs_by_syndrome() -> np.ndarray:
@@ -199,15 +200,39 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _compare(batches, bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id: the smallest doc_id reachable by links), one row for each row of docs."""
-    prints = written(fingerprints(docs, shingle), "simhash")
+def _with_components(prints: DataFrame, bits: int) -> DataFrame:
+    """prints (doc_id, fp, further columns) with root: the fingerprint that names the component, and component_id."""
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(reps, bits))
     rooted = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(ids, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(doc_id, fp, component_id: the smallest doc_id reachable by links), one row for each row of docs."""
+    return _with_components(written(fingerprints(docs, shingle), "simhash"), bits).select("doc_id", "fp", "component_id")
+
+
+def text_key(docs: DataFrame) -> Column:
+    """With the doc_id, what tells rows of docs apart: a 64-bit hash of the text, another one for null than for empty."""
+    return F.xxhash64(docs["text"])
+
+
+def surplus(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(near_id, near_key, again) of the rows beyond the first of each component.
+
+    The first row is that of the smallest doc_id (a null comes last), then of the smallest text_key. `again` is false for the
+    keys of rows that all go, and true for the keys of first rows that stand more than once, of which one stays.
+    """
+    keyed = docs.select("doc_id", "text", text_key(docs).alias("near_key"))
+    rows = written(_with_components(written(fingerprints(keyed, shingle, ("near_key",)), "simhash"), bits), "near")
+    of_least_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.where(of_least_id).groupBy("root").agg(F.min("near_key").alias("first_key"))
+    is_first = of_least_id & (F.col("near_key") == F.col("first_key"))
+    keys = rows.join(first, "root").groupBy(F.col("doc_id").alias("near_id"), "near_key").agg(F.max(is_first).alias("again"), F.count("*").alias("n"))
+    return keys.where("not again or n > 1").select("near_id", "near_key", "again")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

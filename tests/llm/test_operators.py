@@ -399,3 +399,17 @@ def test_stages_on_empty_and_null_tables(spark, nothing, cases):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, nulls, cases)
         assert out.count() == {"language": 0, "near_copies": 1}.get(name, 3)
+
+
+def test_near_copies_keep_one_row_of_each_group(spark, cases):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    some = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d, e, f = (some() for _ in range(6))
+    rows = [(5, a), (5, b), (7, a), (8, b), (3, c), (9, c), (9, d), (None, d), (None, e), (None, e), (None, f), (None, c), (6, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_copies(spark, docs, cases).collect())
+    assert got == Counter([(5, a), (5, b), (3, c), (9, d), (6, e), (None, f), (None, "")])
