@@ -41,7 +41,7 @@ from siltbed.sources.folders import new_folder
 _MOST_SHARDS = 50_000
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
-#: Of the memo of a worker: slots as a power of two, and the most pieces, after which it starts anew.
+#: Of the memo of a worker: slots at first as a power of two, and the most pieces, after which it starts anew (one text may have more).
 _MEMO_BITS, _MEMO_PIECES = 21, 1_000_000
 #: Written by the shard writer; a smaller row group or page makes selective reads cheaper and full reads dearer.
 LAYOUT = {

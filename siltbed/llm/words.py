@@ -114,11 +114,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Numbers:
-    """An open-addressing table from 64-bit hashes to 0, 1, 2, ... in the order they came."""
+    """An open-addressing table from 64-bit hashes to 0, 1, 2, ... in the order they came; it grows before it is three quarters full."""
 
     def __init__(self, bits: int) -> None:
+        self.n = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-        self.low, self.n = np.uint64((1 << bits) - 1), 0
+        self.low = np.uint64((1 << bits) - 1)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for one that isn't there."""
@@ -136,6 +140,18 @@ class Numbers:
 
     def add(self, hashes: np.ndarray) -> None:
         """Distinct hashes that aren't there yet."""
+        bits = int(self.low).bit_length()
+        if 4 * (self.n + len(hashes)) > 3 << bits:
+            while 4 * (self.n + len(hashes)) > 3 << bits:
+                bits += 1
+            used = np.flatnonzero(self.keys)
+            keys, values = self.keys[used], self.values[used]
+            self._empty(bits)
+            self._place(keys, values)
+        self._place(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+    def _place(self, hashes: np.ndarray, values: np.ndarray) -> None:
         slot = (hashes & self.low).astype(np.int64)
         rest = np.arange(len(hashes))
         while len(rest):
@@ -143,10 +159,9 @@ class Numbers:
             free = self.keys[at] == 0
             self.keys[at[free]] = hashes[rest[free]]
             placed = free & (self.keys[at] == hashes[rest])
-            self.values[at[placed]] = self.n + rest[placed]
+            self.values[at[placed]] = values[rest[placed]]
             rest = rest[~placed]
             slot[rest] = (slot[rest] + 1) & int(self.low)
-        self.n += len(hashes)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltbed.llm import decontaminate, language, merkle, packing, pii, quality, secrets, simhash, substring_dedup, tokens
+from siltbed.llm import decontaminate, language, merkle, packing, pii, quality, secrets, simhash, substring_dedup, tokens, words
 from siltbed.llm.components import components, forest
 from siltbed.llm.queries import QUERIES
 from siltbed.sources.folders import new_folder
@@ -413,3 +413,43 @@ def test_near_copies_keep_one_row_of_each_group(spark, cases):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_copies(spark, docs, cases).collect())
     assert got == Counter([(5, a), (5, b), (3, c), (9, d), (6, e), (None, f), (None, "")])
+
+
+@pytest.fixture
+def ends():
+    """Turns an endless loop into a failure."""
+    import signal
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
+def test_a_full_table_of_numbers_grows(ends):
+    rng = np.random.default_rng(8)
+    hashes = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))
+    table = words.Numbers(4)
+    for a in range(0, len(hashes), 700):
+        table.add(hashes[a : a + 700])
+        assert table.find(hashes[: a + 700]).tolist() == list(range(min(a + 700, len(hashes))))
+        assert (table.find(hashes[a + 700 :]) == -1).all()
+    full = words.Numbers(4)
+    full.add(hashes[:16])
+    assert full.find(hashes[:20]).tolist() == [*range(16), -1, -1, -1, -1]
+
+
+def test_one_text_with_more_words_than_slots(monkeypatch, ends):
+    text = " ".join(f"the{i} cat{i}" for i in range(300)) + " the cat sat"
+    monkeypatch.setattr(tokens, "_MEMO_BITS", 5)
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        memo = tokens.MemoTokenizer(f.read())
+    assert memo.encode(pa.array([text]))[0].tolist() == memo.tokenizer.encode(text).ids
+    model = language.train(["the cat sat on that mat"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
+    want = language._Scorer(model).documents(pa.array([text]))
+    monkeypatch.setattr(language, "Numbers", lambda bits: words.Numbers(5))
+    assert np.array_equal(language._Scorer(model).documents(pa.array([text])), want)
