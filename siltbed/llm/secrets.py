@@ -35,12 +35,13 @@ from siltbed.llm.words import LOWER, small_batches, utf8
 
 @dataclass(frozen=True)
 class Rule:
-    """`least`: of the length of group `group` of a match."""
+    """`least`: of the length of group `group` of a match. `body`: what masking takes along with a match, from its end on."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    body: str = ""
 
 
 def any_case(word: str) -> str:
@@ -54,8 +55,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What stands between the lines of a key in quotes, comments and escapes; _SIDE: on one line.
+_MARKS = r"[\"'`,;+>#*|]"
+_GAP, _SIDE, _TURN = rf"(?:\s|\\++[nrt]|{_MARKS})", rf"(?:[^\S\n]|\\++[rt]|{_MARKS})", r"(?:\n|\\++n)"
+#: All up to the END line, if no other BEGIN or END line stands before it; else header fields, then runs of base64; a last
+#: one of under 16 characters counts only as a line by itself.
+_KEY_BODY = (
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\S\n]*+[^\s\\]++)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+    rf"(?:{_SIDE}*+{_TURN}{_GAP}*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?={_MARKS}*+(?:[^\S\n]*+(?:\n|\Z)|\\)))?)"
+)
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", body=_KEY_BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("code_host", r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
@@ -170,6 +181,14 @@ def _spans(rule: Rule, search: re.Pattern[str], text: str) -> Iterator[tuple[int
             yield m.span()
 
 
+def _masked_spans(rule: Rule, search: re.Pattern[str], text: str) -> Iterator[tuple[int, int]]:
+    """_spans, each with its body."""
+    body = re.compile(rule.body)
+    for a, b in _spans(rule, search, text):
+        more = body.match(text, b)
+        yield a, more.end() if more else b
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans: array of (start, kind, end) by start, then by the rules' order) for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -213,7 +232,10 @@ def masked(spark_text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret's span in `text` replaced by its kind in brackets; all other columns and texts as they are."""
+    """docs with each secret's span in `text` replaced by its kind in brackets; all other columns and texts as they are.
+
+    A private key goes from its header over the body to its END line; find_secrets gives the place of the header, as the SQL does.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +252,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 for row in shard.answer(query).tolist():
                     if row not in texts:
                         texts[row] = column[row].as_py() or ""
-                    for a, b in _spans(rule, search, texts[row]):
+                    for a, b in _masked_spans(rule, search, texts[row]):
                         found.setdefault(row, []).append((a, k, rule.kind, b))
             if found:
                 new = column.to_pylist()

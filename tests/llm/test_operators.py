@@ -453,3 +453,36 @@ def test_one_text_with_more_words_than_slots(monkeypatch, ends):
     want = language._Scorer(model).documents(pa.array([text]))
     monkeypatch.setattr(language, "Numbers", lambda bits: words.Numbers(5))
     assert np.array_equal(language._Scorer(model).documents(pa.array([text])), want)
+
+
+def test_masking_leaves_no_line_of_a_private_key(spark):
+    import base64
+
+    rng = np.random.default_rng(6)
+    raw = base64.b64encode(rng.bytes(585)).decode()
+    body = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    assert len(body[-1]) < 16
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0123456789ABCDEF", ""]
+    certificate = ["-----BEGIN CERTIFICATE-----", "MIIBszCCAVmgAwIBAgIUQ", "-----END CERTIFICATE-----"]
+    cases = [
+        ("before\n" + "\n".join([head, *body, end]) + "\nafter", "before\n[private_key]\nafter"),
+        ("before\r\n" + "\r\n".join([head, *body]) + "\r\nafter it", "before\r\n[private_key]\r\nafter it"),
+        ("\n".join([head, *fields, *body]) + "\nThe text goes on.", "[private_key]\nThe text goes on."),
+        ('{"key": "' + "\\n".join([head, *body, end]) + '\\n"}', '{"key": "[private_key]\\n"}'),
+        ('x = "' + "\\n".join([head, *body]) + '\\n"', 'x = "[private_key]\\n"'),
+        ("\n".join([head, *body, *certificate]), "\n".join(["[private_key]", *certificate])),
+        ("\n".join([head, *body, head, *body, end]), "[private_key]\n[private_key]"),
+        (" ".join([head, *body, end, "and so on"]), "[private_key] and so on"),
+        ("\n".join([head, *body[:3], body[3][:20]]), "[private_key]"),
+        (f"a key begins with {head} and a few words follow, but no key", "a key begins with [private_key] and a few words follow, but no key"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.text for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()] == [w for _, w in cases]
+
+
+def test_bodies_of_private_keys_take_linear_time(ends):
+    rule = next(r for r in secrets.ADDED if r.kind == "private_key")
+    head = "-----BEGIN PRIVATE KEY-----"
+    for text in (head * 20_000, head + "\n" * 500_000, (head + "\n" * 50) * 10_000, head + "A" * 500_000 + "-" * 500_000, head + "A b" * 300_000, head + "\nAAAAAAAAAAAAAAAA" * 30_000 + "\n" * 300_000 + "."):
+        assert len(list(secrets._masked_spans(rule, re.compile(rule.pattern), text))) == text.count(head)
