@@ -12,7 +12,10 @@ thousands of replicas for the same guarantee.
 
 How it scales: only distinct fingerprints are replicated, so exact copies cost one row. Per anchor, fingerprints are compared
 by popcount, and only a spanning forest of the links leaves a partition, never all pairs. Rows are sorted by anchor in the
-JVM and stream through in batches; one anchor's distinct fingerprints at a time are in memory.
+JVM and stream through in batches; one group's distinct fingerprints at a time are in memory. Anchors of over `HOT` fingerprints
+are split by the other half: cut to six pieces, of which three at least are equal in two halves that differ in three bits, so
+one of the 20 choices of three pieces (15 to 17 bits) puts them together; groups shrink by 2**15 and more. How many anchors are hot is
+bounded by the replicas over HOT, so their table is joined, and broadcast only where it is small.
 
 Cases: null, empty and word-less texts have fingerprint zero, and link like any other; fewer words than a shingle are one
 shingle. Rows that share a doc_id each get a row. A null doc_id never is a component's id unless all of its members' are
@@ -22,16 +25,16 @@ null. Other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.components import components, forest
+from siltbed.llm.components import components, forest, with_group
 from siltbed.llm.shared import bounded_batches, written
-from siltbed.llm.words import LOWER, SPACED, find_words, small_batches, utf8
+from siltbed.llm.words import LOWER, SPACED, find_words, small_batches, spaced, utf8, xxh64
 
 SHINGLE, BITS = 3, 3
 _SEED = 42
@@ -44,22 +47,13 @@ def _text_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
     out = np.zeros(len(offsets) - 1, np.uint64)
     if not len(words.starts):
         return out
-    # All words, each followed by one space: a shingle is a slice up to its last word's end.
-    size = words.ends - words.starts
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    inside = SPACED[words.data]
-    body = np.full(int(at[-1]), 32, np.uint8)
-    keep = np.ones(int(at[-1]), bool)
-    keep[at[1:] - 1] = False
-    body[keep] = words.data[inside]
-    raw = memoryview(body.tobytes())
+    body, at = spaced(words, SPACED)  # a shingle is a slice up to its last word's end
     first = words.first
     n = np.diff(first)
     count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     start = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
     last = start + np.repeat(np.minimum(n, shingle), count) - 1
-    digest, seed = xxhash.xxh64_intdigest, _SEED
-    hashes = np.fromiter([digest(raw[a:b], seed) for a, b in zip(at[start].tolist(), (at[last + 1] - 1).tolist(), strict=True)], np.uint64, len(start))
+    hashes = xxh64(body, at[start], at[last + 1] - 1, _SEED)
     some = np.flatnonzero(count)
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])[some]
     octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -121,6 +115,26 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[which])], ["anchor", "fp"])
 
 
+#: Of an anchor's fingerprints; beyond, its group is split.
+HOT = 2_000
+#: Six pieces of a half, and all choices of three.
+_CUTS = [0x1F << 5 * i for i in range(4)] + [0x3F << 20, 0x3F << 26]
+_CHOICES = [np.uint64(a | b | c) for a, b, c in combinations(_CUTS, 3)]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint of a hot anchor goes to the 20 choices of three pieces of its other half."""
+    for batch in batches:
+        anchor, fp = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("anchor", "fp"))
+        for begin in range(0, len(fp), 1 << 15):
+            a, part = anchor[begin : begin + (1 << 15)], fp[begin : begin + (1 << 15)]
+            bits = part.view(np.uint64)
+            other = np.where(a >> 32 & 1, bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32))
+            for k, mask in enumerate(_CHOICES):
+                piece = (other & mask).astype(np.int64) | (k + 1 << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(piece), pa.array(part)], ["anchor", "piece", "fp"])
+
+
 def _near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= bits
 
@@ -129,16 +143,15 @@ def _near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 _SMALL = 24
 
 
-def _links(anchor: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever is connected within each group of equal anchors (rows are sorted by it)."""
-    new = np.ones(len(anchor), bool)
-    new[1:] = anchor[1:] != anchor[:-1]
+def _links(new: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever is connected within each group; `new` marks the first row of each."""
     begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(anchor)))
+    size = np.diff(np.append(begin, len(new)))
+    group = np.cumsum(new)
     left, right = [], []
     small = np.repeat(size <= _SMALL, size)
     for lag in range(1, min(_SMALL, int(size.max(initial=0)) + 1)):
-        i = np.flatnonzero((anchor[:-lag] == anchor[lag:]) & small[:-lag]) if lag < len(anchor) else np.empty(0, np.int64)
+        i = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag]) if lag < len(group) else np.empty(0, np.int64)
         i = i[_near(fp[i], fp[i + lag], bits)]
         left.append(fp[i + lag])
         right.append(fp[i])
@@ -161,8 +174,8 @@ def _links(anchor: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; an anchor's last rows wait for the next batch."""
-    wait_anchor, wait_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows come sorted by group (anchor, piece); the last group's rows wait until it is whole."""
+    waiting: list[tuple[np.ndarray, ...]] = []
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -171,32 +184,49 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         found.clear()
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def take(anchor: np.ndarray, fp: np.ndarray) -> int:
-        a, b = _links(anchor, fp, bits)
+    def take() -> int:
+        anchor, piece, fp = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        new = np.ones(len(fp), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
+        a, b = _links(new, fp, bits)
         if len(a):
             found.append((a, b))
         return len(a)
 
     for batch in batches:
-        anchor = np.concatenate([wait_anchor, batch.column("anchor").to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([wait_fp, batch.column("fp").to_numpy(zero_copy_only=False)])
-        cut = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
-        held += take(anchor[:cut], fp[:cut])
-        wait_anchor, wait_fp = anchor[cut:], fp[cut:]
+        rows = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("anchor", "piece", "fp"))
+        last = len(rows[0]) - 1
+        if last < 0:
+            continue
+        change = np.flatnonzero((rows[0] != rows[0][last]) | (rows[1] != rows[1][last]))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        begins = not waiting or waiting[-1][0][-1] != rows[0][0] or waiting[-1][1][-1] != rows[1][0]
+        if cut or begins and waiting:
+            waiting.append(tuple(x[:cut] for x in rows))
+            held += take()
+        waiting.append(tuple(x[cut:] for x in rows))
         if held > 1_000_000:
             held = 0
             yield out()
-    if len(wait_anchor):
-        take(wait_anchor, wait_fp)
+    if waiting:
+        take()
     if found:
         yield out()
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect all fingerprints (column fp, no repeats) within `bits` of each other."""
     if bits > 3:
         raise ValueError("each half is covered for one differing bit: at most 3 bits in all")
-    dealt = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
+    spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    crowded = spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+    crowded = written(crowded, "anchors")
+    rows = spread.withColumn("piece", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        split = spread.join(crowded, "anchor", "left_semi").select("anchor", "fp").mapInArrow(_split, "anchor long, piece long, fp long")
+        rows = rows.join(crowded, "anchor", "left_anti").unionByName(split)
+    dealt = rows.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece")
     return dealt.mapInArrow(lambda batches: _compare(batches, bits), "a long, b long").distinct()
 
 
@@ -204,9 +234,8 @@ def _with_components(prints: DataFrame, bits: int) -> DataFrame:
     """prints (doc_id, fp, further columns) with root: the fingerprint that names the component, and component_id."""
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(reps, bits))
-    rooted = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = written(reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = with_group(rooted, "root", F.min("rep").alias("component_id")).select("fp", "root", "component_id")
     return prints.join(ids, "fp")
 
 
@@ -229,9 +258,9 @@ def surplus(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     keyed = docs.select("doc_id", "text", text_key(docs).alias("near_key"))
     rows = written(_with_components(written(fingerprints(keyed, shingle, ("near_key",)), "simhash"), bits), "near")
     of_least_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = rows.where(of_least_id).groupBy("root").agg(F.min("near_key").alias("first_key"))
+    least = with_group(rows, "root", F.min(F.when(of_least_id, F.col("near_key"))).alias("first_key"))
     is_first = of_least_id & (F.col("near_key") == F.col("first_key"))
-    keys = rows.join(first, "root").groupBy(F.col("doc_id").alias("near_id"), "near_key").agg(F.max(is_first).alias("again"), F.count("*").alias("n"))
+    keys = least.groupBy(F.col("doc_id").alias("near_id"), "near_key").agg(F.max(is_first).alias("again"), F.count("*").alias("n"))
     return keys.where("not again or n > 1").select("near_id", "near_key", "again")
 
 

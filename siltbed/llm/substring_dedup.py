@@ -2,14 +2,16 @@
 
 Every text's non-overlapping blocks of `block` words are the index; every rolling window of as many words probes it. A
 repeat of `window` >= 2 * block - 1 words holds a whole block of either text, so each of its places has a probe that hits.
-Hits are then extended: each run of `window` words that holds a hit is compared with all others, and neighbouring
-confirmed runs join to maximal exact repeats.
+Each hit is then extended over its neighbouring words: every run of `window` words around it is read out (words joined by one space)
+and stands for its words by a BLAKE2b digest of 128 bits; runs whose digests meet again anywhere are repeats, and neighbouring ones join to
+maximal exact repeats. Hashes of 64 bits and less only choose what is read out.
 
-How it scales: texts are shuffled once into buckets of about `bucket_bytes` (by a hash of doc_id), and that exchange serves all
-three passes. What buckets exchange are sorted, delta-packed sets of hashes, cut by hash range, so a passage that millions
-of documents share arrives once from each bucket, and no pair of documents is ever formed. Probes are cut to `key bits` that
-grow with the corpus; the extension compares 63 bits drawn from two independent
-hashes of the run's words.
+How it scales: texts are shuffled once into buckets of about `bucket_bytes`, and that exchange serves all three passes. A text's
+bucket is drawn from its id, its words and its place in the input, as any place is right: neither an id that a third of the rows share
+nor exact copies fill a bucket. Buckets and hash ranges are dealt to partitions by their number, one each. What buckets exchange are
+sorted, packed sets of keys, cut by hash range, so a passage that millions of documents share arrives once from each bucket, and
+no pair of documents is ever formed. Such sets number buckets times ranges; buckets therefore grow with the square root of the corpus, from 12 MB at 70 GB
+to 64 MB at 2 TB, so that a set keeps some 2 KB and their number grows in proportion. Probes are cut to `key bits` that grow with the corpus.
 
 Cases: a null or empty text has no words and comes back with kept_text ''. Rows that share a doc_id (null too) are
 separate texts: each gets a row and each counts as a place. Ties, as all places of a repeat are treated alike: every place
@@ -18,7 +20,10 @@ is removed, the first included. Other columns are ignored. An empty table gives
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.shared import shares, text_bytes
-from siltbed.llm.words import SPACED, Words, find_words, mix, small_batches, utf8, whole_windows, window_hashes
+from siltbed.llm.words import SPACED, find_words, small_batches, spaced, utf8, whole_windows, window_hashes
 
 U = np.uint64
 BLOCK, WINDOW = 18, 35
-_SETS = "part long, bucket long, body binary"
+#: Bounds of a bucket's texts, and what a set of keys should have at least, in bytes.
+_LEAST_BUCKET, _MOST_BUCKET, _SET = 12 << 20, 64 << 20, 2 << 10
+_SETS = "part int, bucket int, body binary"
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:
@@ -47,20 +54,37 @@ def unpack(body: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _bucket_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[pa.RecordBatch, Words]]]:
-    """Word hashes of all rows of a bucket, first word of each row, and the parts they came from."""
-    hashes, first, parts, total = [], [np.zeros(1, np.int64)], [], 0
-    for batch in small_batches(iter(table.to_batches())):
+@dataclass
+class _Bucket:
+    """All texts of a bucket: word hashes, each row's first word, and the words themselves, one space after each."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    body: bytes
+    at: np.ndarray
+
+    def digests(self, starts: np.ndarray, size: int) -> list[bytes]:
+        """Of the runs of `size` words from each start on."""
+        made, body = hashlib.blake2b, memoryview(self.body)
+        return [made(body[a:b], digest_size=16).digest() for a, b in zip(self.at[starts].tolist(), (self.at[starts + size] - 1).tolist(), strict=True)]
+
+
+def _bucket(column: pa.ChunkedArray) -> _Bucket:
+    hashes, first, bodies, places, total, length = [np.empty(0, U)], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], 0, 0
+    for batch in small_batches(iter(pa.table([column], ["text"]).to_batches())):
         words = find_words(*utf8(batch.column("text")), SPACED)
+        body, at = spaced(words, SPACED)
         hashes.append(words.hashes())
         first.append(words.first[1:] + total)
+        bodies.append(body.tobytes())
+        places.append(at[1:] + length)
         total += len(words.starts)
-        parts.append((batch, words))
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.concatenate(first), parts
+        length += len(body)
+    return _Bucket(np.concatenate(hashes), np.concatenate(first), b"".join(bodies), np.concatenate(places))
 
 
-def _sets(table: pa.Table, bucket: int, parts: np.ndarray, bodies: list[bytes]) -> pa.Table:
-    return pa.table({"part": pa.array(parts, pa.int64()), "bucket": pa.array([bucket] * len(bodies), pa.int64()), "body": pa.array(bodies, pa.binary())})
+def _sets(bucket: int, parts: list[int], bodies: list[bytes]) -> pa.Table:
+    return pa.table({"part": pa.array(parts, pa.int32()), "bucket": pa.array([bucket] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
 def _by_range(keys: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -72,63 +96,69 @@ def _by_range(keys: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, in
         yield int(part), int(cuts[part]), int(cuts[part + 1])
 
 
-def _unique(keys: np.ndarray, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _unique(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ascending unique keys, whether each occurs more than once, and whether any of its places is flagged."""
-    if flags is not None:
-        keys = np.sort((keys << U(1)) | flags.astype(np.uint64))
-        plain = keys >> U(1)
-    else:
-        plain = np.sort(keys)
+    keys = np.sort((keys << U(1)) | flags.astype(np.uint64))
+    plain = keys >> U(1)
     new = np.ones(len(plain), bool)
     new[1:] = plain[1:] != plain[:-1]
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(plain)))
-    any_flag = None if flags is None else (keys[at + size - 1] & U(1)).astype(bool)
-    return plain[at], size > 1, any_flag
+    return plain[at], size > 1, (keys[at + size - 1] & U(1)).astype(bool)
 
 
-def _probes(hashes: np.ndarray, first: np.ndarray, block: int, bits: int) -> np.ndarray:
+def _probes(hashes: np.ndarray, block: int, bits: int) -> np.ndarray:
     return window_hashes(hashes, block) >> U(64 - bits)
 
 
 def _probe(key: tuple, table: pa.Table, block: int, bits: int, parts: int) -> pa.Table:
     """All rolling windows of a bucket: (key, occurs more than once here, is an indexed block here)."""
-    hashes, first, _ = _bucket_words(table.select(["text"]))
-    keys, whole = _probes(hashes, first, block, bits), whole_windows(first, block)
-    start = np.repeat(first[:-1], np.diff(first))[: len(keys)]
+    own = _bucket(table.column("text"))
+    keys, whole = _probes(own.hashes, block, bits), whole_windows(own.first, block)
+    start = np.repeat(own.first[:-1], np.diff(own.first))[: len(keys)]
     aligned = (np.arange(len(keys)) - start) % block == 0
     keys, more, indexed = _unique(keys[whole], aligned[whole])
     ids, bodies = [], []
     for part, a, b in _by_range(keys, bits, parts):
         ids.append(part)
         bodies.append(pack((keys[a:b] << U(2)) | (more[a:b].astype(np.uint64) << U(1)) | indexed[a:b].astype(np.uint64)))
-    return _sets(table, key[0].as_py(), np.array(ids, np.int64), bodies)
+    return _sets(key[0].as_py(), ids, bodies)
+
 
+def _groups(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and sizes of groups of ordered rows, of which all but the first row of each are `same` as the one before."""
+    at = np.flatnonzero(~same)
+    return at, np.diff(np.append(at, len(same)))
 
-def _hits(key: tuple, table: pa.Table, flags: int) -> pa.Table:
-    """Of a hash range, the keys that occur at two places or more (and, with two flags, are indexed somewhere), by bucket."""
+
+def _like_last(*columns: np.ndarray) -> np.ndarray:
+    same = np.ones(len(columns[0]), bool)
+    same[:1] = False
+    for x in columns:
+        same[1:] &= x[1:] == x[:-1]
+    return same
+
+
+def _hits(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a hash range, the keys that occur at two places or more and are indexed somewhere, by bucket."""
     buckets = table.column("bucket").to_pylist()
     bodies = [unpack(x.as_py()) for x in table.column("body")]
     packed = np.concatenate(bodies)
-    keys, own = packed >> U(flags), packed
-    order = np.argsort(keys, kind="stable")
-    keys, own = keys[order], own[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    repeated = (np.diff(np.append(at, len(keys))) > 1) | (np.bitwise_or.reduceat((own >> U(flags - 1)) & U(1), at) == U(1))
-    if flags > 1:
-        repeated &= np.bitwise_or.reduceat(own & U(1), at) == U(1)
+    order = np.argsort(packed >> U(2), kind="stable")
+    own = packed[order]
+    at, size = _groups(_like_last(own >> U(2)))
+    flags = np.bitwise_or.reduceat(own & U(3), at)
+    repeated = ((size > 1) | (flags >= U(2))) & (flags & U(1) == U(1))
     which = np.zeros(len(packed), bool)
-    which[order] = np.repeat(repeated, np.diff(np.append(at, len(keys))))
+    which[order] = np.repeat(repeated, size)
     out, ids, begin = [], [], 0
     for bucket, body in zip(buckets, bodies, strict=True):
-        found = (body >> U(flags))[which[begin : begin + len(body)]]
+        found = (body >> U(2))[which[begin : begin + len(body)]]
         begin += len(body)
         if len(found):
             ids.append(bucket)
             out.append(pack(found))
-    return pa.table({"bucket": pa.array(ids, pa.int64()), "body": pa.array(out, pa.binary())})
+    return pa.table({"bucket": pa.array(ids, pa.int32()), "body": pa.array(out, pa.binary())})
 
 
 def _found(table: pa.Table) -> np.ndarray:
@@ -136,6 +166,23 @@ def _found(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
 
 
+#: A run as it is exchanged: the hash by which it is ranged, its digest, and whether its bucket has it more than once.
+_RUN = np.dtype([("hash", "<u8"), ("high", "<u8"), ("low", "<u8"), ("more", "?")])
+
+
+def _runs(own: _Bucket, at: np.ndarray, window: int) -> np.ndarray:
+    """The distinct runs from `at` on, by hash and digest."""
+    out = np.empty(len(at), _RUN)
+    out["hash"] = window_hashes(own.hashes, window)[at]
+    halves = np.frombuffer(b"".join(own.digests(at, window)), "<u8").reshape(-1, 2)
+    out["high"], out["low"] = halves[:, 0], halves[:, 1]
+    out = out[np.lexsort((out["low"], out["high"], out["hash"]))]
+    first, size = _groups(_like_last(out["hash"], out["high"], out["low"]))
+    out = out[first]
+    out["more"] = size > 1
+    return out
+
+
 def _is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Membership in an ascending array; a table over the low bits sorts out most keys first."""
     out = np.zeros(len(keys), bool)
@@ -150,99 +197,113 @@ def _is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(hashes: np.ndarray, first: np.ndarray, hits: np.ndarray, block: int, window: int, bits: int) -> np.ndarray:
+def _candidates(own: _Bucket, hits: np.ndarray, block: int, window: int, bits: int) -> np.ndarray:
     """Starts of the runs of `window` words that hold a hit."""
-    flagged = _is_in(_probes(hashes, first, block, bits), hits) & whole_windows(first, block)
+    flagged = _is_in(_probes(own.hashes, block, bits), hits) & whole_windows(own.first, block)
     sums = np.concatenate([[0], np.cumsum(flagged)])
-    whole = whole_windows(first, window)
-    at = np.flatnonzero(whole)
+    at = np.flatnonzero(whole_windows(own.first, window))
     return at[sums[at + window - block + 1] > sums[at]]
 
 
 def _extend(key: tuple, docs: pa.Table, found: pa.Table, block: int, window: int, bits: int, parts: int) -> pa.Table:
-    """Each run of `window` words that holds a hit, as (key, occurs more than once here)."""
+    """The distinct runs of `window` words that hold a hit."""
     if not found.num_rows or not docs.num_rows:
-        return _sets(docs, 0, np.empty(0, np.int64), [])
-    hashes, first, _ = _bucket_words(docs.select(["text"]))
-    keys = _confirm_keys(hashes, _candidates(hashes, first, _found(found), block, window, bits), window)
-    keys, more, _ = _unique(keys)
-    ids, bodies = [], []
-    for part, a, b in _by_range(keys, 63, parts):
-        ids.append(part)
-        bodies.append(pack((keys[a:b] << U(1)) | more[a:b].astype(np.uint64)))
-    return _sets(docs, docs.column("bucket")[0].as_py(), np.array(ids, np.int64), bodies)
+        return _sets(0, [], [])
+    own = _bucket(docs.column("text"))
+    runs = _runs(own, _candidates(own, _found(found), block, window, bits), window)
+    cut = list(_by_range(runs["hash"] >> U(1), 63, parts))
+    return _sets(docs.column("bucket")[0].as_py(), [part for part, _, _ in cut], [runs[a:b].tobytes() for _, a, b in cut])
+
+
+def _confirm(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a hash range, the digests that occur at two places or more, with their hashes, by bucket."""
+    bodies = [np.frombuffer(x.as_py(), _RUN) for x in table.column("body")]
+    runs = np.concatenate(bodies)
+    order = np.lexsort((runs["low"], runs["high"], runs["hash"]))
+    own = runs[order]
+    at, size = _groups(_like_last(own["hash"], own["high"], own["low"]))
+    which = np.zeros(len(runs), bool)
+    which[order] = np.repeat((size > 1) | np.logical_or.reduceat(own["more"], at), size)
+    out, ids, begin = [], [], 0
+    for bucket, body in zip(table.column("bucket").to_pylist(), bodies, strict=True):
+        kept = body[which[begin : begin + len(body)]]
+        begin += len(body)
+        if len(kept):
+            ids.append(bucket)
+            out.append(kept.tobytes())
+    return pa.table({"bucket": pa.array(ids, pa.int32()), "body": pa.array(out, pa.binary())})
 
 
-def _confirm_keys(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """63 bits of two independent hashes of the run."""
-    first, second = window_hashes(hashes, window)[at], window_hashes(hashes, window, second=True)[at]
-    return mix(first ^ (second << U(1))) >> U(1)
+def _repeats(own: _Bucket, found: pa.Table, window: int) -> np.ndarray:
+    """Starts of the runs whose digest was confirmed."""
+    if not found.num_rows:
+        return np.empty(0, np.int64)
+    runs = np.concatenate([np.frombuffer(x.as_py(), _RUN) for x in found.column("body")])
+    halves = np.ascontiguousarray(np.stack([runs["high"], runs["low"]], axis=1)).tobytes()
+    confirmed = {halves[i : i + 16] for i in range(0, len(halves), 16)}
+    at = np.flatnonzero(whole_windows(own.first, window))
+    at = at[_is_in(window_hashes(own.hashes, window)[at], np.sort(runs["hash"]))]
+    return at[np.fromiter((x in confirmed for x in own.digests(at, window)), bool, len(at))]
 
 
-def _finish(key: tuple, docs: pa.Table, found: pa.Table, block: int, window: int, bits: int) -> pa.Table:
+def _finish(key: tuple, docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
     """The bucket's documents without the words of confirmed runs."""
-    hashes, first, parts = _bucket_words(docs.select(["doc_id", "text"]))
-    covered = np.zeros(len(hashes) + 1, np.int32)
-    if found.num_rows:
-        confirmed = _found(found)
-        # A confirmed run holds a hit by construction, and other runs can't share its key: no need to know the hits again.
-        at = np.flatnonzero(whole_windows(first, window))
-        at = at[_is_in(_confirm_keys(hashes, at, window), confirmed)]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + window, -1)
+    own = _bucket(docs.column("text"))
+    covered = np.zeros(len(own.hashes) + 1, np.int32)
+    at = _repeats(own, found, window)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + window, -1)
     gone = np.cumsum(covered[:-1]) > 0
-    ids, texts, n_words, n_removed, spans, done = [], [], [], [], [], 0
-    for batch, words in parts:
-        n = len(words.starts)
-        here = gone[done : done + n]
-        done += n
-        total = np.concatenate([[0], np.cumsum(here)])
-        raw, starts, ends = words.data.tobytes(), words.starts, words.ends
-        for row, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            out = here[a:b]
-            if total[b] == total[a]:
-                kept, runs = np.arange(a, b), []
-            else:
-                kept = np.flatnonzero(~out) + a
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                runs = [{"start": x, "end": y} for x, y in turn.reshape(-1, 2).tolist()]
-            texts.append(b" ".join([raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]))
-            spans.append(runs)
-            n_words.append(b - a)
-            n_removed.append(int(total[b] - total[a]))
-        ids.append(batch.column("doc_id"))
+    total = np.concatenate([[0], np.cumsum(gone)])
+    n_removed = total[own.first[1:]] - total[own.first[:-1]]
+    body, place = own.body, own.at
+    texts, spans = [], []
+    for a, b, n in zip(own.first[:-1].tolist(), own.first[1:].tolist(), n_removed.tolist(), strict=True):
+        if not n:
+            texts.append(body[place[a] : max(place[b] - 1, place[a])])
+            spans.append([])
+            continue
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).reshape(-1, 2)
+        spans.append([{"start": x, "end": y} for x, y in turn.tolist()])
+        kept = zip([a, *(turn[:, 1] + a).tolist()], [*(turn[:, 0] + a).tolist(), b], strict=True)
+        texts.append(b" ".join([body[place[x] : place[y] - 1] for x, y in kept if x < y]))
     return pa.table(
         {
-            "doc_id": pa.chunked_array(ids, docs.schema.field("doc_id").type),
-            "n_words": pa.array(n_words, pa.int64()),
-            "n_removed": pa.array(n_removed, pa.int64()),
+            "doc_id": docs.column("doc_id"),
+            "n_words": pa.array(np.diff(own.first)),
+            "n_removed": pa.array(n_removed),
             "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
         }
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None, bucket_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, repeats: maximal runs of removed words, end exclusive, kept_text: kept words joined by a space)."""
     block = block or (window + 1) // 2
     if not 0 < 2 * block - 1 <= window:
         raise ValueError("a repeat must hold a whole block: 2 * block - 1 <= window")
     spark = docs.sparkSession
     total = text_bytes(docs)
+    bucket_bytes = bucket_bytes or min(_MOST_BUCKET, max(_LEAST_BUCKET, math.isqrt(_SET * total)))
     buckets = shares(total, bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # About 6 bytes a word; 13 bits over the logarithm leave one chance hit in some thousand probes, which the extension sorts out.
     bits = min(60, max(40, (total // 6 + 1).bit_length() + 13))
-    parts = shares(total // 6, 2_000_000, 8)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "bucket")
+    parts = shares(total, bucket_bytes, 8)
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+    dealt = docs.select(bucket.alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionById(buckets, F.col("bucket"))
     each = dealt.groupBy("bucket")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
+    def by(sets: DataFrame, column: str, n: int):
+        return sets.repartitionById(n, F.col(column)).groupBy(column)
+
     probes = each.applyInArrow(lambda key, table: _probe(key, table, block, bits, parts), _SETS)
-    hits = probes.groupBy("part").applyInArrow(lambda key, table: _hits(key, table, 2), "bucket long, body binary")
-    runs = each.cogroup(hits.groupBy("bucket")).applyInArrow(lambda key, docs, found: _extend(key, docs, found, block, window, bits, parts), _SETS)
-    confirmed = runs.groupBy("part").applyInArrow(lambda key, table: _hits(key, table, 1), "bucket long, body binary")
-    return each.cogroup(confirmed.groupBy("bucket")).applyInArrow(
-        lambda key, docs, found: _finish(key, docs, found, block, window, bits),
+    hits = by(probes, "part", parts).applyInArrow(_hits, "bucket int, body binary")
+    runs = each.cogroup(by(hits, "bucket", buckets)).applyInArrow(lambda key, docs, found: _extend(key, docs, found, block, window, bits, parts), _SETS)
+    confirmed = by(runs, "part", parts).applyInArrow(_confirm, "bucket int, body binary")
+    return each.cogroup(by(confirmed, "bucket", buckets)).applyInArrow(
+        lambda key, docs, found: _finish(key, docs, found, window),
         f"doc_id {doc_type}, n_words long, n_removed long, repeats array<struct<start: long, end: long>>, kept_text string",
     )
 

@@ -7,15 +7,17 @@ rows, and each page has its column index: a reader of a doc_id range, or of the
 document's offset in its shard; the manifest beside the shards holds each shard's token total, from which prefix sums give
 global offsets. So one pass encodes, and no second pass over the tokens is needed to place them.
 
-How it scales: one range shuffle of the texts by doc_id, then everything streams. The manifest has a row for each shard
-(an output partition), and only that is ever gathered or broadcast.
+How it scales: one range shuffle of the texts by doc_id, then everything streams. Rows that share a doc_id, null too, are ranged
+on by a hash of their text, and equal rows by their place in the input, so no id and no text is one task's. The manifest has
+a row for each shard (an output partition), and only that is ever gathered or broadcast.
 
 Encoding is the tokenizers library's, with a memo (a lone word goes to its model directly): texts are cut before white space that follows a character that can't
-join it and before marks that follow a letter, each distinct piece is encoded once, and the ids are put together by array lookups. Neither kind of vocabulary
+join it and before marks that follow a letter, each distinct short piece is encoded once, and the ids are put together by array lookups. A piece is looked up by
+hash and then compared byte by byte; longer pieces, and any that only share a hash, are encoded by themselves. Neither kind of vocabulary
 used here can make a token across such a cut; tests compare with whole-text encoding.
 
-Cases: a null text is empty, and gives the end id alone. Rows that share a doc_id stay separate rows, in the order of their
-texts; null doc_ids come first. Special tokens' strings in a text are encoded as the library does by default. Other columns
+Cases: a null text is empty, and gives the end id alone. Rows that share a doc_id stay separate rows, in the order of xxhash64 of
+their texts; null doc_ids come first. Special tokens' strings in a text are encoded as the library does by default. Other columns
 are ignored. An empty table gives empty shards and no rows.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -34,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.shared import bounded_batches, shares, text_bytes
-from siltbed.llm.words import Numbers, kept, small_batches, span_hashes, utf8
+from siltbed.llm.words import Numbers, Octets, hash_octets, kept, octets, small_batches, span_octets, utf8
 from siltbed.sources.folders import new_folder
 
 #: Beyond so many, shards grow instead: the manifest stays a table that a driver can hold.
 _MOST_SHARDS = 50_000
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
-#: Of the memo of a worker: slots at first as a power of two, and the most pieces, after which it starts anew (one text may have more).
-_MEMO_BITS, _MEMO_PIECES = 21, 1_000_000
+#: Of the memo of a worker: slots at first as a power of two, the most pieces, after which it starts anew (one text may have more), and the octets of the longest.
+_MEMO_BITS, _MEMO_PIECES, _MEMO_OCTETS = 20, 600_000, 3
 #: Written by the shard writer; a smaller row group or page makes selective reads cheaper and full reads dearer.
 LAYOUT = {
     "compression": "zstd",
@@ -58,6 +61,7 @@ LAYOUT = {
 }
 
 
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _ASCII_LETTERS = np.zeros(256, bool)
 _ASCII_LETTERS[65:91] = _ASCII_LETTERS[97:123] = True
 #: Byte-level vocabularies write each byte as a character: visible ones of Latin-1 as themselves, the others from U+0100 on.
@@ -72,7 +76,7 @@ _MARKS &= ~_ASCII_LETTERS
 
 
 class MemoTokenizer:
-    """encode(): ids of all texts of a batch and n + 1 bounds. Pieces are told apart by 64-bit hashes."""
+    """encode(): ids of all texts of a batch and n + 1 bounds. The memo holds the bytes of its pieces, and only equal bytes share an entry."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
@@ -95,6 +99,7 @@ class MemoTokenizer:
     def _clear(self) -> None:
         self.known = Numbers(_MEMO_BITS)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.length, self.spelling = np.zeros(1 << 16, np.uint8), np.zeros((1 << 16, _MEMO_OCTETS), np.uint64)
         self.ids, self.n_ids = np.zeros(1 << 18, np.int32), 0
 
     def _find_direct(self) -> tuple[bool, bool] | None:
@@ -125,21 +130,42 @@ class MemoTokenizer:
                 out[i] = x.ids
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str], words: np.ndarray) -> None:
+    def _make_room(self, ids: int) -> None:
+        while self.n_ids + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str], words: np.ndarray, length: np.ndarray, spelling: Octets) -> None:
         found = self._encoded(pieces, words)
         size = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         n, m = self.known.n, len(found)
         while n + m > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.begin, self.size, self.length, self.spelling = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.length, self.spelling))
+        self._make_room(len(flat))
         self.begin[n : n + m] = self.n_ids + np.cumsum(size) - size
         self.size[n : n + m] = size
+        self.length[n : n + m] = length
+        self.spelling[n : n + m] = 0
+        for k, (at, octet) in enumerate(spelling):
+            self.spelling[n + (np.arange(m) if at is None else at), k] = octet
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.n_ids += len(flat)
         self.known.add(hashes)
 
+    @staticmethod
+    def _told(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Pieces as text, and which are one optional space and letters."""
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pieces, np.fromiter((_LETTERS(x) is not None for x in pieces), bool, len(pieces))
+
+    def _same(self, length: np.ndarray, spelling: Octets, entry: np.ndarray) -> np.ndarray:
+        """Has each piece the bytes of its entry?"""
+        out = (self.length[entry] == length) & (self.spelling[entry, 0] == spelling[0][1])
+        for k, (at, octet) in enumerate(spelling[1:], 1):
+            out[at] &= self.spelling[entry[at], k] == octet
+        return out
+
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Ends of documents; each space or newline after visible ASCII or a letter from U+00C0 to U+00FF; each mark after a letter."""
         edge = np.zeros(len(data) + 1, bool)
@@ -158,28 +184,37 @@ class MemoTokenizer:
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
         cuts = self._cuts(data, offsets)
-        hashes = span_hashes(data, cuts[:-1], cuts[1:])
+        start, end = cuts[:-1], cuts[1:]
+        length = end - start
+        short = np.flatnonzero(length <= 8 * _MEMO_OCTETS)
+        size = length[short]
+        view = octets(data)
+        spelling = span_octets(view, start[short], size, _MEMO_OCTETS)
+        hashes = hash_octets(size, spelling)
         hashes[hashes == 0] = 1
-        piece = self.known.find(hashes)
-        new = np.flatnonzero(piece < 0)
+        entry = self.known.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if self.known.n and self.known.n + len(new) > _MEMO_PIECES:
+            self._clear()
+            return self.encode(column)
         if len(new):
-            if self.known.n + len(new) > _MEMO_PIECES and self.known.n:
-                self._clear()
-                return self.encode(column)
-            distinct, at = np.unique(hashes[new], return_index=True)
-            raw, at = data.tobytes(), new[at]
-            start, end = cuts[at], cuts[at + 1]
-            letter = _ASCII_LETTERS[data] | (data == 0xC3)
-            letter[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-            other = np.concatenate([[0], np.cumsum(~letter, dtype=np.int32)])
-            begin = start + (data[start] == 0x20)
-            words = (other[end] == other[begin]) & (end > begin)
-            self._learn(distinct, [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], words)
-            piece[new] = self.known.find(hashes[new])
-        size = self.size[piece]
+            distinct, first = np.unique(hashes[new], return_index=True)
+            at = new[first]
+            self._learn(distinct, *self._told(data, start[short[at]], start[short[at]] + size[at]), size[at], span_octets(view, start[short[at]], size[at], _MEMO_OCTETS))
+            entry[new] = self.known.find(hashes[new])
+        piece = np.full(len(start), -1, np.int32)
+        piece[short] = np.where(self._same(size, spelling, entry), entry, -1)
+        alone = np.flatnonzero(piece < 0)
+        begin, size = self.begin[piece], self.size[piece]
+        if len(alone):  # their ids lie behind the memo's until the next batch
+            found = self._encoded(*self._told(data, start[alone], end[alone]))
+            size[alone] = np.fromiter(map(len, found), np.int32, len(found))
+            begin[alone] = self.n_ids + np.cumsum(size[alone]) - size[alone]
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(size[alone].sum()))
+            self._make_room(len(flat))
+            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         ends = np.cumsum(size, dtype=np.int64)
-        bounds = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
-        return self.ids[np.repeat(self.begin[piece] - ends + size, size) + np.arange(int(ends[-1]))], bounds
+        return self.ids[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]))], np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +255,10 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard
 
     total = text_bytes(docs)
     n = shares(total, max(shard_bytes, total // _MOST_SHARDS), spark.sparkContext.defaultParallelism)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(run, f"shard int, place long, doc_id {kind}, n_tokens long, ids array<int>")
+    # A row's place in the input spreads equal rows; which of them is where makes no difference.
+    placed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = placed.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text")
+    encoded = ordered.select("doc_id", "text").mapInArrow(run, f"shard int, place long, doc_id {kind}, n_tokens long, ids array<int>")
     encoded.write.options(**LAYOUT).parquet(f"{path}/shards")
     totals = spark.read.parquet(f"{path}/shards").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     totals.coalesce(1).write.parquet(f"{path}/manifest")

@@ -1,4 +1,4 @@
-"""Words of whole Arrow batches at once: byte classes give word bounds, prefix sums give 64-bit word and window hashes.
+"""Words of whole Arrow batches at once: byte classes give word bounds, octets of bytes word hashes, prefix sums window hashes.
 
 Every alphabet used here puts all bytes from 0x80 on one side, so classes of bytes are classes of code points.
 """
@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _kept: dict[Hashable, Any] = {}
@@ -39,10 +40,8 @@ ALNUM = _class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_random = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _random.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 #: Odd, 3 mod 4: then 1 - base has one factor two only, and swaps of neighbours change the sum.
-_BYTE_BASE, _WORD_BASE, _SECOND_BASE = 0x9E3779B97F4A7C17 | 3, 0xD6E8FEB86659FD93 | 3, 0xA0761D6478BD642F | 3
+_WORD_BASE = 0xD6E8FEB86659FD93 | 3
 _STEP = 1 << 12
 
 
@@ -63,20 +62,15 @@ class _Powers:
             x = x * base % 2**64
         return out
 
-    def at(self, n: np.ndarray) -> np.ndarray:
-        while len(self.high) * _STEP <= (int(n[-1]) if len(n) else 0):
-            top = pow(self.base, _STEP * len(self.high), 2**64)
-            self.high = np.concatenate([self.high, self.high * U(top)])
-        return self.low[n & (_STEP - 1)] * self.high[n >> 12]
-
     def upto(self, n: int) -> np.ndarray:
         """base ** 0 .. base ** (n - 1)."""
-        self.at(np.array([n]))
+        while len(self.high) * _STEP < n:
+            top = pow(self.base, _STEP * len(self.high), 2**64)
+            self.high = np.concatenate([self.high, self.high * U(top)])
         return (self.high[: -(-n // _STEP), None] * self.low[None, :]).reshape(-1)[:n]
 
 
-_byte_up, _byte_down = _Powers(_BYTE_BASE), _Powers(pow(_BYTE_BASE, -1, 2**64))
-_word = {base: (_Powers(base), _Powers(pow(base, -1, 2**64))) for base in (_WORD_BASE, _SECOND_BASE)}
+_word_up, _word_down = _Powers(_WORD_BASE), _Powers(pow(_WORD_BASE, -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,15 +96,95 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends)
 
 
+#: The first n bytes of a little-endian octet.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 64
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a little-endian integer; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(_LONG + 8, np.uint8)])
+    return np.ndarray((len(data) + _LONG + 1,), "<u8", padded, 0, (1,))
+
+
+#: For each octet of spans in turn: which of them reach it (None is all) and their octets, zeros beyond a span's end.
+Octets = list[tuple[np.ndarray | None, np.ndarray]]
+
+
+def span_octets(view: np.ndarray, starts: np.ndarray, size: np.ndarray, most: int) -> Octets:
+    """The first `most` octets of spans, from octets()."""
+    out: Octets = [(None, view[starts] & _FIRST[np.minimum(size, 8)])]
+    more = np.flatnonzero(size > 8)
+    for k in range(1, most):
+        if not len(more):
+            break
+        left = size[more] - 8 * k
+        out.append((more, view[starts[more] + 8 * k] & _FIRST[np.minimum(left, 8)]))
+        more = more[left > 8]
+    return out
+
+
+def hash_octets(size: np.ndarray, spans: Octets) -> np.ndarray:
+    """A 64-bit hash of each span; every step is one-to-one in both its inputs."""
+    out = mix((size.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15) ^ spans[0][1])
+    for at, octet in spans[1:]:
+        out[at] = mix((out[at] + U(0xA0761D6478BD642F)) ^ octet)
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes that isn't empty; starts ascend."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    terms = _BYTE[data]
-    terms *= _byte_up.upto(len(data))
-    sums = np.cumsum(terms, dtype=np.uint64)
-    value = (sums[ends - 1] - sums[starts] + terms[starts]) * _byte_down.at(starts)
-    return mix(value + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    """A 64-bit hash of each span of bytes. It only tells what may be equal: who needs to know compares bytes or digests."""
+    size = ends - starts
+    out = hash_octets(size, span_octets(octets(data), starts, size, _LONG // 8))
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        raw = memoryview(data)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
+
+
+_P1, _P2, _P3, _P4, _P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U(bits)) | (x >> U(64 - bits))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span: spans of under 32 bytes step by step together, longer ones by the library."""
+    size = ends - starts
+    view = octets(data)
+    out = U(seed) + _P5 + size.astype(np.uint64)
+    at = starts.copy()
+    left = size.copy()
+    short = size < 32
+    more = np.flatnonzero(short & (left >= 8))
+    while len(more):
+        out[more] = _turned(out[more] ^ (_turned(view[at[more]] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at[more] += 8
+        left[more] -= 8
+        more = more[left[more] >= 8]
+    more = np.flatnonzero(short & (left >= 4))
+    out[more] = _turned(out[more] ^ ((view[at[more]] & _FIRST[4]) * _P1), 23) * _P2 + _P3
+    at[more] += 4
+    left[more] -= 4
+    more = np.flatnonzero(short & (left > 0))
+    while len(more):
+        out[more] = _turned(out[more] ^ ((view[at[more]] & _FIRST[1]) * _P5), 11) * _P1
+        at[more] += 1
+        left[more] -= 1
+        more = more[left[more] > 0]
+    out ^= out >> U(33)
+    out *= _P2
+    out ^= out >> U(29)
+    out *= _P3
+    out ^= out >> U(32)
+    long = np.flatnonzero(~short)
+    if len(long):
+        raw = memoryview(data)
+        out[long] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
 class Numbers:
@@ -139,7 +213,7 @@ class Numbers:
         return out
 
     def add(self, hashes: np.ndarray) -> None:
-        """Distinct hashes that aren't there yet."""
+        """Distinct hashes that aren't there yet and aren't zero."""
         bits = int(self.low).bit_length()
         if 4 * (self.n + len(hashes)) > 3 << bits:
             while 4 * (self.n + len(hashes)) > 3 << bits:
@@ -196,14 +270,23 @@ def find_words(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> W
     return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
-def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of `size` neighbouring word hashes, across documents too: the caller leaves those out."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    up, down = _word[_SECOND_BASE if second else _WORD_BASE]
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up.upto(len(words)), dtype=np.uint64, out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down.upto(len(words) - size + 1))
+    np.cumsum(words * _word_up.upto(len(words)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _word_down.upto(len(words) - size + 1))
+
+
+def spaced(words: Words, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a batch, each followed by one space, and where each begins (one more at the end)."""
+    at = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+    body = np.full(int(at[-1]), 32, np.uint8)
+    letters = np.ones(int(at[-1]), bool)
+    letters[at[1:] - 1] = False
+    body[letters] = words.data[alphabet[words.data]]
+    return body, at
 
 
 def whole_windows(first: np.ndarray, size: int) -> np.ndarray:

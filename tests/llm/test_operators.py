@@ -82,9 +82,30 @@ def test_links_cover_all_pairs_within_three_bits(spark):
     fps = sorted({int(x) for x in fps} | {0, 1, 3, 7, 2**64 - 1})
     want = plain_components([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3], fps)
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()
-    got = plain_components([(e.a % 2**64, e.b % 2**64) for e in edges], fps)
-    assert got == want
+    for hot in (simhash.HOT, 3):
+        edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), hot=hot).collect()
+        got = plain_components([(e.a % 2**64, e.b % 2**64) for e in edges], fps)
+        assert got == want
+
+
+def test_hot_anchors_are_split(spark):
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 2**32, 5_000, dtype=np.uint64)).view(np.int64)  # all share one half
+    fps = np.unique(np.concatenate([fps, fps[:500] ^ (1 << 40), fps[500:1000] ^ 0b1101]))
+    near = [(int(x), int(y)) for k, x in enumerate(fps) for y in fps[k + 1 :][np.bitwise_count((fps[k + 1 :] ^ x).view(np.uint64)) <= 3]]
+    got = [(e.a, e.b) for e in simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()]
+    assert len(near) > 1000 and plain_components(got, fps.tolist()) == plain_components(near, fps.tolist())
+
+
+def test_groups_meet_their_aggregates_whatever_their_size(spark, monkeypatch):
+    import siltbed.llm.components as module
+
+    rows = [(0, i) for i in range(400)] + [(i, i) for i in range(1, 50)]
+    df = spark.createDataFrame(rows, "u long, v long")
+    for most in (10_000, 1):
+        monkeypatch.setattr(module, "_MOST_HUBS", most)
+        got = Counter(map(tuple, module.with_group(df, "u", F.max("v").alias("top")).select("u", "v", "top").collect()))
+        assert got == Counter((u, v, 399 if u == 0 else v) for u, v in rows)
 
 
 def test_each_half_meets_its_neighbours_at_an_anchor():
@@ -100,7 +121,7 @@ def test_each_half_meets_its_neighbours_at_an_anchor():
 def test_large_group_of_near_copies_gives_few_links():
     base = np.uint64(0x123456789ABCDEF0)
     fps = np.unique(np.array([int(base) ^ (1 << i) ^ (1 << j) for i in range(32, 64) for j in range(32, i)], np.uint64)).view(np.int64)
-    a, b = simhash._links(np.zeros(len(fps), np.int64), fps, 3)
+    a, b = simhash._links(np.arange(len(fps)) == 0, fps, 3)
     assert len(a) < 2 * len(fps)
     nodes, roots = forest(a, b)
     assert len(nodes) == len(fps) - 1 and len(set(roots.tolist())) == 1
@@ -122,7 +143,8 @@ def test_tokens_and_pieces_equal_whole_text_encoding(spark, cases, case_rows, na
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(file))
-    order = sorted(case_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    placed = lambda text: (xxhash.xxh64_intdigest(text, 42) + 2**63) % 2**64  # noqa: E731  as Spark's signed hash orders
+    order = sorted(case_rows, key=lambda r: (r[0] is not None, r[0] or 0, placed(r[1] or ""), r[1] is not None))
     want, at = [], 0
     for doc, text, *_ in order:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
@@ -160,6 +182,43 @@ def test_memo_equals_the_library_on_odd_texts(file):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_memo_tells_equal_hashes_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "hash_octets", lambda size, spans: np.full(len(size), 7, np.uint64))
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        memo = tokens.MemoTokenizer(f.read())
+    for text in ("one two three two one", "three one four", "a" * 30 + " bb " + "b" * 40):
+        assert memo.encode(pa.array([text]))[0].tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def morse(n, swap):
+    """2 ** n letters whose sums of powers of any odd base agree modulo 2 ** 64 for both values of swap, from n = 11 on."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(1 << n))
+
+
+def test_alike_strings_have_their_own_ids():
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        with open(vocabulary(file), encoding="utf-8") as f:
+            memo = tokens.MemoTokenizer(f.read())
+        for n in (10, 11, 12):
+            texts = [morse(n, 0), morse(n, 1)]
+            ids, bounds = memo.encode(pa.array(texts))
+            for k, text in enumerate(texts):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 256, 20_000, dtype=np.uint8)
+    starts = np.sort(rng.choice(19_000, 3000))
+    ends = starts + rng.integers(0, 140, 3000)
+    raw, seen = data.tobytes(), {}
+    assert words.xxh64(data, starts, ends, 42).tolist() == [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts, ends, strict=True)]
+    for a, b, h in zip(starts.tolist(), ends.tolist(), words.span_hashes(data, starts, ends).tolist(), strict=True):
+        assert seen.setdefault(h, raw[a:b]) == raw[a:b]
+    hashes = {h for n in (10, 11, 12) for s in (0, 1) for h in words.span_hashes(np.frombuffer(morse(n, s).encode(), np.uint8), np.array([0]), np.array([1 << n])).tolist()}
+    assert len(hashes) == 6
+
+
 def test_memo_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr(tokens, "_MEMO_PIECES", 50)
     with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -219,6 +278,40 @@ def test_repeats_equal_counting_all_windows(spark, case_rows, window):
         substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 10, 6)
 
 
+def plain_repeats(rows, window):
+    texts = [SPACED.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
+    want = Counter()
+    for (doc, _), w in zip(rows, texts, strict=True):
+        gone = {k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
+        want[doc, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    return want
+
+
+def test_only_equal_words_are_repeats(spark, monkeypatch):
+    """Words whose sums of powers agree, and windows whose hashes all agree."""
+    some = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*some[:20], morse(11, 0), *some[20:40]])), (2, " ".join([*some[:20], morse(11, 1), *some[20:40]])), (3, " ".join(some)), (4, " ".join(some[10:55])), (5, " ".join(reversed(some)))]
+    out = lambda: Counter(map(tuple, substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "n_words", "n_removed", "kept_text").collect()))
+    assert out() == plain_repeats(rows, 35)
+    table = pa.table({"bucket": pa.array([0] * 5, pa.int32()), "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda hashes, size: np.full(max(len(hashes) - size + 1, 0), 1 << 63, np.uint64))
+    key = (pa.scalar(0),)
+    hits = substring_dedup._hits(key, substring_dedup._probe(key, table, 18, 45, 3))
+    runs = substring_dedup._extend(key, table, hits, 18, 35, 45, 3)
+    found = substring_dedup._finish(key, table, substring_dedup._confirm(key, runs), 35).select(["doc_id", "n_words", "n_removed", "kept_text"]).to_pylist()
+    assert Counter(tuple(r.values()) for r in found) == plain_repeats(rows, 35)
+
+
+def test_repeats_under_one_id_and_in_copies(spark):
+    rows = [(None, " ".join(f"x{i * 37 % 101 + k}" for i in range(80))) for k in range(30)] + [(None, "same words again and " * 20)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs, bucket_bytes=500)
+    assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_text").collect())) == plain_repeats(rows, 35)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_packed_sets_round_trip():
     rng = np.random.default_rng(1)
     for high in (3, 2**20, 2**40, 2**63):
