@@ -5,10 +5,19 @@ the lexicon has it, the word itself (words with digits have no features and foll
 learned with them. Forward-backward gives each word's language probabilities; a document's are their mean, so a text that
 switches between languages is scored by how much of it is in each.
 
-Training takes labelled rows, at most `per_language` for each language (those with the least hash of their doc_id, so the
-choice doesn't depend on order or partitions), at most `languages` languages, cuts them to short segments, and joins
-segments of different documents to sequences, so that switches occur and their rate is learned. That bounded sample is all
-that reaches the driver, and the model that is broadcast has a fixed size. Everything else is one streaming pass.
+Labelled words: label_words gives the runs of words of one language, with their places in the text.
+
+Training takes labelled rows, at most `per_language` for each language (those with the least hash of doc_id and text, so the
+choice doesn't depend on order or partitions, and a null doc_id counts like any other), for at most `languages` languages (those with the most
+sampled rows, then by name; others are never predicted), cuts them to short segments, and joins
+segments of different documents to sequences, so that switches occur and their rate is learned. The lexicon takes the `lexicon` most frequent
+words of all languages together. That bounded sample is all that reaches the driver, and the model that is broadcast has a fixed size.
+Everything else is one streaming pass, in batches that shrink as languages grow in number; a text of more words than a batch
+should have is scored in stretches that carry the chain's messages.
+
+Rejection: a text whose words look like none that were learned. For each language the sample's second half tells which share of byte 4-grams
+(ends of words marked) the first half had; `prevailing` drops texts with under `FAMILIAR` of the least such share of their language. Texts of under
+`_FEW` 4-grams, and languages with under 20 rows to tell from, are never dropped.
 
 Cases: a text that is null or has no letter is 'und' with score 0. A null lang is never learned from. Without labelled rows
 all is 'und'. Rows that share a doc_id each get a row. Ties go to the language that sorts first. Other columns are
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import BATCH_BYTES, bounded_batches
+from siltbed.llm.shared import BATCH_BYTES, bounded_batches, written
 from siltbed.llm.words import LOWER, Numbers, Words, find_words, kept, small_batches, span_hashes, utf8
 
 UNKNOWN = "und"
@@ -37,6 +46,10 @@ _LETTERS = _DIGITS.copy()
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _NGRAMS = (1, 2, 3, 4)
 _BUCKETS = 1 << 16
+#: Slots for 4-grams as a power of two, 4-grams below which a text isn't judged, and the share of what a language's own texts have.
+_SLOTS, _FEW, FAMILIAR = 22, 40, 0.6
+#: Numbers that an array over words and languages may have.
+_CELLS = 6_000_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +61,7 @@ class Training:
     segments: int = 16  # of a document
     segment: int = 12  # words
     joined: int = 3  # segments in a sequence
-    lexicon: int = 20_000
+    lexicon: int = 20_000  # words
     steps: int = 40
     rate: float = 0.3
     decay: float = 1e-5
@@ -88,6 +101,29 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return every[order], np.searchsorted(owner[order], np.arange(len(size)))
 
 
+def _quads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all words' 4-grams, ends marked, and the word of each."""
+    size = np.maximum(ends - starts - 1, 1)  # a word of n bytes has n + 2 with its marks; shorter than four is one
+    word = np.repeat(np.arange(len(size)), size)
+    at = np.repeat(starts - 1, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(4):
+        place = at + k
+        byte = data[np.clip(place, 0, len(data) - 1)].astype(np.uint64)
+        byte[place < starts[word]] = 2
+        byte[place >= ends[word]] = 3
+        code = code << np.uint64(8) | byte
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64), word
+
+
+def _shares(words: Words, seen: np.ndarray) -> np.ndarray:
+    """Of each text, the share of its 4-grams that are seen; nan for a text with few."""
+    slots, word = _quads(words.data, words.starts, words.ends)
+    doc = np.searchsorted(words.first, word, "right") - 1
+    n, known = np.bincount(doc, minlength=len(words.first) - 1), np.bincount(doc, seen[slots], len(words.first) - 1)
+    return np.where(n >= _FEW, known / np.maximum(n, 1), np.nan)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -96,6 +132,8 @@ class Model:
     lexical: np.ndarray  # lexicon row, language
     first: np.ndarray
     moves: np.ndarray  # from, to
+    quads: np.ndarray  # slots of 4-grams seen, packed to bits
+    least: np.ndarray  # language: least share of 4-grams
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -139,6 +177,7 @@ def train(texts: list[str], labels: list[str], settings: Training = Training())
     first = np.concatenate([[0], np.cumsum(plain)])[words.first]
     words = Words(words.data, words.starts[plain], words.ends[plain], first, words.offsets)
     hashes = words.hashes()
+    least = _least_shares(words, np.array([number[x] for x in labels], np.int64), len(names))
     rng = np.random.default_rng(7)
     pieces: list[tuple[int, int]] = []
     for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
@@ -193,77 +232,182 @@ def train(texts: list[str], labels: list[str], settings: Training = Training())
             mean[x] = 0.9 * mean[x] + 0.1 * g
             square[x] = 0.99 * square[x] + 0.01 * g * g
             v += settings.rate * (mean[x] / (1 - 0.9**step)) / (np.sqrt(square[x] / (1 - 0.99**step)) + 1e-8) / (1 + step / 10)
-    return Model(names, params["ngrams"].astype(np.float32), used[lexicon], params["lexical"].astype(np.float32), params["first"], params["moves"])
+    quads = np.zeros(1 << _SLOTS, bool)
+    quads[_quads(words.data, words.starts, words.ends)[0]] = True
+    return Model(names, params["ngrams"].astype(np.float32), used[lexicon], params["lexical"].astype(np.float32), params["first"], params["moves"], np.packbits(quads), least)
+
+
+def _least_shares(words: Words, label: np.ndarray, k: int) -> np.ndarray:
+    """For each language, FAMILIAR of the least share of 4-grams that a text of odd place has in common with all of even place."""
+    doc = np.searchsorted(words.first, np.arange(len(words.starts)), "right") - 1
+    even = doc % 2 == 0
+    seen = np.zeros(1 << _SLOTS, bool)
+    seen[_quads(words.data, words.starts[even], words.ends[even])[0]] = True
+    share = _shares(words, seen)
+    out = np.zeros(k)
+    for j in range(k):
+        own = share[(label == j) & (np.arange(len(label)) % 2 == 1)]
+        own = own[~np.isnan(own)]
+        if len(own) >= 20:
+            out[j] = FAMILIAR * own.min()
+    return out
 
 
 def sample(docs: DataFrame, settings: Training = Training()) -> tuple[list[str], list[str]]:
-    """Texts and labels of the bounded training sample: a top-k per language on (doc_id, lang) alone, then those rows' texts."""
+    """Texts and labels of the bounded training sample: a top-k per language on hashes alone, then those rows' texts."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.where("text is not null and lang is not null")
-    order = F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")
-    ranked = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    chosen = ranked.where(F.col("_rank") <= settings.per_language).select("doc_id", "lang").distinct()
-    languages = sorted(r.lang for r in chosen.select("lang").distinct().limit(settings.languages).collect())
-    ids = chosen.where(F.col("lang").isin(languages))
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").orderBy("lang", "doc_id", "text").limit(settings.per_language * len(languages)).collect()
+    labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text").withColumn("_hash", F.xxhash64(F.lit(17), "doc_id", "text"))
+    best = lambda rows, *order: rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_rank") <= settings.per_language).drop("_rank")
+    chosen = written(best(labelled.select("lang", "_hash"), "_hash"), "sample")
+    found = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(settings.languages).collect()
+    # At most per_language rows for each of `languages`: broadcast whatever the table's size.
+    keys = F.broadcast(chosen.where(F.col("lang").isin([r.lang for r in found])).distinct())
+    rows = best(labelled.join(keys, ["lang", "_hash"], "left_semi"), "_hash", "doc_id", "text").collect()
+    rows.sort(key=lambda r: (r.lang, r._hash, r.text))
     return [r.text for r in rows], [r.lang for r in rows]
 
 
+@dataclass
+class _Found:
+    """Of the texts of a batch: mean word probabilities (text, language), 4-grams, those seen, and if asked for each word's language."""
+
+    chance: np.ndarray
+    quads: np.ndarray
+    seen: np.ndarray
+    labels: np.ndarray | None
+    count: np.ndarray
+
+
 class _Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.quads = np.unpackbits(model.quads).astype(bool)
+        self.most = max(20_000, 2_400_000 // len(model.languages))  # words in the memo
+        self.step = np.exp(model.moves - model.moves.max()).astype(np.float32)
+        self.first = np.exp(model.first - model.first.max()).astype(np.float32)
         self._clear()
 
     def _clear(self) -> None:
         self.known = Numbers(20)
-        self.table = np.zeros((1 << 14, len(self.model.languages)), np.float32)
+        self.table = np.zeros((1 << 12, len(self.model.languages)), np.float32)
+        self.familiar = np.zeros((1 << 12, 2), np.int32)  # 4-grams of a word, and those seen
 
-    def _emissions(self, words: Words) -> np.ndarray:
-        """Of all words of a part; each distinct word's features are looked up once."""
+    def _numbers(self, words: Words) -> np.ndarray:
+        """Places in the tables of all words of a part; each distinct word's features are looked up once. Number 0 is a word with digits."""
+        if not self.known.n:
+            self.known.add(np.array([1], np.uint64))
         hashes = words.hashes()
-        hashes[hashes == 0] = 1
+        hashes[hashes < 2] = 2
+        hashes[_coded(words)] = 1
         number = self.known.find(hashes)
         new = np.flatnonzero(number < 0)
         if len(new):
-            if self.known.n and self.known.n + len(new) > 600_000:
+            if self.known.n > 1 and self.known.n + len(new) > self.most:
                 self._clear()
-                return self._emissions(words)
+                return self._numbers(words)
             distinct, at = np.unique(hashes[new], return_index=True)
             at = new[at]
             n = self.known.n
             while n + len(at) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table, self.familiar = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.familiar))
             for a in range(0, len(at), 50_000):
                 some = at[a : a + 50_000]
-                self.table[n + a : n + a + len(some)] = self.model.emissions(words.data, words.starts[some], words.ends[some], distinct[a : a + 50_000])
+                place = slice(n + a, n + a + len(some))
+                starts, ends = words.starts[some], words.ends[some]
+                self.table[place] = self.model.emissions(words.data, starts, ends, distinct[a : a + 50_000])
+                slots, word = _quads(words.data, starts, ends)
+                self.familiar[place, 0] = np.bincount(word, minlength=len(some))
+                self.familiar[place, 1] = np.bincount(word, self.quads[slots], len(some))
             self.known.add(distinct)
             number[new] = self.known.find(hashes[new])
-        out = self.table[number]
-        out[_coded(words)] = 0
-        return out
-
-    def documents(self, column: pa.Array) -> np.ndarray:
-        """Mean word probabilities (document, language) by forward-backward; zeros for a text without words."""
-        model, k = self.model, len(self.model.languages)
+        return number
+
+    def _weights(self, number: np.ndarray) -> np.ndarray:
+        seen = self.table[number]
+        return np.exp(seen - seen.max(axis=1, keepdims=True)) if len(seen) else seen
+
+    def _stretched(self, numbers: list[np.ndarray], label: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """One text's chain in parts: the messages at each part's start are kept, and each part is gone through again on the way back."""
+        x, starts = None, []
+        for number in numbers:
+            starts.append(x)
+            for seen in self._weights(number):
+                x = seen * (self.first if x is None else x @ self.step)
+                x = x / x.sum()
+        total, y, labels = np.zeros(len(self.first)), np.ones(len(self.first), np.float32), []
+        for number, x in zip(reversed(numbers), reversed(starts), strict=True):
+            weights = self._weights(number)
+            ahead = np.empty_like(weights)
+            for t, seen in enumerate(weights):
+                x = seen * (self.first if x is None else x @ self.step)
+                x = ahead[t] = x / x.sum()
+            for t in range(len(weights) - 1, -1, -1):
+                both = ahead[t] * y
+                ahead[t] = both / both.sum()
+                y = (y * weights[t]) @ self.step.T
+                y = y / y.sum()
+            total += ahead.sum(axis=0, dtype=np.float64)
+            labels.append(ahead.argmax(axis=1))
+        return total, np.concatenate(labels[::-1]) if label else None
+
+    def documents(self, column: pa.Array, label: bool = False) -> _Found:
+        """By forward-backward; zeros for a text without words."""
+        k = len(self.model.languages)
         parts, counts = [], []
-        for batch in small_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+        for batch in small_batches(iter([pa.RecordBatch.from_arrays([column], ["text"])]), most=min(1 << 20, 6 * _CELLS // k)):
             words = _words(batch.column(0))
-            parts.append(self._emissions(words))
             counts.append(words.counts())
-        seen = np.concatenate(parts) if parts else np.zeros((0, k), np.float32)
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        seen = np.exp(seen - seen.max(axis=1, keepdims=True)) if len(seen) else seen
+            if counts[-1].size == 1 and counts[-1][0] * k > _CELLS:
+                parts.append(words)  # by itself
+            else:
+                parts.append(self._numbers(words))
+        out = [self._together(p, c, label) if isinstance(p, np.ndarray) else self._alone(p, label) for p, c in self._joined(parts, counts)]
+        if not out:
+            return _Found(np.zeros((0, k)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64) if label else None, np.zeros(0, np.int64))
+        return _Found(*(None if x[0] is None else np.concatenate(x) for x in ([getattr(f, name) for f in out] for name in ("chance", "quads", "seen", "labels", "count"))))
+
+    def _joined(self, parts: list, counts: list[np.ndarray]) -> Iterator[tuple]:
+        """Neighbouring parts together as long as their arrays stay small: the more texts at once, the fewer steps."""
+        held: list[np.ndarray] = []
+        of: list[np.ndarray] = []
+        for part, count in [*zip(parts, counts, strict=True), (None, None)]:
+            if held and (not isinstance(part, np.ndarray) or (sum(map(len, held)) + len(part)) * len(self.first) > _CELLS):
+                yield np.concatenate(held), np.concatenate(of)
+                held, of = [], []
+            if isinstance(part, np.ndarray):
+                held.append(part)
+                of.append(count)
+            elif part is not None:
+                yield part, count
+
+    def _alone(self, words: Words, label: bool) -> _Found:
+        each = max(1, _CELLS // len(self.first))
+        numbers, quads = [], np.zeros(2, np.int64)
+        most, self.most = self.most, 1 << 62  # numbers of one text stay valid
+        try:
+            for a in range(0, len(words.starts), each):
+                numbers.append(self._numbers(Words(words.data, words.starts[a : a + each], words.ends[a : a + each], words.first, words.offsets)))
+                quads += self.familiar[numbers[-1]].sum(axis=0)
+        finally:
+            self.most = most
+        total, labels = self._stretched(numbers, label)
+        return _Found(total[None, :] / len(words.starts), quads[:1], quads[1:], labels, np.array([len(words.starts)]))
+
+    def _together(self, number: np.ndarray, count: np.ndarray, label: bool) -> _Found:
+        k = len(self.first)
+        seen = self._weights(number)
         order = np.argsort(-count, kind="stable")
-        begin = (np.cumsum(count) - count)[order]
+        ends = np.cumsum(count)
+        begin = (ends - count)[order]
         size = count[order]
         longest = int(size[0]) if len(size) else 0
         alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # documents with a word at each place
-        step = np.exp(model.moves - model.moves.max()).astype(np.float32)
         ahead = np.empty_like(seen)
-        x = np.exp(model.first - model.first.max()).astype(np.float32)[None, :]
+        labels = np.zeros(len(seen), np.int64) if label else None
+        x = self.first[None, :]
         for t, n in enumerate(alive.tolist()):
             at = begin[:n] + t
-            x = seen[at] * (x[:n] @ step if t else x)
+            x = seen[at] * (x[:n] @ self.step if t else x)
             x /= x.sum(axis=1, keepdims=True)
             ahead[at] = x
         total = np.zeros((len(size), k))
@@ -274,52 +418,111 @@ class _Scorer:
             y = back[:n]
             both = ahead[at] * y
             total[:n] += both / both.sum(axis=1, keepdims=True)
-            y = (y * seen[at]) @ step.T
+            if labels is not None:
+                labels[at] = both.argmax(axis=1)
+            y = (y * seen[at]) @ self.step.T
             back[:n] = y / y.sum(axis=1, keepdims=True)
         out = np.zeros((len(size), k))
         out[order] = total / np.maximum(size, 1)[:, None]
-        return out
+        upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.familiar[number], axis=0, dtype=np.int64)])
+        quads = upto[ends] - upto[ends - count]
+        return _Found(out, quads[:, 0], quads[:, 1], labels, count)
 
 
-def _label(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a batch."""
-    names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
-    if model is None:
-        return names, scores
-    chance = kept(("language", model.key), lambda: _Scorer(model)).documents(column)
-    best = chance.argmax(axis=1)
-    scores = np.clip(chance[np.arange(len(best)), best], 0, 1)
-    for i in np.flatnonzero(scores > 0).tolist():
-        names[i] = model.languages[best[i]]
+def _scored(model: Model, column: pa.Array, label: bool = False) -> tuple[np.ndarray, np.ndarray, _Found]:
+    """Of each text of a batch: the number of its language, -1 without any, and the score."""
+    found = kept(("language", model.key), lambda: _Scorer(model)).documents(column, label)
+    best = found.chance.argmax(axis=1)
+    scores = np.clip(found.chance[np.arange(len(best)), best], 0, 1)
+    best[scores == 0] = -1
     data, offsets = utf8(column)
     plain = np.concatenate([[0], np.cumsum(_LETTERS[data] & ~_DIGITS[data] & (data < 128))])[offsets]
-    for i in np.flatnonzero((scores > 0) & (np.diff(plain) == 0)).tolist():
+    for i in np.flatnonzero((best >= 0) & (np.diff(plain) == 0)).tolist():
         if not any(map(str.isalpha, column[i].as_py() or "")):
-            names[i], scores[i] = UNKNOWN, 0.0
-    return names, scores
+            best[i], scores[i] = -1, 0.0
+    return best, scores, found
+
+
+def _small(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    """Batches whose arrays over words and languages stay small."""
+    return small_batches(batches, most=max(64 << 10, BATCH_BYTES * 4 // max(4, len(model.languages) if model else 4)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of docs."""
+    """(doc_id, lang_pred, score, n_runs: runs of words of one language) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, most=BATCH_BYTES):
-            names, scores = _label(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+        model = shared.value
+        for batch in _small(batches, model):
+            n = batch.num_rows
+            if model is None:
+                best, scores, runs = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
+            else:
+                best, scores, found = _scored(model, batch.column("text"), label=True)
+                runs = _turns(found)[1]
+                runs[best < 0] = 0
+            names = [UNKNOWN if x < 0 else model.languages[x] for x in best.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(runs)], ["doc_id", "lang_pred", "score", "n_runs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_runs long")
+
+
+def _turns(found: _Found) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each run of one language, and the runs of each text."""
+    ends = np.cumsum(found.count)
+    new = np.ones(len(found.labels), bool)
+    new[1:] = found.labels[1:] != found.labels[:-1]
+    new[(ends - found.count)[found.count > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(new)])
+    return np.flatnonzero(new), upto[ends] - upto[ends - found.count]
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
-def prevailing(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language with a score of `least` or more."""
+
+def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, runs: array of (start, end, lang)) for each row of docs: words of one language in a row, by code points, end exclusive.
+
+    Words with digits go with their neighbours. A text without words has no runs, nor has any if there is no model.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in _small(batches, model):
+            out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            if model is not None:
+                column = batch.column("text")
+                _, _, found = _scored(model, column, label=True)
+                words = _words(column)
+                begin = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])  # code points before each byte
+                turns, many = _turns(found)
+                last = np.append(turns[1:], len(words.starts))[: len(turns)] - 1
+                doc = np.repeat(np.arange(len(many)), many)
+                zero = begin[words.offsets[doc]]
+                for d, a, b, k in zip(doc.tolist(), (begin[words.starts[turns]] - zero).tolist(), (begin[words.ends[last]] - zero).tolist(), found.labels[turns].tolist(), strict=True):
+                    out[d].append({"start": a, "end": b, "lang": model.languages[k]})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _RUNS)], ["doc_id", "runs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, runs array<struct<start: long, end: long, lang: string>>")
+
+
+def prevailing(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language and looks like it (see Rejection above)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, most=BATCH_BYTES):
-            names, scores = _label(shared.value, batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+        model = shared.value
+        for batch in _small(batches, model):
+            if model is None:
+                yield batch.slice(0, 0)
+                continue
+            best, _, found = _scored(model, batch.column(batch.schema.get_field_index("text")))
+            like = (found.quads < _FEW) | (found.seen >= model.least[best] * found.quads)
+            yield batch.filter(pa.array((best >= 0) & like))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -337,4 +540,4 @@ def held_out(column: str = "doc_id") -> Column:
 def op7_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), docs.where(~held_out()))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_runs")

@@ -29,8 +29,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from siltbed.llm.components import components, forest, with_group
 from siltbed.llm.shared import bounded_batches, written
@@ -245,8 +246,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 
 def text_key(docs: DataFrame) -> Column:
-    """With the doc_id, what tells rows of docs apart: a 64-bit hash of the text, another one for null than for empty."""
-    return F.xxhash64(docs["text"])
+    """With the doc_id, what tells rows of docs apart: the MD5 of the text, nothing for null."""
+    return F.coalesce(F.md5(docs["text"]), F.lit(""))
 
 
 def surplus(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -264,6 +265,21 @@ def surplus(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     return keys.where("not again or n > 1").select("near_id", "near_key", "again")
 
 
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs, all its columns, for each component: the first as surplus() has it. Unlike rows that share a doc_id, or have none, all stay."""
+    found = written(surplus(docs, shingle, bits), "near")
+    key = text_key(docs)
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["near_id"]) & (key == keys["near_key"])
+    once = docs.join(found, same(found), "left_anti")
+    again = found.where("again")
+    place = "_place"
+    while place in map(str.lower, docs.columns):
+        place += "_"
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)])))
+    kept = docs.join(again, same(again), "left_semi").withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return once.unionByName(kept)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
