@@ -166,21 +166,34 @@ def _found(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
 
 
-#: A run as it is exchanged: the hash by which it is ranged, its digest, and whether its bucket has it more than once.
-_RUN = np.dtype([("hash", "<u8"), ("high", "<u8"), ("low", "<u8"), ("more", "?")])
+@dataclass
+class _Runs:
+    """Distinct runs of words, ascending by digest (the last bit left out): `more` of those that occur again here; `number` of each start's."""
+
+    high: np.ndarray
+    low: np.ndarray
+    more: np.ndarray
+    number: np.ndarray
+
+    def body(self, a: int, b: int) -> bytes:
+        return pack(self.high[a:b]) + (self.low[a:b] | self.more[a:b]).astype("<u8").tobytes()
+
 
+def _unpack_runs(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(body) - 1) // (body[0] + 8)
+    return unpack(body[: 1 + n * body[0]]), np.frombuffer(body, "<u8", offset=1 + n * body[0])
 
-def _runs(own: _Bucket, at: np.ndarray, window: int) -> np.ndarray:
-    """The distinct runs from `at` on, by hash and digest."""
-    out = np.empty(len(at), _RUN)
-    out["hash"] = window_hashes(own.hashes, window)[at]
+
+def _runs(own: _Bucket, at: np.ndarray, window: int) -> _Runs:
     halves = np.frombuffer(b"".join(own.digests(at, window)), "<u8").reshape(-1, 2)
-    out["high"], out["low"] = halves[:, 0], halves[:, 1]
-    out = out[np.lexsort((out["low"], out["high"], out["hash"]))]
-    first, size = _groups(_like_last(out["hash"], out["high"], out["low"]))
-    out = out[first]
-    out["more"] = size > 1
-    return out
+    high, low = halves[:, 0], halves[:, 1] & ~U(1)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = ~_like_last(high, low)
+    first, size = _groups(~new)
+    number = np.empty(len(at), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return _Runs(high[first], low[first], size > 1, number)
 
 
 def _is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -206,51 +219,54 @@ def _candidates(own: _Bucket, hits: np.ndarray, block: int, window: int, bits: i
 
 
 def _extend(key: tuple, docs: pa.Table, found: pa.Table, block: int, window: int, bits: int, parts: int) -> pa.Table:
-    """The distinct runs of `window` words that hold a hit."""
+    """The distinct runs of `window` words that hold a hit, and the hits themselves, which `_confirm` sends back."""
     if not found.num_rows or not docs.num_rows:
         return _sets(0, [], [])
-    own = _bucket(docs.column("text"))
-    runs = _runs(own, _candidates(own, _found(found), block, window, bits), window)
-    cut = list(_by_range(runs["hash"] >> U(1), 63, parts))
-    return _sets(docs.column("bucket")[0].as_py(), [part for part, _, _ in cut], [runs[a:b].tobytes() for _, a, b in cut])
+    bucket, hits, own = docs.column("bucket")[0].as_py(), _found(found), _bucket(docs.column("text"))
+    runs = _runs(own, _candidates(own, hits, block, window, bits), window)
+    cut = list(_by_range(runs.high >> U(1), 63, parts))
+    return _sets(bucket, [part for part, _, _ in cut] + [bucket % parts], [b"r" + runs.body(a, b) for _, a, b in cut] + [b"h" + pack(hits)])
 
 
-def _confirm(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a hash range, the digests that occur at two places or more, with their hashes, by bucket."""
-    bodies = [np.frombuffer(x.as_py(), _RUN) for x in table.column("body")]
-    runs = np.concatenate(bodies)
-    order = np.lexsort((runs["low"], runs["high"], runs["hash"]))
-    own = runs[order]
-    at, size = _groups(_like_last(own["hash"], own["high"], own["low"]))
-    which = np.zeros(len(runs), bool)
-    which[order] = np.repeat((size > 1) | np.logical_or.reduceat(own["more"], at), size)
-    out, ids, begin = [], [], 0
-    for bucket, body in zip(table.column("bucket").to_pylist(), bodies, strict=True):
-        kept = body[which[begin : begin + len(body)]]
-        begin += len(body)
-        if len(kept):
-            ids.append(bucket)
-            out.append(kept.tobytes())
-    return pa.table({"bucket": pa.array(ids, pa.int32()), "body": pa.array(out, pa.binary())})
+_ANSWERS = "bucket int, part int, body binary"
 
 
-def _repeats(own: _Bucket, found: pa.Table, window: int) -> np.ndarray:
-    """Starts of the runs whose digest was confirmed."""
-    if not found.num_rows:
+def _confirm(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a digest range, which runs occur at two places or more: for each bucket a bit for each run it sent, in order. Hits pass, as part -1."""
+    buckets, bodies = table.column("bucket").to_pylist(), table.column("body").to_pylist()
+    answers = [(bucket, -1, body[1:]) for bucket, body in zip(buckets, bodies, strict=True) if body[:1] == b"h"]
+    sent = [(bucket, *_unpack_runs(body[1:])) for bucket, body in zip(buckets, bodies, strict=True) if body[:1] == b"r"]
+    if sent:
+        high, low = np.concatenate([x for _, x, _ in sent]), np.concatenate([x for _, _, x in sent])
+        order = np.lexsort((low >> U(1), high))
+        at, size = _groups(_like_last(high[order], low[order] >> U(1)))
+        which = np.zeros(len(high), bool)
+        which[order] = np.repeat((size > 1) | (np.bitwise_or.reduceat(low[order] & U(1), at) == U(1)), size)
+        ends = np.cumsum([len(x) for _, x, _ in sent])
+        answers += [(bucket, key[0].as_py(), np.packbits(bits).tobytes()) for (bucket, _, _), bits in zip(sent, np.split(which, ends[:-1]), strict=True) if bits.any()]
+    out = list(zip(*answers, strict=True)) or [[], [], []]
+    return pa.table({"bucket": pa.array(out[0], pa.int32()), "part": pa.array(out[1], pa.int32()), "body": pa.array(out[2], pa.binary())})
+
+
+def _repeats(own: _Bucket, answers: pa.Table, block: int, window: int, bits: int, parts: int) -> np.ndarray:
+    """Starts of the runs that were confirmed: the same runs as in `_extend`, with their bits."""
+    told = dict(zip(answers.column("part").to_pylist(), answers.column("body").to_pylist(), strict=True))
+    if len(told) < 2:
         return np.empty(0, np.int64)
-    runs = np.concatenate([np.frombuffer(x.as_py(), _RUN) for x in found.column("body")])
-    halves = np.ascontiguousarray(np.stack([runs["high"], runs["low"]], axis=1)).tobytes()
-    confirmed = {halves[i : i + 16] for i in range(0, len(halves), 16)}
-    at = np.flatnonzero(whole_windows(own.first, window))
-    at = at[_is_in(window_hashes(own.hashes, window)[at], np.sort(runs["hash"]))]
-    return at[np.fromiter((x in confirmed for x in own.digests(at, window)), bool, len(at))]
+    at = _candidates(own, unpack(told[-1]), block, window, bits)
+    runs = _runs(own, at, window)
+    confirmed = np.zeros(len(runs.high), bool)
+    for part, a, b in _by_range(runs.high >> U(1), 63, parts):
+        if part in told:
+            confirmed[a:b] = np.unpackbits(np.frombuffer(told[part], np.uint8), count=b - a)
+    return at[confirmed[runs.number]]
 
 
-def _finish(key: tuple, docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
+def _finish(key: tuple, docs: pa.Table, answers: pa.Table, block: int, window: int, bits: int, parts: int) -> pa.Table:
     """The bucket's documents without the words of confirmed runs."""
     own = _bucket(docs.column("text"))
     covered = np.zeros(len(own.hashes) + 1, np.int32)
-    at = _repeats(own, found, window)
+    at = _repeats(own, answers, block, window, bits, parts)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + window, -1)
     gone = np.cumsum(covered[:-1]) > 0
@@ -301,9 +317,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = No
     probes = each.applyInArrow(lambda key, table: _probe(key, table, block, bits, parts), _SETS)
     hits = by(probes, "part", parts).applyInArrow(_hits, "bucket int, body binary")
     runs = each.cogroup(by(hits, "bucket", buckets)).applyInArrow(lambda key, docs, found: _extend(key, docs, found, block, window, bits, parts), _SETS)
-    confirmed = by(runs, "part", parts).applyInArrow(_confirm, "bucket int, body binary")
+    confirmed = by(runs, "part", parts).applyInArrow(_confirm, _ANSWERS)
     return each.cogroup(by(confirmed, "bucket", buckets)).applyInArrow(
-        lambda key, docs, found: _finish(key, docs, found, window),
+        lambda key, docs, answers: _finish(key, docs, answers, block, window, bits, parts),
         f"doc_id {doc_type}, n_words long, n_removed long, repeats array<struct<start: long, end: long>>, kept_text string",
     )
 

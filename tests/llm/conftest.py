@@ -69,7 +69,7 @@ def document_table(rows):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     data = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types, strict=True))}
-    for clash in ("key", "bucket", "h", "spans", "fp", "w", "n_words", "start", "ids", "shard", "removed", "score", "_key", "k", "id"):
+    for clash in ("key", "bucket", "h", "spans", "fp", "w", "n_words", "start", "ids", "shard", "removed", "score", "_key", "k", "id", "_row_of_id", "_place", "near_id", "near_key", "again", "root", "host", "row", "hash", "piece", "n_runs"):
         data[clash] = pa.array([f"clash{i}" for i in range(len(rows))])
     return pa.table(data)
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -32,6 +33,21 @@ def vocabulary(name):
     return public_tokenizers.path(name)
 
 
+@pytest.fixture
+def ends():
+    """Turns an endless loop into a failure."""
+    import signal
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
 # SimHash
 
 
@@ -288,6 +304,11 @@ def plain_repeats(rows, window):
     return want
 
 
+def _answers(runs):
+    parts = set(runs.column("part").to_pylist())
+    return pa.concat_tables([substring_dedup._confirm((pa.scalar(p),), runs.filter(pa.compute.equal(runs.column("part"), p))) for p in parts])
+
+
 def test_only_equal_words_are_repeats(spark, monkeypatch):
     """Words whose sums of powers agree, and windows whose hashes all agree."""
     some = [f"w{i}" for i in range(60)]
@@ -299,7 +320,7 @@ def test_only_equal_words_are_repeats(spark, monkeypatch):
     key = (pa.scalar(0),)
     hits = substring_dedup._hits(key, substring_dedup._probe(key, table, 18, 45, 3))
     runs = substring_dedup._extend(key, table, hits, 18, 35, 45, 3)
-    found = substring_dedup._finish(key, table, substring_dedup._confirm(key, runs), 35).select(["doc_id", "n_words", "n_removed", "kept_text"]).to_pylist()
+    found = substring_dedup._finish(key, table, _answers(runs), 18, 35, 45, 3).select(["doc_id", "n_words", "n_removed", "kept_text"]).to_pylist()
     assert Counter(tuple(r.values()) for r in found) == plain_repeats(rows, 35)
 
 
@@ -379,14 +400,57 @@ def test_forward_backward_equals_all_labellings():
     assert np.allclose(chance[0], want / total) and np.allclose(pairs, want_pairs / total)
 
 
+EN = ["the cat sat on that mat with this hat and then went there", "that thing with the other one was thought through by them"] * 8
+DE = ["der hund und die katze sind nicht mehr hier gewesen", "ich habe keine ahnung warum das nicht geht und wohin"] * 8
+
+
 def test_code_switched_words_are_labelled(spark):
-    en = ["the cat sat on that mat with this hat and then went there", "that thing with the other one was thought through by them"] * 8
-    de = ["der hund und die katze sind nicht mehr hier gewesen", "ich habe keine ahnung warum das nicht geht und wohin"] * 8
-    model = language.train(en + de, ["en"] * 16 + ["de"] * 16)
+    model = language.train(EN + DE, ["en"] * 16 + ["de"] * 16)
     scorer = language._Scorer(model)
-    mixed, pure = scorer.documents(pa.array(["the cat with that hat und die katze sind nicht", "the cat with that hat"]))
+    mixed, pure = scorer.documents(pa.array(["the cat with that hat und die katze sind nicht", "the cat with that hat"])).chance
     assert pure[model.languages.index("en")] > 0.9
     assert 0.3 < mixed[model.languages.index("en")] < 0.7
+    text = "é 12 the cat with that hat, und die katze sind nicht"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "..."), (4, "the cat with that hat 7")], "doc_id long, text string")
+    got = {r.doc_id: [(text[x.start : x.end] if r.doc_id == 1 else (x.start, x.end), x.lang) for x in r.runs] for r in language.label_words(docs, model).collect()}
+    assert got[2] == got[3] == [] and got[4] == [((0, 23), "en")]
+    assert got[1][-2:] == [("the cat with that hat", "en"), ("und die katze sind nicht", "de")] or got[1] == [("é 12 the cat with that hat", "en"), ("und die katze sind nicht", "de")]
+    assert {r.doc_id: r.n_runs for r in language.predict(docs, model).collect()} == {k: len(v) for k, v in got.items()}
+
+
+def test_long_chains_in_stretches_give_the_same(monkeypatch):
+    model = language.train(EN + DE, ["en"] * 16 + ["de"] * 16)
+    texts = pa.array([" ".join(EN + DE * 2 + EN), None, "the cat", " ".join(DE[:3]), "", "12 13"])
+    want = language._Scorer(model).documents(texts, label=True)
+    for cells in (40, 300):
+        monkeypatch.setattr(language, "_CELLS", cells)
+        got = language._Scorer(model).documents(texts, label=True)
+        assert np.allclose(got.chance, want.chance, atol=1e-5)
+        assert got.labels.tolist() == want.labels.tolist() and got.count.tolist() == want.count.tolist()
+        assert got.quads.tolist() == want.quads.tolist() and got.seen.tolist() == want.seen.tolist()
+
+
+def test_sample_keeps_every_language(spark):
+    rows = [(7, f"ein text {i}", "de") for i in range(900)] + [(1000 + i, f"a text {i}", "en") for i in range(300)] + [(None, f"un texto {i}", "es") for i in range(300)]
+    rows += [(8, "equal rows", "fr")] * 300 + [(9, None, "en"), (10, "no label", None), (11, "rare", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert Counter(language.sample(docs)[1]) == {"de": 200, "en": 200, "es": 200, "fr": 200, "xx": 1}
+    some = language.sample(docs, language.Training(per_language=5, languages=2))
+    assert Counter(some[1]) == {"de": 5, "en": 5}
+    assert language.sample(docs.repartition(7), language.Training(per_language=5, languages=2)) == some
+
+
+def test_texts_like_none_that_was_learned_go(spark):
+    docs = read(spark, "/root/testdata/sf0.01").where("lang is not null").orderBy("doc_id").limit(900)
+    model = language.train(*language.sample(docs.where(~language.held_out())))
+    rng = np.random.default_rng(2)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxzq"), 7)) for _ in range(80)) for _ in range(20)]
+    other = ["moniä öitä valvottuaan hän näki äkkiä jotakin, mikä sai hänet pysähtymään: vanha myllynkivi kyljellään heinikossa " * 2] * 20
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(junk + other)], "doc_id long, text string")
+    assert language.prevailing(odd, model).count() <= 20
+    assert language.prevailing(odd.where("doc_id < 20"), model).count() == 0
+    clean = docs.where("length(text) > 200")
+    assert language.prevailing(clean, model).count() >= 0.995 * clean.count()
 
 
 # Secrets and personal data
@@ -420,6 +484,25 @@ def test_validators(spark):
     assert [tuple(r) for r in df.select(pii.luhn(F.col("a")), pii.mod97(F.col("b"))).collect()] == [(True, True), (False, False)]
 
 
+def test_numbers_end_with_their_country(spark):
+    lines = ["ES91 2100 0418 4502 0005 1332 BIC X", "ES9121000418450200051332 BIC", "AT611904300234573201 BIC", "SE45 5000 0000 0583 9825 7466 2024", "XX45 5000 0000 0583 9825 7466"]
+    got = pii.find_personal(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[lines[r.doc_id][x.start : x.end] for x in r.spans if x.kind == "iban"] for r in got] == [["ES91 2100 0418 4502 0005 1332"], ["ES9121000418450200051332"], ["AT611904300234573201"], ["SE45 5000 0000 0583 9825 7466"], []]
+
+
+def test_context_words_stand_alone_and_adjust_scores(spark):
+    lines = ["my ssn 219-09-9998", "antisocial 219-09-9998", "ssn 666-09-9998, 900-11-1111, 123-00-1234, 123-45-0000", "the ip 1.2.3.4", "the ship 1.2.3.4", "no word " + "x" * 41 + " 1.2.3.4", "1.2.3.4 server"]
+    got = pii.find_personal(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(x.kind, x.score, x.context) for x in r.spans] for r in got] == [[("social", 70, True)], [], [], [("ip", 90, True)], [("ip", 50, False)], [("ip", 50, False)], [("ip", 90, True)]]
+
+
+def test_many_matches_take_linear_time(spark, ends):
+    many = 40_000
+    text = " ".join(f"user{i}@mail{i % 7}.example.org" for i in range(many))
+    found = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [(x.start, x.end) for x in found] == [m.span() for m in re.finditer(r"\S+", text)]
+
+
 @pytest.mark.parametrize("module", ["quality", "pii"])
 def test_native_operators_run_no_python(spark, cases, module):
     out = {"quality": quality.op1_quality, "pii": pii.op3_personal_data}[module](spark, cases)
@@ -439,9 +522,57 @@ def test_long_texts_sort_pairs(spark):
     assert quality.quality(docs).first().n_repeat_words == 8
 
 
+def test_rows_of_one_document_count_once(spark):
+    line = "a line that many documents hold in common"
+    rows = [(i % 7, f"{line}\nother words {i}", "s") for i in range(60)] + [(None, f"{line}\nagain", "s")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = lambda most: {r.n_docs for r in quality.frequent_lines(docs, most).collect()}
+    assert found(7) == {8} and found(8) == set()
+
+
+def test_windows_that_only_share_a_hash_are_no_repeats(spark, monkeypatch):
+    texts = ["a b c d e f a b x c d e", "one two three one two three four", " ".join(f"w{i % 50}" for i in range(400)), "q r s t"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        seen = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        want[i] = len({k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)})
+    got = lambda: {r.doc_id: r.n_repeat_words for r in quality.base_features(docs).collect()}
+    assert got() == want
+    plain = F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *x: plain(*x) * 0 + 5 if len(x) == 3 and not any(isinstance(y, str) for y in x) else plain(*x))
+    assert got() == want
+
+
 # Fixity
 
 
+def test_records_without_offsets_and_many_at_one(spark):
+    rows = [(1, None, f"loose {i}") for i in range(300)] + [(1, 0, f"same place {i}") for i in range(50)] + [(2, None, "x")] * 40 + [(None, 5, "y")]
+    make = lambda some: spark.createDataFrame(some, "file long, offset long, record string")
+    assert merkle.audit(make(rows), make(rows[::-1]), span=10, fan=4).count() == 0
+    hurt = [r for r in rows if r[2] not in ("loose 7", "same place 3")] + [(1, None, "new")]
+    hurt.remove((2, None, "x"))
+    got = Counter((r.file, r.offset, r.status) for r in merkle.audit(make(rows), make(hurt), span=10, fan=4).collect())
+    assert got == Counter([(1, None, "missing_b"), (1, None, "missing_a"), (1, 0, "corrupt"), (2, None, "corrupt")])
+    plan = merkle.tree(merkle.digest_records(make(rows)), 1)[0]
+    assert plan.where("node < 0").count() > 200
+
+
+def test_long_items_are_cut_at_windows(spark):
+    long = " ".join(f"i{k}" for k in range(60))
+    docs = spark.createDataFrame([(d, f"x {' '.join(long.split()[d : d + 12])} y") for d in range(0, 50, 5)] + [(99, "clean words only " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, "i3 i4"), (3, long)], "item_id long, text string")
+    key = lambda r: str((r.doc_id, r.n_words, r.n_hit, r.items, r.hits))
+    want = sorted(map(key, decontaminate.contamination(docs, items).collect()))
+    for most in (7, 1):
+        blocks = list(decontaminate._blocks(items, 10, 5, most))
+        assert max(len(b.windows) for b in blocks) <= most
+    assert sorted(map(key, decontaminate.contamination(docs, items, block_windows=30).collect())) == want
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, block_windows=30).collect()] == [99]
+
+
 def test_audit_finds_each_kind_of_damage(spark):
     rows = [(f, o * 100, f"record {f} {o}" * 3) for f in range(3) for o in range(200)]
     good = spark.createDataFrame(rows, "file long, offset long, record string")
@@ -461,7 +592,7 @@ def test_pipeline_equals_a_plain_version(spark, cases, case_rows):
     docs = read(spark, cases)
     kept = corpus_pipeline.language(spark, docs, cases)
     assert kept.columns == docs.columns
-    found = language.identify(docs, docs.where(~language.held_out())).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}")
+    found = language.identify(docs, docs.where(~language.held_out())).where("lang_pred <> 'und'")
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in found.collect())
     assert kept.where("score not like 'clash%'").count() == 0
     near = corpus_pipeline.near_copies(spark, kept, cases)
@@ -508,21 +639,6 @@ def test_near_copies_keep_one_row_of_each_group(spark, cases):
     assert got == Counter([(5, a), (5, b), (3, c), (9, d), (6, e), (None, f), (None, "")])
 
 
-@pytest.fixture
-def ends():
-    """Turns an endless loop into a failure."""
-    import signal
-
-    def stop(*_):
-        raise TimeoutError
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.alarm(60)
-    yield
-    signal.alarm(0)
-    signal.signal(signal.SIGALRM, before)
-
-
 def test_a_full_table_of_numbers_grows(ends):
     rng = np.random.default_rng(8)
     hashes = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))
@@ -543,9 +659,9 @@ def test_one_text_with_more_words_than_slots(monkeypatch, ends):
         memo = tokens.MemoTokenizer(f.read())
     assert memo.encode(pa.array([text]))[0].tolist() == memo.tokenizer.encode(text).ids
     model = language.train(["the cat sat on that mat"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
-    want = language._Scorer(model).documents(pa.array([text]))
+    want = language._Scorer(model).documents(pa.array([text])).chance
     monkeypatch.setattr(language, "Numbers", lambda bits: words.Numbers(5))
-    assert np.array_equal(language._Scorer(model).documents(pa.array([text])), want)
+    assert np.array_equal(language._Scorer(model).documents(pa.array([text])).chance, want)
 
 
 def test_masking_leaves_no_line_of_a_private_key(spark):
