@@ -110,11 +110,15 @@ def _blocks(benchmark: DataFrame, window: int, shingle: int, block_windows: int)
         w = _words(pa.array([row.text], pa.string()))
         raw = w.data.tobytes()
         words = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        held.append((row.item_id, words))
-        size += len(words)
-        if size >= block_windows:
-            yield Block(held, window, shingle)
-            held, size = [], 0
+        begin = 0
+        while begin < max(len(words) - window + 1, min(len(words), 1)):  # a long item is cut so that each window is in one stretch
+            some = words[begin : begin + block_windows - size + window - 1]
+            held.append((row.item_id, some))
+            begin += max(len(some) - window + 1, 1)
+            size += max(len(some) - window + 1, 1)
+            if size >= block_windows:
+                yield Block(held, window, shingle)
+                held, size = [], 0
     if held:
         yield Block(held, window, shingle)
 
@@ -218,12 +222,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         return rows.mapInArrow(run, rows.schema)
 
+    rows = docs  # rarity is counted over all documents, whatever earlier blocks dropped
     for block in _blocks(benchmark, window, shingle, block_windows):
         if block.windows:
             block.keep_rarest(_rarity(docs, block))
             block.pack()
-            docs = without(docs, block)
-    return docs
+            rows = without(rows, block)
+    return rows
 
 
 def _union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:

@@ -1,18 +1,19 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Base rules look at one text. The method: lines are normalised (trimmed, white space to single spaces, lower case) and hashed with
-their host, the `source` column; the documents that hold each hash are counted; lines in more than `max_docs` documents of a host are
+their host, the `source` column; the distinct documents that hold each hash are counted; lines in more than `max_docs` documents of a host are
 removed; a document is depleted, and rejected, if the removed lines had over `most_removed` of its words.
 
-How it scales: only distinct (host, line hash) pairs of each document are shuffled, after partial counts, so a line that a third of all
+How it scales: only distinct (host, line hash, document) are shuffled, then counts per line by partial sums, so a line that a third of all
 rows hold costs a row a task. Frequent lines alone come back; adaptive execution broadcasts them if they are small and
 splits the join if a line is hot. Texts stay where they are, unless clean_text is asked for.
 
 Repeated word windows are found inside a row: hashes of all windows with their places in the low bits of one long, sorted as
-primitives; equal neighbours are repeats. A text of 2**17 windows or more sorts (hash, place) pairs instead.
+primitives, give the windows that may repeat; those are then sorted by their words, and equal neighbours are repeats.
 
-Cases: a null text has no words and fails; a null source is a host of its own. Rows that share a doc_id are documents of their own; equal
-rows get equal results, and each counts as a document of its lines. Other columns are ignored; an empty table gives an empty result.
+Cases: a null text has no words and fails; a null source is a host of its own. Rows that share a doc_id are one document of their lines, however
+many they are, and each has a row in the result; rows without a doc_id are one document if their texts are equal. Equal rows get equal
+results. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,24 +49,22 @@ def _full(line: Column) -> Column:
 
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in 3-word windows that a text holds twice or more. df has words `w` and their number n_words."""
-    nothing = F.array().cast("array<bigint>")
     places = F.sequence(F.lit(0), F.col("n_words") - 3)
-    hashed = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    some = F.col("n_words") >= 4
-    short = F.col("n_words") < (1 << 17)
+    window = lambda i: [F.get("w", i + k) for k in range(3)]
+    # The low bits hold the place; what is left of the hash tells which windows may be equal.
     df = df.withColumn("_b", F.length(F.bin("n_words")))
     high = lambda x: F.call_function("shiftright", x, F.col("_b"))
-    packed = F.transform(places, lambda i: F.call_function("shiftleft", high(hashed(i)), F.col("_b")).bitwiseOR(i.cast("bigint")))
-    pairs = F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.cast("bigint").alias("i")))
-    df = df.withColumn("_p", F.when(some & short, F.sort_array(packed)).otherwise(nothing))
-    df = df.withColumn("_q", F.when(some & ~short, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h: bigint, i: bigint>>")))
-    df = df.drop("w")
-    same = lambda x, y: high(x) == high(y)
-    low = F.filter("_p", lambda x, i: same(x, F.get("_p", i - 1)) | same(x, F.get("_p", i + 1)))
+    packed = F.transform(places, lambda i: F.call_function("shiftleft", high(F.xxhash64(*window(i))), F.col("_b")).bitwiseOR(i.cast("bigint")))
+    df = df.withColumn("_p", F.when(F.col("n_words") >= 4, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
+    like = lambda x, y: high(x) == high(y)
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_b")) - 1
-    low = F.transform(low, lambda x: x.bitwiseAND(mask))
-    long = F.transform(F.filter("_q", lambda x, i: (x["h"] == F.get("_q", i - 1)["h"]) | (x["h"] == F.get("_q", i + 1)["h"])), lambda x: x["i"])
-    df = df.withColumn("_at", F.sort_array(F.concat(low, long))).drop("_p", "_q", "_b")
+    may = F.filter("_p", lambda x, i: like(x, F.get("_p", i - 1)) | like(x, F.get("_p", i + 1)))
+    df = df.withColumn("_m", F.transform(may, lambda x: x.bitwiseAND(mask))).drop("_p", "_b")
+    # Words hold no space, so windows are equal if their words joined by spaces are.
+    spelled = F.transform("_m", lambda i: F.struct(F.concat_ws(" ", *window(i.cast("int"))).alias("s"), i.alias("i")))
+    df = df.withColumn("_q", F.sort_array(spelled)).drop("w", "_m")
+    again = F.filter("_q", lambda x, i: (x["s"] == F.get("_q", i - 1)["s"]) | (x["s"] == F.get("_q", i + 1)["s"]))
+    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_q")
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).cast("bigint").alias("last"))
     covered = F.aggregate("_at", start, lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("bigint"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     return df.withColumn("n_repeat_words", covered).drop("_at")
@@ -99,7 +98,9 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host hash, line hash `h`, n_docs): lines in more than max_docs documents of a host."""
     lines = F.filter(_lines(F.col("text")), _full)
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.col("source"), normalised(x))))
-    return docs.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    nameless = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    once = docs.select("doc_id", nameless.alias("nameless"), F.explode(hashes).alias("h")).distinct()
+    return once.groupBy("h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -143,12 +144,12 @@ OP1_SQL = rf"""
 with doc as (
   select row_number() over () as r, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
 ), line as (
-  select r, source, l, lower(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as x, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n
-  from (select r, source, unnest(string_split(t, chr(10))) as l from doc) where regexp_matches(l, '[^\x20\x09-\x0D]')
+  select r, who, source, l, lower(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as x, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n
+  from (select r, coalesce('i' || doc_id, 'n' || t) as who, source, unnest(string_split(t, chr(10))) as l from doc) where regexp_matches(l, '[^\x20\x09-\x0D]')
 ), dup as (
   select r, count(*) - count(distinct l) as n_dup_lines from line group by r
 ), often as (
-  select source, x from line group by source, x having count(distinct r) > {MAX_DOCS}
+  select source, x from line group by source, x having count(distinct who) > {MAX_DOCS}
 ), gone as (
   select r, count(*) as n_removed_lines, cast(sum(n) as bigint) as n_removed_words from line join often on line.x = often.x and line.source is not distinct from often.source group by r
 ), win as (
