@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -14,6 +15,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="siltbed-")
     return _own["dir"]
@@ -40,3 +44,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop, system = _resolved(spark, path)
     return system.exists(hadoop)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read back from the shared folder."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sliced(df: DataFrame, *by: str) -> DataFrame:
+    """df ranged by columns, with `_slice`, the number of its range: running values go within slices, in parallel, and over a row for each slice.
+
+    Written, so that whoever reads it twice finds the same slices.
+    """
+    return written(df.repartitionByRange(*by).withColumn("_slice", F.spark_partition_id()), "sliced")
