@@ -20,3 +20,7 @@ class Config:
     bloom_hashes: int = 10
     #: Rows of a run's file: a row group's Bloom filter is sized for as many keys.
     run_ndv: int = 1_000_000
+    #: How long files that no longer count stay for readers that may still use them.
+    grace_seconds: float = 600
+    #: Ingested records come in order of seq. Only then may a compaction drop their tombstones: a late record could be older than one.
+    in_order: bool = False

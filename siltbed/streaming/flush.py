@@ -30,16 +30,13 @@ def flush_stream(records: DataFrame, runs: str, checkpoint: str) -> StreamingQue
 
 
 def ingest_stream(records: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch (op, seq, key, value) goes to a store in order of seq; then what is due is flushed and compacted.
+    """Each micro-batch (op, seq, key, value) goes to a store, where its records keep their seq; then what is due is flushed and compacted.
 
-    A repeated micro-batch writes the same operations again after all others of its keys, so the state it leaves is the same.
+    A repeated micro-batch writes records that are there already, and a late one is hidden by newer records: either way the state is the same.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        last = latest(entries(batch)).persist()
-        store.put_all(last.where(~F.col("tombstone")).select("key", "value"))
-        store.delete_all(last.where("tombstone").select("key"))
-        last.unpersist()
+        store.ingest(batch)
         store.flush(force=False)
         store.compact_due()
 
