@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.sources.folders import sliced
+
 #: Bytes of a record besides key and value, by encoding.
 LOG_RECORD, LOG_RECORD_COMPACT = 21, 25
 RUN_RECORD, RUN_RECORD_COMPACT = 21, 17
@@ -48,24 +50,20 @@ def formatted_key(prefix: str, x: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(x.cast("string"), width, "0"))
 
 
-_SLICES = 200
-
-
 def rank_percentiles(df: DataFrame, column: str, shares: Sequence[tuple[str, float]]) -> DataFrame:
     """(name, value) by rank: the element at floor(n * share) of the ascending values, the last at most; nothing for no rows.
 
-    Exact, without one task that orders all: distinct values are counted and cut to slices at approximate quantiles, the
+    Exact, without one task that orders all: distinct values are counted and ranged to slices, whose number goes with the session's partitions; the
     slices' totals (a small table) tell where each rank lies, and only those slices are ordered.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    edges = counts.agg(F.percentile_approx("value", [i / _SLICES for i in range(1, _SLICES)], 10 * _SLICES).alias("edges"))
-    sliced = counts.join(F.broadcast(edges)).select("value", "n", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("slice"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = sliced.groupBy("slice").agg(F.sum("n").alias("m")).select("slice", "m", before.alias("before"))
+    sums = sliced(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "value")
+    before = F.coalesce(F.sum("m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sums.groupBy("_slice").agg(F.sum("n").alias("m")).select("_slice", "m", before.alias("before"))
     total = totals.agg(F.sum("m").alias("total")).where("total > 0")
     wanted = df.sparkSession.createDataFrame(list(shares), "name string, share double")
+    # One row and a row for each share: broadcast whatever the input.
     ranks = wanted.join(F.broadcast(total)).select("name", F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1).alias("rank"))
     placed = totals.join(F.broadcast(ranks), (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
     upto = F.sum("n").over(Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    near = sliced.join(F.broadcast(placed), "slice").select("name", "value", "rank", "n", upto.alias("upto"))
+    near = sums.join(F.broadcast(placed), "_slice").select("name", "value", "rank", "n", upto.alias("upto"))
     return near.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select("name", "value")

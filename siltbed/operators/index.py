@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.scalar import RUN_RECORD, record_size
 from siltbed.operators.resolve import latest
+from siltbed.sources.folders import sliced
 
 
 def run_metadata(runs: DataFrame) -> DataFrame:
@@ -29,28 +30,55 @@ def run_bounds(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id", "level").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"))
 
 
+#: Tables of a row for each run are broadcast up to so many.
+MOST_RUNS = 10_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A table of a row for each run, by hint of broadcast if it has MOST_RUNS rows at most; computed here, once."""
+    rows = table.limit(MOST_RUNS + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= MOST_RUNS else table
+
+
 def candidate_runs(metadata: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, run_id, level): the runs whose bounds hold a probe key. There is a row of metadata for each run, so it is broadcast."""
-    bounds = F.broadcast(metadata.select("run_id", "level", "smallest", "largest"))
+    """(key, run_id, level): the runs whose bounds hold a probe key."""
+    bounds = few(metadata.select("run_id", "level", "smallest", "largest"))
     return probes.select("key").join(bounds, F.col("key").between(F.col("smallest"), F.col("largest"))).select("key", "run_id", "level")
 
 
+def _earlier(slices: DataFrame, *sums: str) -> DataFrame:
+    """A row for each (run_id, _slice): the sums over the run's earlier slices."""
+    before = Window.partitionBy("run_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return slices.select("run_id", "_slice", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in sums])
+
+
 def sparse_index(runs: DataFrame, interval: int = 16, first_offset: int = 8) -> DataFrame:
-    """(run_id, key, offset): every interval-th key of a run and the byte offset of its record, the data starting at first_offset."""
-    order = Window.partitionBy("run_id").orderBy("key")
-    before = F.sum(record_size(F.col("key"), F.col("value"), RUN_RECORD)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = runs.select("run_id", "key", F.row_number().over(order).alias("_n"), (F.coalesce(before, F.lit(0)) + first_offset).cast("long").alias("offset"))
-    return placed.where((F.col("_n") - 1) % interval == 0).drop("_n")
+    """(run_id, key, offset): every interval-th key of a run and the byte offset of its record, the data starting at first_offset.
+
+    Numbers and offsets run within slices of a run and over slice totals: a run of any size is many tasks' work.
+    """
+    placed = sliced(runs.select("run_id", "key", record_size(F.col("key"), F.col("value"), RUN_RECORD).alias("size")), "run_id", "key")
+    earlier = _earlier(placed.groupBy("run_id", "_slice").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes")), "_n", "_bytes")
+    order = Window.partitionBy("run_id", "_slice").orderBy("key")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = placed.select("run_id", "_slice", "key", F.row_number().over(order).alias("_i"), before.alias("_before"))
+    marks = local.join(earlier, ["run_id", "_slice"]).where((F.col("_n") + F.col("_i") - 1) % interval == 0)
+    return marks.select("run_id", "key", (F.col("_bytes") + F.col("_before") + first_offset).cast("long").alias("offset"))
 
 
 def seek(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(run_id, key, offset) for probes (run_id, key): the offset of the last index key that isn't larger; -1 if all are.
 
-    An as-of join without a range join: index keys and probes are sorted together by run, and each probe takes the last offset.
+    An as-of join without a range join: index keys and probes are ranged together by run and key, each probe takes the last offset
+    of its slice, or else the last of the slices before.
     """
     marks = index.select("run_id", "key", F.lit(0).alias("_probe"), "offset").unionByName(probes.select("run_id", "key").distinct().select("run_id", "key", F.lit(1).alias("_probe"), F.lit(None).cast("long").alias("offset")))
-    last = F.last("offset", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("key", "_probe").rowsBetween(Window.unboundedPreceding, 0))
-    return marks.withColumn("offset", F.coalesce(last, F.lit(-1).cast("long"))).where("_probe = 1").drop("_probe")
+    placed = sliced(marks, "run_id", "key")
+    upto = Window.partitionBy("run_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("run_id", "_slice").agg(F.max("offset").alias("_top")).select("run_id", "_slice", F.max("_top").over(upto).alias("_carried"))
+    last = F.last("offset", ignorenulls=True).over(Window.partitionBy("run_id", "_slice").orderBy("key", "_probe").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.withColumn("_last", last).where("_probe = 1").join(carried, ["run_id", "_slice"])
+    return found.select("run_id", "key", F.coalesce("_last", "_carried", F.lit(-1).cast("long")).alias("offset"))
 
 
 def bloom_size(keys: int, rate: float = 0.01) -> tuple[int, int]:
@@ -71,15 +99,15 @@ def bloom_build(runs: DataFrame, bits_per_key: float = 9.6, hashes: int = 10) ->
     Built by partial bit_or, so a word leaves each task once; the filter of one run may be larger than any task's memory.
     """
     size = runs.groupBy("run_id").agg(F.greatest(F.floor(F.count("*") * bits_per_key), F.lit(64)).cast("long").alias("bits"))
-    set_ = runs.join(F.broadcast(size), "run_id").select("run_id", "bits", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
+    set_ = runs.join(few(size), "run_id").select("run_id", "bits", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     return set_.groupBy("run_id", "bits", F.floor(F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(one).alias("mask"))
 
 
-def bloom_probe(bloom: DataFrame, probes: DataFrame, hashes: int = 10) -> DataFrame:
-    """(run_id, key, maybe) for each probe key and each run that has a filter: False is certain."""
-    runs = F.broadcast(bloom.select("run_id", "bits").distinct())
-    asked = probes.select("key").distinct().join(runs).select("run_id", "key", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
+def bloom_probe(bloom: DataFrame, probes: DataFrame, bounds: DataFrame, hashes: int = 10) -> DataFrame:
+    """(run_id, key, maybe) for each probe key and each run whose bounds hold it: False is certain. No row: the bounds rule the run out."""
+    bits = few(bloom.select("run_id", "bits").distinct())
+    asked = candidate_runs(bounds, probes.select("key").distinct()).join(bits, "run_id").select("run_id", "key", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
     asked = asked.withColumn("word", F.floor(F.col("at") / 64).cast("long"))
     bit = F.call_function("shiftright", F.coalesce("mask", F.lit(0).cast("long")), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1))
     return asked.join(bloom.select("run_id", "word", "mask"), ["run_id", "word"], "left").groupBy("run_id", "key").agg(F.bool_and(bit == 1).alias("maybe"))
@@ -91,6 +119,6 @@ def answering_run(runs: DataFrame) -> DataFrame:
     Every run newer than the answering one is probed too, if its bounds hold the key; the last run that has the key in (seq, run) order answers.
     """
     answer = latest(runs.select("key", "run_id", "level", "tombstone", "seq"), order=("seq", "run_id"))
-    bounds = F.broadcast(run_bounds(runs).select(F.col("run_id").alias("_run"), "smallest", "largest"))
+    bounds = few(run_bounds(runs).select(F.col("run_id").alias("_run"), "smallest", "largest"))
     probed = answer.join(bounds, (F.col("_run") >= F.col("run_id")) & F.col("key").between(F.col("smallest"), F.col("largest")))
     return probed.groupBy("key", "run_id", "level", F.col("tombstone").alias("deleted")).agg(F.count("*").alias("runs_probed"))

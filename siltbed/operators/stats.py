@@ -60,23 +60,28 @@ def save_rate(saved: Column, read: Column) -> Column:
     return F.coalesce(F.try_divide(saved.cast("double"), saved + read), F.lit(0.0))
 
 
-def ticks(operations: DataFrame, width: str = "1 second") -> DataFrame:
+def ticks(operations: DataFrame, width: str = "1 second", span: str = "day") -> DataFrame:
     """(tick, puts, deletes, total_puts, total_deletes, change: operations more than in the tick before) of operations (ts, op).
 
-    Totals run over ticks, not operations: only counts of ticks meet in one task.
+    Totals run over the ticks of each span and over a row for each span: no task orders all ticks.
     """
     start = F.window("ts", width)["start"]
     one = operations.groupBy(start.alias("tick")).agg(F.count_if(F.col("op") == "PUT").alias("puts"), F.count_if(F.col("op") == "DELETE").alias("deletes"))
-    order = Window.orderBy("tick")
+    one = one.withColumns({"_ops": F.col("puts") + F.col("deletes"), "_span": F.date_trunc(span, "tick")})
+    spans = one.groupBy("_span").agg(F.sum("puts").alias("_puts"), F.sum("deletes").alias("_deletes"), F.max_by("_ops", "tick").alias("_last"))
+    over = Window.orderBy("_span")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x)
+    spans = spans.select("_span", earlier("_puts"), earlier("_deletes"), F.coalesce(F.lag("_last").over(over), F.lit(0)).alias("_last"))
+    order = Window.partitionBy("_span").orderBy("tick")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ops = F.col("puts") + F.col("deletes")
-    return one.select(
+    return one.join(spans, "_span").select(
         "tick",
         "puts",
         "deletes",
-        F.sum("puts").over(upto).alias("total_puts"),
-        F.sum("deletes").over(upto).alias("total_deletes"),
-        (ops - F.coalesce(F.lag(ops).over(order), F.lit(0))).alias("change"),
+        (F.col("_puts") + F.sum("puts").over(upto)).alias("total_puts"),
+        (F.col("_deletes") + F.sum("deletes").over(upto)).alias("total_deletes"),
+        (F.col("_ops") - F.coalesce(F.lag("_ops").over(order), "_last")).alias("change"),
     )
 
 
