@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.functions.scalar import LOG_RECORD, LOG_RECORD_COMPACT, RUN_RECORD, RUN_RECORD_COMPACT, rank_percentiles, record_size, varint_size
+from siltbed.functions.scalar import LOG_RECORD, LOG_RECORD_COMPACT, RUN_RECORD, RUN_RECORD_COMPACT, formatted_key, rank_percentiles, record_size, varint_size
+from siltbed.config import Config
+from siltbed.engine import Store, Upkeep
 from siltbed.operators import compact, index, reads, resolve, stats
 from siltbed.plans import load
 from siltbed.plans.fixtures import OPS_SQL, count, operations, runs
@@ -61,13 +63,10 @@ select probe.key, live.key is not null as found, live.value from probe left join
 )
 def q04(spark, sf_dir):
     versions = _entries(spark, sf_dir)
-    first = resolve.latest(versions).groupBy("tombstone").agg(F.min("key").alias("key")).collect()  # two rows
+    first = resolve.latest(versions.select("key", "tombstone", "seq")).groupBy("tombstone").agg(F.min("key").alias("key")).collect()  # two rows
     probes = [r.key for r in first] + ["u99999:k00"]
-    out = None
-    for key in probes:
-        one = spark.createDataFrame([(key,)], "key string").join(reads.get(versions, key), "key", "left").select("key", F.col("seq").isNotNull().alias("found"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Three keys in one read: a point read for each would scan the log three times.
+    return reads.get_many(versions, spark.createDataFrame([(k,) for k in probes], "key string"))
 
 
 _PROBE_SQL = """, probe as (select distinct key from ops where seq % 7 = 0 union select 'x' || key from ops where seq % 13 = 0)
@@ -75,8 +74,8 @@ _PROBE_SQL = """, probe as (select distinct key from ops where seq % 7 = 0 union
 
 
 def _probes(spark, sf_dir):
-    log = operations(spark, sf_dir)
-    return log.where("seq % 7 = 0").select("key").union(log.where("seq % 13 = 0").select(F.concat(F.lit("x"), "key").alias("key"))).distinct()
+    own, absent = F.when(F.col("seq") % 7 == 0, F.col("key")), F.when(F.col("seq") % 13 == 0, F.concat(F.lit("x"), "key"))
+    return operations(spark, sf_dir).where("seq % 7 = 0 or seq % 13 = 0").select(F.explode(F.array_compact(F.array(own, absent))).alias("key")).distinct()
 
 
 @_query("q05_batch_get", _PROBE_SQL + "select probe.key, live.key is not null as found, live.value from probe left join live on probe.key = live.key")
@@ -255,9 +254,9 @@ _REQUESTS = """, req as (
     struct_pack(name := 'bloom_misses', value := cast(coalesce(sum(rejected) filter (where kind = 'GET'), 0) as bigint)),
     struct_pack(name := 'bytes_written', value := cast(coalesce(sum(b) filter (where kind = 'PUT'), 0) as bigint)),
     struct_pack(name := 'memtable_size', value := cast(coalesce(sum(b) filter (where in_memory and kind <> 'GET'), 0) as bigint)),
-    struct_pack(name := 'flush_count', value := cast(9 as bigint)),
+    struct_pack(name := 'flush_count', value := (select count(distinct run_id) from run)),
     struct_pack(name := 'bytes_compacted', value := cast(0 as bigint)),
-    struct_pack(name := 'sstable_count', value := cast(9 as bigint))
+    struct_pack(name := 'sstable_count', value := (select count(distinct run_id) from run))
   ]) as c from size
 ), engine as (select c.name as name, c.value as value from counters)
 """
@@ -265,7 +264,9 @@ _REQUESTS = """, req as (
 
 @_query("q19_engine_stats", _REQUESTS + "select name, value from engine")
 def q19(spark, sf_dir):
-    return stats.engine_stats(_requests(spark, sf_dir), sstable_count=9, flush_count=9)
+    """Counters of a log of requests; the store's own are in q36."""
+    made = runs(spark, sf_dir).agg(F.countDistinct("run_id").alias("n")).first().n
+    return stats.engine_stats(_requests(spark, sf_dir), sstable_count=made, flush_count=made)
 
 
 @_query(
@@ -376,10 +377,10 @@ def q25(spark, sf_dir):
 def q26(spark, sf_dir):
     """Of each run's filter: all its keys are found, and of keys that no run has at least nine in ten are rejected."""
     r = runs(spark, sf_dir)
-    bloom = index.bloom_build(r)
-    own = index.bloom_probe(bloom, r).join(r.select("run_id", "key"), ["run_id", "key"]).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.count_if("maybe").alias("n_found"))
-    other = r.select(F.concat(F.lit("absent:"), "key").alias("key"))
-    spared = index.bloom_probe(bloom, other).groupBy("run_id").agg((F.count_if(~F.col("maybe")) >= 0.9 * F.count("*")).alias("rejects_90_percent"))
+    bloom, bounds = index.bloom_build(r), index.run_bounds(r)
+    own = index.bloom_probe(bloom, r, bounds).join(r.select("run_id", "key"), ["run_id", "key"]).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.count_if("maybe").alias("n_found"))
+    other = r.select(F.concat("key", F.lit("-absent")).alias("key"))  # mostly within the bounds
+    spared = index.bloom_probe(bloom, other, bounds).groupBy("run_id").agg((F.count_if(~F.col("maybe")) >= 0.9 * F.count("*")).alias("rejects_90_percent"))
     return own.join(spared, "run_id")
 
 
@@ -411,8 +412,7 @@ def q29(spark, sf_dir):
     made = _sized_runs(spark, sf_dir)
     for r in made.select("level", "run_id").distinct().collect():  # ten
         one = made.where((F.col("run_id") == r.run_id)).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "tombstone", "seq")
-        store.write(one, r.level, r.run_id, 10_000)
-        store.manifest.runs.append([r.level, r.run_id])
+        store.manifest.runs.append(store.write(one, r.level, r.run_id, 10_000))
     store.save()
     back = RunStore(spark, store.folder).read(levels=[1])
     return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tombstone", "seq", "run_id", "level")
@@ -466,6 +466,339 @@ def q31(spark, sf_dir):
     return load.report(load.operations(spark, count(spark, sf_dir)))
 
 
+# Through a store
+
+
+def _told(spark, sf_dir):
+    """The log with values as a whole number's digits: (op, seq, key, value), strings."""
+    return operations(spark, sf_dir).select("op", "seq", "key", F.floor(F.col("value") * 100).cast("long").cast("string").alias("value"))
+
+
+def _quarters(spark, sf_dir):
+    n = count(spark, sf_dir)
+    log_ = _told(spark, sf_dir)
+    return [log_.where(F.floor(F.col("seq") * 4 / n) == q) for q in range(4)]
+
+
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def _store(spark, sf_dir) -> Store:
+    """The log's quarters in a store that queries of a session share: three flushed, which compacts them into one run, the last in its log."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(spark, new_folder(spark, "store"), Config(level0_runs=3, in_order=True))
+        for q, part in enumerate(_quarters(spark, sf_dir)):
+            store.ingest(part)
+            if q < 3:
+                store.flush()
+                store.compact_due()
+        _stores[key] = store
+    return _stores[key]
+
+
+def _strings(df):
+    return df.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+
+
+_TOLD = """, told as (select key, case when op = 'PUT' then cast(cast(floor(value * 100) as bigint) as varchar) end as value, op, seq, cast(floor(seq * 4 / n) as bigint) as quarter from ops, total)
+, newest as (select * from told qualify row_number() over (partition by key order by seq desc) = 1)
+"""
+
+
+@_query("q32_store_scan", _TOLD + "select key, value, seq from newest where op = 'PUT'")
+def q32(spark, sf_dir):
+    """Puts and deletes by batch, flushes and a compaction, then a scan of all."""
+    return _strings(_store(spark, sf_dir).scan())
+
+
+@_query("q32b_store_snapshot", _TOLD + "select key, value, op = 'DELETE' as tombstone, seq from newest where op = 'PUT' or quarter = 3")
+def q32b(spark, sf_dir):
+    """Tombstones that the compaction had nothing to hide below are gone, those in the log are not."""
+    return _strings(_store(spark, sf_dir).snapshot())
+
+
+@_query("q33_store_range", _TOLD + f"select key, value, seq from newest where op = 'PUT' and key >= '{FIRST}' and key < '{LAST}' order by key limit 100")
+def q33(spark, sf_dir):
+    return _strings(_store(spark, sf_dir).scan(FIRST.encode(), LAST.encode(), end_exclusive=True, limit=100))
+
+
+@_query("q34_store_batch_get", _TOLD + _PROBE_SQL + "select probe.key, newest.key is not null as found, newest.value from probe left join newest on probe.key = newest.key and newest.op = 'PUT'")
+def q34(spark, sf_dir):
+    return _strings(_store(spark, sf_dir).get_many(_probes(spark, sf_dir)))
+
+
+_POINTS = """, point as (select 'in the log' as name, min(key) as key from newest where quarter = 3 and op = 'PUT' union all select 'in a run', min(key) from newest where quarter < 3 and op = 'PUT'
+  union all select 'deleted', min(key) from newest where op = 'DELETE' union all select 'absent', 'u00005:none' union all select 'beyond', 'zz')
+"""
+
+
+def _points(spark, sf_dir):
+    """(name, key) of point reads: in the log, in a run, deleted, absent but within bounds, and beyond them."""
+    n = count(spark, sf_dir)
+    late = F.floor(F.col("seq") * 4 / n) == 3
+    gone = F.col("op") == "DELETE"
+    least = lambda holds: F.min(F.when(holds, F.col("key")))
+    found = resolve.latest(_told(spark, sf_dir).select("key", "seq", "op")).agg(least(late & ~gone), least(~late & ~gone), least(gone)).first()
+    return [*zip(("in the log", "in a run", "deleted"), found, strict=True), ("absent", "u00005:none"), ("beyond", "zz")]
+
+
+@_query("q35_store_get", _TOLD + _POINTS + "select name, point.key, newest.value from point left join newest on point.key = newest.key and newest.op = 'PUT'")
+def q35(spark, sf_dir):
+    store = Store(spark, _store(spark, sf_dir).store.folder)
+    read = lambda key: (lambda v: None if v is None else v.decode())(store.get(key.encode()))
+    return spark.createDataFrame([(name, key, read(key)) for name, key in _points(spark, sf_dir)], "name string, key string, value string")
+
+
+_STORE_STATS = _TOLD + _POINTS + """, upper as (select * from told where quarter < 3 qualify row_number() over (partition by key order by seq desc) = 1)
+, ends as (select min(key) as lo, max(key) as hi from upper where op = 'PUT')
+, entry_ as (select *, strlen(key) + coalesce(strlen(value), 0) as b from told)
+, flushed as (select * from entry_ where quarter < 3 qualify row_number() over (partition by quarter, key order by seq desc) = 1)
+, stat as (select unnest([
+  struct_pack(name := 'writes', value := (select count(*) from entry_ where op = 'PUT')),
+  struct_pack(name := 'deletes', value := (select count(*) from entry_ where op = 'DELETE')),
+  struct_pack(name := 'bytes_written', value := (select cast(sum(b) as bigint) from entry_ where op = 'PUT')),
+  struct_pack(name := 'memtable_size', value := (select cast(sum(b) as bigint) from entry_ where quarter = 3)),
+  struct_pack(name := 'bytes_compacted', value := (select cast(sum(b + 21) as bigint) from flushed)),
+  struct_pack(name := 'flush_count', value := 3), struct_pack(name := 'compactions', value := 1), struct_pack(name := 'sstable_count', value := 1),
+  struct_pack(name := 'reads', value := 5), struct_pack(name := 'mem_hits', value := 1), struct_pack(name := 'sst_hits', value := 1), struct_pack(name := 'bloom_misses', value := (select count(*) from point, ends where key not between lo and hi))
+]) as c)
+"""
+
+
+@_query("q36_store_stats", _STORE_STATS + "select c.name as name, cast(c.value as bigint) as value from stat")
+def q36(spark, sf_dir):
+    """The counters of a store that wrote the log, and of another that opened its folder and did the five point reads."""
+    writer = _store(spark, sf_dir)
+    reader = Store(spark, writer.store.folder)
+    for _, key in _points(spark, sf_dir):
+        reader.get(key.encode())
+    wrote = {k: v for k, v in writer.stats().items() if k in ("writes", "deletes", "bytes_written")}
+    return spark.createDataFrame(list((reader.stats() | wrote).items()), "name string, value long")
+
+
+@_query("q36b_stats_json", _REQUESTS + "select '{' || string_agg('\"' || name || '\":' || value, ',' order by name) || '}' as stats from engine")
+def q36b(spark, sf_dir):
+    return stats.as_json(q19(spark, sf_dir))
+
+
+@_query(
+    "q37_store_runs",
+    _TOLD + """, upper as (select * from told where quarter < 3 qualify row_number() over (partition by key order by seq desc) = 1)
+select 1 as level, count(*) as entries, cast(sum(strlen(key) + strlen(value) + 21) as bigint) as bytes, min(key) as smallest, max(key) as largest from upper where op = 'PUT'""",
+)
+def q37(spark, sf_dir):
+    """The manifest: the one run that the compaction left, without tombstones, as no level is below it."""
+    return _store(spark, sf_dir).run_table().select("level", "entries", "bytes", F.col("smallest").cast("string").alias("smallest"), F.col("largest").cast("string").alias("largest"))
+
+
+@_query("q38_recovery_after_bad_records", _TOLD + "select key, value, seq from newest where op = 'PUT' union all select 'zz:after', 'x', 9000000000000000001")
+def q38(spark, sf_dir):
+    """Bad records at the checkpoint and at the log's end: what is written after them counts, in the same session and after reopening; what lies behind the second doesn't."""
+    first, second, third, fourth = _quarters(spark, sf_dir)
+    store = Store(spark, new_folder(spark, "torn"))
+    store.ingest(first.unionByName(second))
+    store.flush()
+    store.ingest(third)
+    m = store.store.manifest
+    torn = [("PUT", 1, "zz:below", "x", 0, m.checkpoint, m.epochs[-1][0]), ("PUT", 2, "zz:torn", "x", 0, m.next_pos, m.epochs[-1][0])]
+    schema = "op string, seq long, key string, value string, crc long, pos long, epoch long"
+    as_bytes = lambda df: df.withColumns({"key": F.col("key").cast("binary"), "value": F.col("value").cast("binary")})
+    as_bytes(spark.createDataFrame(torn, schema)).write.mode("append").parquet(store.log_path)
+    log.append(as_bytes(spark.createDataFrame([("PUT", 3, "zz:behind", "x", 0, m.next_pos + 1, m.epochs[-1][0])], schema).drop("crc")), store.log_path)
+    store.ingest(fourth)
+    store.ingest(spark.createDataFrame([("PUT", 9000000000000000001, "zz:after", "x")], "op string, seq long, key string, value string"))
+    if store.get(b"zz:after") != b"x":
+        raise AssertionError("a write after a bad record is not visible")
+    return _strings(Store(spark, store.store.folder).scan())
+
+
+@_query("q39_late_records", _TOLD + "select key, value, seq from newest where op = 'PUT'")
+def q39(spark, sf_dir):
+    """The quarters of the log in the wrong order, the second twice, each flushed: records keep their seq, so late ones are hidden."""
+    first, second, third, fourth = _quarters(spark, sf_dir)
+    store = Store(spark, new_folder(spark, "late"), Config(level0_runs=2))
+    for part in (third, second, fourth, first, second):
+        store.ingest(part)
+        store.flush()
+        store.compact_due()
+    return _strings(store.scan())
+
+
+@_query("q40_reader_snapshot", _TOLD + "select key, value, seq from (select * from told where quarter < 2 qualify row_number() over (partition by key order by seq desc) = 1) where op = 'PUT'")
+def q40(spark, sf_dir):
+    """A scan made before further writes, a flush and a compaction, and read after them."""
+    first, second, third, _ = _quarters(spark, sf_dir)
+    store = Store(spark, new_folder(spark, "snapshot"), Config(level0_runs=2))
+    store.ingest(first)
+    store.flush()
+    store.ingest(second)
+    seen = store.scan()
+    store.ingest(third)
+    store.flush()
+    store.compact_due()
+    return _strings(seen)
+
+
+@_query(
+    "q41_flush_threshold",
+    _TOLD + """, half as (select (seq * 8) // n as eighth, cast(sum(strlen(key) + coalesce(strlen(value), 0) + 21) as bigint) as bytes from told, total group by 1)
+, recursive_ as (select eighth, bytes, sum(bytes) over (order by eighth) as upto, cast(avg(bytes) over () * 1.5 as bigint) as least from half)
+select eighth, bytes, eighth % 2 = 1 as flushed from recursive_""",
+)
+def q41(spark, sf_dir):
+    """Eighths of the log with a threshold of one and a half: every other write flushes."""
+    n = count(spark, sf_dir)
+    each = _told(spark, sf_dir).withColumn("eighth", F.floor(F.col("seq") * 8 / n))
+    size = F.sum(record_size(F.col("key"), F.col("value"), LOG_RECORD)).alias("bytes")
+    sizes = sorted(map(tuple, each.groupBy("eighth").agg(size).collect()))  # eight rows
+    store = Store(spark, new_folder(spark, "threshold"), Config(flush_bytes=int(sum(b for _, b in sizes) / len(sizes) * 1.5)))
+    rows = []
+    for eighth, b in sizes:
+        store.ingest(each.where(F.col("eighth") == eighth).drop("eighth"))
+        rows.append((eighth, b, store.flush(force=False)))
+    return spark.createDataFrame(rows, "eighth long, bytes long, flushed boolean")
+
+
+@_query("q42_upkeep", _TOLD + "select key, value, seq from newest where op = 'PUT'")
+def q42(spark, sf_dir):
+    """A thread flushes and compacts while the log comes in by quarters; the state is what it would be without."""
+    store = Store(spark, new_folder(spark, "upkeep"), Config(level0_runs=2, flush_bytes=1))
+    upkeep = Upkeep(store, 0.05).start()
+    for part in _quarters(spark, sf_dir):
+        store.ingest(part)
+    upkeep.stop()
+    return _strings(store.scan())
+
+
+@_query("q43_log_size", _TOLD + "select count(*) + 1 as records, cast(sum(strlen(key) + coalesce(strlen(value), 0) + 21) + 21 + 14 as bigint) as bytes, max(seq) as last_checkpoint from told")
+def q43(spark, sf_dir):
+    """A log with a checkpoint mark: its size, and where the mark is."""
+    path = new_folder(spark, "log")
+    log.append(_told(spark, sf_dir), path)
+    log.checkpoint(spark, count(spark, sf_dir) - 1, path)
+    records = log.read(spark, path)
+    return log.size(records).withColumn("last_checkpoint", F.lit(log.last_checkpoint(records)))
+
+
+@_query(
+    "q44_file_swap",
+    "select 1 as listed, 3 as retired, 3 as on_disk_before, 3 as removed, 1 as on_disk_after",
+)
+def q44(spark, sf_dir):
+    """A compaction lists its output alone; inputs stay for their readers until a vacuum, and go then."""
+    store = Store(spark, new_folder(spark, "swap"), Config(level0_runs=2))
+    first, second, *_ = _quarters(spark, sf_dir)
+    for part in (first, second):
+        store.ingest(part)
+        store.flush()
+    store.rotate_log()
+    store.store.manifest.garbage.clear()
+    store.compact(0)
+    at = lambda: sum(len(store.store.files.names(f"runs/{level}")) for level in store.store.files.names("runs"))
+    before = at()
+    retired = len(store.store.manifest.garbage)
+    removed = store.vacuum()
+    rows = [(len(store.store.manifest.runs), retired + 1, before, removed + 1, at())]
+    return spark.createDataFrame(rows, "listed int, retired int, on_disk_before int, removed int, on_disk_after int")
+
+
+@_query("q45_key_limits", "select seq, seq % 10 as length, seq % 10 between 1 and 4 as allowed from ops where seq < 200 union all select 1000, 4096, true union all select 1001, 4097, false".replace("seq % 10 between 1 and 4", "seq % 10 > 0"))
+def q45(spark, sf_dir):
+    """Which keys a store takes: 1 to 4,096 bytes."""
+    store = Store(spark, new_folder(spark, "limits"))
+    rows = []
+    for seq, length in [(i, i % 10) for i in range(10)] + [(1000, 4096), (1001, 4097)]:
+        try:
+            store.put(b"k" * length, b"v")
+            rows.append((length, True))
+        except ValueError:
+            rows.append((length, False))
+    told = spark.createDataFrame(rows, "length long, allowed boolean")
+    asked = operations(spark, sf_dir).where("seq < 200").select("seq", (F.col("seq") % 10).alias("length")).unionByName(spark.createDataFrame([(1000, 4096), (1001, 4097)], "seq long, length long"))
+    return asked.join(told, "length").select("seq", "length", "allowed")
+
+
+@_query("q46_byte_order", "select hex(b) as key from (select distinct unhex(md5(key)) as b from ops) order by b limit 500")
+def q46(spark, sf_dir):
+    """The first keys of any bytes: unsigned order, shorter prefix first."""
+    keys = operations(spark, sf_dir).select(F.unhex(F.md5("key")).alias("key"), F.lit(None).cast("binary").alias("value"), F.lit(False).alias("tombstone"), "seq")
+    return reads.scan(keys, limit=500).select(F.hex("key").alias("key"))
+
+
+@_query("q47_key_format", "select seq, printf('key:%08d', seq) as key, printf('user:%016d', seq * 7) as wide from ops")
+def q47(spark, sf_dir):
+    return operations(spark, sf_dir).select("seq", formatted_key("key:", F.col("seq"), 8).alias("key"), formatted_key("user:", F.col("seq") * 7, 16).alias("wide"))
+
+
+@_query(
+    "q48_bloom_size",
+    """, k as (select run_id, count(*) as n from run group by run_id), m as (select run_id, n, greatest(64, cast(ceil(ceil(-n * ln(0.01) / power(ln(2), 2)) / 64) as bigint) * 64) as bits from k)
+select run_id, n as keys, bits, cast(greatest(1, least(20, round(bits / n * ln(2)))) as bigint) as hashes from m""",
+)
+def q48(spark, sf_dir):
+    """Bits and hashes of a filter for each run at one false positive in a hundred."""
+    rows = runs(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n")).collect()  # ten
+    return spark.createDataFrame([(r.run_id, r.n, *index.bloom_size(r.n)) for r in rows], "run_id long, keys long, bits long, hashes long")
+
+
+@_query("q49_load_through_store", "select 40 as requests, 100 as keys_a_request, count(*) filter (where (i + 1) * 48271 % 2147483647 % 100 < 40) as writes, count(*) filter (where (i + 1) * 48271 % 2147483647 % 100 >= 40) as reads, 0 as errors, true as ordered from (select unnest(range(40)) as i)")
+def q49(spark, sf_dir):
+    """Forty requests from four threads against a store, by their outcome; latencies are in order, whatever they are."""
+    done = load.drive(Store(spark, new_folder(spark, "load")), 40)
+    told = {r.name: r.value for r in load.report(done).collect()}
+    ordered = told["p50"] <= told["p95"] <= told["p99"] <= told["p999"] <= told["max"]
+    return spark.createDataFrame([(40, 100, told["writes"], told["reads"], told["errors"], ordered)], "requests int, keys_a_request int, writes long, reads long, errors long, ordered boolean")
+
+
+def scanned(df: DataFrame) -> int:
+    """Rows that came out of the files when df was read: its scans' metric."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        elif node.nodeName().startswith("Scan"):
+            rows += node.metrics().get("numOutputRows").get().value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+@_query("q50_filter_skips", "select 20 as probes, 0 as read_with_filter, true as read_without, 0 as found from (select 1)")
+def q50(spark, sf_dir):
+    """Point reads of absent keys within a run's bounds: with the Bloom filter no row is read, with the filter switched off there are some."""
+    store = RunStore(spark, new_folder(spark, "filter"))
+    keys = operations(spark, sf_dir).select(F.col("key").cast("binary").alias("key")).distinct().select("key", F.lit(b"v").alias("value"), F.lit(False).alias("tombstone"), F.lit(1).cast("long").alias("seq"))
+    store.manifest.runs.append(store.write(keys.coalesce(1), 0, 0, 100_000))
+    absent = [bytearray(r.key + b"-") for r in keys.orderBy("key").limit(20).collect()]
+    one = lambda key, on: store.read(**{"parquet.filter.bloom.enabled": on, "parquet.filter.columnindex.enabled": "false"}).where(F.col("key") == key)
+    with_, without = (sum(scanned(one(k, on)) for k in absent) for on in ("true", "false"))
+    found = sum(one(k, "true").count() for k in absent)
+    return spark.createDataFrame([(20, with_, without > 0, found)], "probes int, read_with_filter int, read_without boolean, found int")
+
+
+@_query("q51_ping", "select true as answers, 1 as rows from (select 1)")
+def q51(spark, sf_dir):
+    return spark.createDataFrame([(Store(spark, new_folder(spark, "ping")).ping(), 1)], "answers boolean, rows int")
+
+
+@_query(
+    "q52_lookup_each_line",
+    """, state as (select o_orderkey as key, o_totalprice as value from orders qualify row_number() over (partition by o_orderkey order by o_orderdate desc, o_totalprice desc) = 1)
+select l_orderkey % 1000 as bucket, count(*) as lookups, count(state.key) as found from lineitem left join state on l_orderkey = state.key group by 1""",
+)
+def q52(spark, sf_dir):
+    """A lookup for every line item, repeated keys and all: found or not, by bucket of keys."""
+    order = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), "o_orderdate", "o_totalprice")
+    state = resolve.latest(order, order=("o_orderdate", "o_totalprice")).select("key", F.lit(1).alias("hit"))
+    asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"))
+    return asked.join(state, "key", "left").groupBy((F.col("key") % 1000).alias("bucket")).agg(F.count("*").alias("lookups"), F.count("hit").alias("found"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live state by key: the log resolved and scanned from end to end."""
     return reads.scan(_entries(spark, sf_dir))

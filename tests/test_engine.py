@@ -8,13 +8,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltbed.config import Config
-from siltbed.engine import Store
+from siltbed.engine import Store, Upkeep
 from siltbed.functions.scalar import formatted_key, rank_percentiles, varint_size
 from siltbed.operators import compact, index, reads, resolve
 from siltbed.operators.stats import as_json, save_rate
+from siltbed.plans.registry import scanned
 from siltbed.sources import log
 from siltbed.sources.folders import new_folder
-from siltbed.sources.runs import RunStore
+from siltbed.sources.runs import Replaced, RunStore
 from siltbed.streaming.flush import flush_stream, ingest_stream, log_stream
 
 ENTRY = "key binary, value binary, tombstone boolean, seq long"
@@ -142,26 +143,185 @@ def test_unreadable_run_fails_compaction(spark):
     store.store.files.delete(f"runs/level=0/run_id={before[0][1]}")
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
         store.compact(0)
-    assert RunStore(spark, folder).manifest.runs == before
+    assert RunStore(spark, folder).manifest.runs == before == store.store.manifest.runs
 
 
 def test_bloom_filter_has_no_false_negatives(spark):
-    runs = entries(spark, [(b"exists:key:%08d" % i, b"value", False, i) for i in range(1000)]).withColumn("run_id", F.lit(0).cast("long"))
-    bloom = index.bloom_build(runs)
-    assert index.bloom_probe(bloom, runs).where("maybe").count() == 1000
-    absent = spark.range(2000).select(formatted_key("nonexistent:", F.col("id"), 16).cast("binary").alias("key"))
-    assert index.bloom_probe(bloom, absent).where("not maybe").count() >= 1800
+    runs = entries(spark, [(b"exists:key:%08d" % i, b"value", False, i) for i in range(1000)]).withColumns({"run_id": F.lit(0).cast("long"), "level": F.lit(0)})
+    bloom, bounds = index.bloom_build(runs), index.run_bounds(runs)
+    assert index.bloom_probe(bloom, runs, bounds).where("maybe").count() == 1000
+    absent = spark.range(990).select(F.concat(formatted_key("exists:key:", F.col("id"), 8), F.lit("x")).cast("binary").alias("key"))
+    assert index.bloom_probe(bloom, absent, bounds).where("not maybe").count() >= 900
+    assert index.bloom_probe(bloom, absent.select(F.lit(b"zz").alias("key")), bounds).count() == 0
     assert index.bloom_size(1000) == (9600, 7)
 
 
 def test_parquet_bloom_filter_skips_row_groups(spark):
     store = RunStore(spark, new_folder(spark, "t"))
-    store.write(entries(spark, [(b"key:%06d" % (2 * i), b"v", False, i) for i in range(5000)]), 0, 1, 5000)
-    store.manifest.runs.append([0, 1])
+    store.manifest.runs.append(store.write(entries(spark, [(b"key:%06d" % (2 * i), b"v", False, i) for i in range(5000)]).coalesce(1), 0, 1, 5000))
     assert store.read().where(F.col("key") == bytearray(b"key:000004")).count() == 1
+    rows = {on: scanned(store.read(**{"parquet.filter.bloom.enabled": on, "parquet.filter.columnindex.enabled": "false"}).where(F.col("key") == bytearray(b"key:000005"))) for on in ("true", "false")}
+    assert rows["true"] == 0 and rows["false"] > 0
     plan = store.read().where((F.col("key") == bytearray(b"key:000005")) & (F.col("run_id") == 1))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(key), EqualTo(key" in plan
-    assert store.read().where(F.col("key") == bytearray(b"key:000005")).count() == 0
+
+
+def test_get_reads_only_runs_whose_bounds_hold_the_key(spark):
+    store = Store(spark, new_folder(spark, "t"))
+    for k in range(4):
+        store.put_many([(b"%d:%02d" % (k, i), b"v") for i in range(5)])
+        store.flush()
+    touched = lambda df: sorted({f.split("/run_id=")[1].split("/")[0] for f in df.inputFiles() if "/run_id=" in f})
+    assert touched(store.versions(b"2:01", b"2:01")) == ["2"] and touched(store.versions(b"1:03", b"2:00")) == ["1", "2"]
+    assert store.get(b"2:01") == b"v" and store.get(b"9") is None
+    got = store.stats()
+    assert (got["reads"], got["sst_hits"], got["mem_hits"], got["bloom_misses"]) == (2, 1, 0, 7)
+    assert store.get_many(spark.createDataFrame([(bytearray(b"3:00"),)], "key binary")).first().found
+    assert store.vacuum() > 0  # spent files of the log
+    assert store.pending().count() == 0 and store.get(b"0:00") == b"v"
+
+
+def test_second_writer_replaces_the_first(spark):
+    folder = new_folder(spark, "t")
+    a, b = Store(spark, folder), Store(spark, folder)
+    a.put(b"k", b"a1")
+    a.flush()
+    b.put(b"k", b"b1")
+    assert Store(spark, folder).get(b"k") == b"b1" and a.writing
+    with pytest.raises(Replaced):
+        a.put(b"k", b"a2")
+    with pytest.raises(Replaced):
+        a.compact(0)
+    b.put(b"k", b"b2")
+    assert Store(spark, folder).get(b"k") == b"b2"
+    # What a replaced writer appended all the same lies beyond its epoch.
+    late = spark.createDataFrame([("PUT", 99, bytearray(b"k"), bytearray(b"zombie"), 99, 1)], "op string, seq long, key binary, value binary, pos long, epoch long")
+    log.append(late, b.log_path)
+    assert Store(spark, folder).get(b"k") == b"b2"
+
+
+@pytest.mark.parametrize("where", ["checkpoint", "end", "unmarked"])
+def test_writes_after_a_bad_record_are_read(spark, where):
+    folder = new_folder(spark, "t")
+    store = Store(spark, folder)
+    store.put(b"a", b"1")
+    store.flush()
+    store.put(b"b", b"1")
+    m = store.store.manifest
+    pos, epoch = {"checkpoint": (m.checkpoint, m.epochs[-1][0]), "end": (m.next_pos, m.epochs[-1][0]), "unmarked": (None, None)}[where]
+    bad = spark.createDataFrame([("PUT", 2, bytearray(b"c"), bytearray(b"1"), 7, pos, epoch)], log.SCHEMA)
+    bad.write.mode("append").parquet(store.log_path)
+    store.put(b"d", b"1")
+    assert [store.get(k) for k in (b"a", b"b", b"c", b"d")] == [b"1", b"1", None, b"1"]
+    again = Store(spark, folder)
+    assert [k for k, _ in pairs(again.scan())] == [b"a", b"b", b"d"]
+    again.put(b"e", b"1")
+    again.flush()
+    assert [k for k, _ in pairs(Store(spark, folder).scan())] == [b"a", b"b", b"d", b"e"]
+
+
+def test_bad_record_within_the_log_ends_it_there(spark):
+    folder = new_folder(spark, "t")
+    store = Store(spark, folder)
+    store.put_many([(b"%d" % i, b"x") for i in range(6)])
+    whole = [(r.op, r.seq, r.key, r.value, r.crc + (r.pos == 4), r.pos, r.epoch) for r in log.read(spark, store.log_path).collect()]
+    log.delete(spark, store.log_path)
+    spark.createDataFrame(whole, log.SCHEMA).write.parquet(store.log_path)
+    again = Store(spark, folder)
+    assert [k for k, _ in pairs(again.scan())] == [b"0", b"1", b"2"]
+    again.put(b"9", b"x")
+    assert [k for k, _ in pairs(Store(spark, folder).scan())] == [b"0", b"1", b"2", b"9"]
+
+
+def test_late_records_do_not_win(spark):
+    store = Store(spark, new_folder(spark, "t"))
+    schema = "op string, seq long, key binary, value binary"
+    row = lambda seq, value: spark.createDataFrame([("PUT", seq, bytearray(b"k"), value)], schema)
+    store.ingest(row(10, bytearray(b"new")))
+    store.ingest(row(5, bytearray(b"old")))
+    assert store.get(b"k") == b"new"
+    store.flush()
+    store.ingest(row(7, bytearray(b"older")))
+    assert store.get(b"k") == b"new"
+    store.put(b"k", b"newest")
+    assert store.get(b"k") == b"newest"
+
+
+def test_late_records_stay_deleted_after_compaction(spark):
+    schema = "op string, seq long, key binary, value binary"
+    row = lambda op, seq: spark.createDataFrame([(op, seq, bytearray(b"k"), None if op == "DELETE" else bytearray(b"v"))], schema)
+    store = Store(spark, new_folder(spark, "t"))
+    store.ingest(row("DELETE", 10))
+    store.flush()
+    store.compact(0)
+    store.ingest(row("PUT", 5))
+    assert store.get(b"k") is None
+    own = Store(spark, new_folder(spark, "t"))
+    own.put(b"a", b"1")
+    own.delete(b"b")
+    own.flush()
+    own.compact(0)
+    assert own.store.read().count() == 1  # no older record can come: the tombstone goes
+
+
+def test_kill_and_restart_lose_nothing(spark, tmp_path):
+    import os
+    import signal
+    import subprocess
+    import sys
+
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from siltbed.config import Config
+from siltbed.engine import Store, Upkeep
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+store = Store(spark, sys.argv[1], Config(flush_bytes=200, level0_runs=2))
+for i in range(1000):
+    store.put_many([(b"%03d:%d" % (i, k), b"v%d" % i) for k in range(20)])
+    print("done", i, flush=True)
+    if i % 2:
+        store.flush(force=False)
+        store.compact_due()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder, acknowledged = f"file://{tmp_path}/store", -1
+    running = subprocess.Popen([sys.executable, "-c", script, folder], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, start_new_session=True, env=os.environ | {"PYTHONPATH": root})
+    try:
+        for line in running.stdout:
+            if line.startswith("done"):
+                acknowledged = int(line.split()[1])
+            if acknowledged >= 6:
+                break
+    finally:
+        os.killpg(running.pid, signal.SIGKILL)
+        running.wait()
+    assert acknowledged >= 6
+    store = Store(spark, folder)
+    want = {b"%03d:%d" % (i, k): b"v%d" % i for i in range(acknowledged + 1) for k in range(20)}
+    got = dict(pairs(store.scan()))
+    assert {k: got.get(k) for k in want} == want
+    store.put(b"after", b"1")
+    assert Store(spark, folder).get(b"after") == b"1"
+
+
+def test_threads_read_their_own_writes(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, new_folder(spark, "t"), Config(flush_bytes=4000, level0_runs=3))
+    upkeep = Upkeep(store, 0.1).start()
+
+    def one(n):
+        rows = [(b"t%02d:%03d" % (n, i), b"%d" % i) for i in range(200)]
+        store.put_many(rows)
+        found = store.get_many(spark.createDataFrame([(bytearray(k),) for k, _ in rows], "key binary")).collect()
+        return {bytes(r.key): bytes(r.value) for r in found} == dict(rows)
+
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(one, range(12)))
+    upkeep.stop()
+    assert store.scan().count() == 12 * 200 and upkeep.rounds > 0
+    assert store.stats()["writes"] == 12 * 200 == store.stats()["reads"]
 
 
 def test_percentiles_and_rates(spark):
