@@ -7,9 +7,11 @@ of every document probes the prefix index; a hit's offset fixes where the window
 place must lie in the document with all its words (length bound), and then the words are compared, by their hashes and
 at last byte by byte.
 
-How it scales: documents are never shuffled; both passes (rarity, join) stream over them. The benchmark is cut into blocks
-of at most `block_windows` windows and each block is broadcast by itself, so what a task holds is bounded however large the
-benchmark is; each block past the first costs another pass, and the partial results then meet by document.
+How it scales: a benchmark of at most `block_windows` windows is broadcast, and documents are never shuffled: both passes (rarity, join)
+stream over them. A larger benchmark never reaches the driver or a task whole. Its shingles set bits in a map of fixed size (2 ** `_MAP` bits, which is
+broadcast); the places of documents that hit the map, a few in a hundred by chance, go out with the words around them,
+are counted for rarity, and meet the windows' prefixes by a join on the shingle, where the words are compared. The documents are read
+once, and what is shuffled is hits, not texts.
 
 Cases: a null text has no words; an item without words has no windows, an item id that is null counts as the id 'null';
 equal windows of several items, or rows that repeat an item, are one window with all those ids. Rows that share a doc_id
@@ -19,19 +21,19 @@ each get a row. Other columns are ignored; an empty benchmark leaves every docum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import bounded_batches
-from siltbed.llm.words import ALNUM, LOWER, Words, find_words, small_batches, utf8, whole_windows, window_hashes
+from siltbed.llm.shared import bounded_batches, written
+from siltbed.llm.words import ALNUM, LOWER, Words, find_words, small_batches, spaced, utf8, whole_windows, window_hashes
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_WINDOWS = 200_000
+#: Of the map of a large benchmark's shingles: the logarithm of its bits.
+_MAP = 28
 
 
 def _words(column: pa.Array) -> Words:
@@ -102,25 +104,22 @@ class _Probe:
         return at[same], key[same]
 
 
-def _blocks(benchmark: DataFrame, window: int, shingle: int, block_windows: int) -> Iterator[Block]:
-    """Items stream to the driver and leave it block by block; at most one block is held."""
+def _block(benchmark: DataFrame, window: int, shingle: int, block_windows: int) -> Block | None:
+    """All items, if they have at most block_windows windows; items stream to the driver, and no more than that many are held."""
     bounded_batches(benchmark.sparkSession)
     held, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").toLocalIterator():
+    for row in _items(benchmark).toLocalIterator():
         w = _words(pa.array([row.text], pa.string()))
+        size += max(len(w.starts) - window + 1, min(len(w.starts), 1))
+        if size > block_windows:
+            return None
         raw = w.data.tobytes()
-        words = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        begin = 0
-        while begin < max(len(words) - window + 1, min(len(words), 1)):  # a long item is cut so that each window is in one stretch
-            some = words[begin : begin + block_windows - size + window - 1]
-            held.append((row.item_id, some))
-            begin += max(len(some) - window + 1, 1)
-            size += max(len(some) - window + 1, 1)
-            if size >= block_windows:
-                yield Block(held, window, shingle)
-                held, size = [], 0
-    if held:
-        yield Block(held, window, shingle)
+        held.append((row.item_id, [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]))
+    return Block(held, window, shingle)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
 
 
 def _rarity(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
@@ -174,14 +173,14 @@ def _hits(block: Block, probes: dict[int, _Probe], words: Words, hashes: np.ndar
     return doc[exact], start[exact], window[exact]
 
 
-def _join(docs: DataFrame, block: Block | None) -> DataFrame:
-    """(doc_id, mark: a hash of the text, n_words, hits: maximal runs of hit words, end exclusive, items) for each row of docs."""
+def _join(docs: DataFrame, block: Block) -> DataFrame:
+    """(doc_id, n_words, hits: maximal runs of hit words, end exclusive, items) for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        probes = {size: _Probe(x[0]) for size, x in block.shingles.items()} if block else {}
+        probes = {size: _Probe(x[0]) for size, x in block.shingles.items()}
         for batch in small_batches(batches):
             words = _words(batch.column("text"))
             spans: dict[int, list[tuple[int, int]]] = {}
@@ -194,41 +193,158 @@ def _join(docs: DataFrame, block: Block | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([xxhash.xxh64_intdigest(x or "") >> 1 for x in batch.column("text").to_pylist()], pa.int64()),
                     pa.array(words.counts(), pa.int64()),
                     pa.array([_union(spans.get(d, [])) for d in range(batch.num_rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(items.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string())),
                 ],
-                ["doc_id", "mark", "n_words", "hits", "items"],
+                ["doc_id", "n_words", "hits", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark long, n_words long, hits array<struct<start: long, end: long>>, items array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<start: long, end: long>>, items array<string>")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs, all columns, without the rows whose text holds a window; each block of the benchmark filters what the last one left."""
+# Beyond one block
 
-    def without(rows: DataFrame, block: Block) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            probes = {size: _Probe(x[0]) for size, x in block.shingles.items()}
-            for batch in small_batches(batches):
-                words = _words(batch.column("text"))
-                clean = np.ones(batch.num_rows, bool)
-                clean[_hits(block, probes, words, words.hashes())[0]] = False
-                yield batch.filter(pa.array(clean))
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct (item_id, words: of a window, joined by spaces, n)."""
 
-        return rows.mapInArrow(run, rows.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            words = _words(batch.column("text"))
+            body, at = spaced(words, ALNUM)
+            raw, items = body.tobytes(), batch.column("item_id").to_pylist()
+            for row, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                n = min(window, b - a)
+                starts = np.arange(a, b - n + 1) if n else np.empty(0, np.int64)
+                some = [raw[x:y].decode() for x, y in zip(at[starts].tolist(), (at[starts + n] - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([items[row]] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([n] * len(some), pa.int32())], ["item_id", "words", "n"])
+
+    return _items(benchmark).mapInArrow(run, "item_id string, words string, n int").distinct()
 
-    rows = docs  # rarity is counted over all documents, whatever earlier blocks dropped
-    for block in _blocks(benchmark, window, shingle, block_windows):
-        if block.windows:
-            block.keep_rarest(_rarity(docs, block))
-            block.pack()
-            rows = without(rows, block)
-    return rows
+
+def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
+    """(words, size, hash, offset) of the shingles of windows (words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "words"):
+            words = _words(batch.column("words"))
+            hashes, n = words.hashes(), words.counts()
+            for size in np.unique(np.minimum(n, shingle)).tolist():
+                rows = np.flatnonzero(np.minimum(n, shingle) == size)
+                many = n[rows] - size + 1
+                row = np.repeat(rows, many)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                found = window_hashes(hashes, size)[words.first[row] + offset].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("words").take(pa.array(row)), pa.array(np.full(len(row), size, np.int32)), pa.array(found), pa.array(offset.astype(np.int32))], ["words", "size", "hash", "offset"])
+
+    return windows.select("words").distinct().mapInArrow(run, "words string, size int, hash long, offset int")
+
+
+def _bit_map(shingles: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The sizes of shingles, and a bit for the top of each shingle's hash; 2 ** (_MAP - 6) longs reach the driver at most."""
+    at = F.call_function("shiftrightunsigned", "hash", F.lit(64 - _MAP))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    bits = np.zeros(1 << (_MAP - 6), np.int64)
+    for r in shingles.groupBy(F.floor(at / 64).alias("at")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
+        bits[r["at"]] = r["bits"]
+    return sorted(r["size"] for r in shingles.select("size").distinct().collect()), bits  # at most as many as a shingle has words
+
+
+def _near_hits(docs: DataFrame, sizes: list[int], bits: np.ndarray, window: int, shingle: int) -> DataFrame:
+    """(doc_id, mark, size, hash, place, lead, near) of the places of documents whose shingle hits the map; near: the words around, `lead` of them before the place."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((sizes, bits))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, bits = shared.value
+        for batch in small_batches(batches):
+            words = _words(batch.column("text"))
+            hashes = words.hashes()
+            body, at = spaced(words, ALNUM)
+            raw = body.tobytes()
+            for size in sizes:
+                found = window_hashes(hashes, size)
+                slot = found >> np.uint64(64 - _MAP)
+                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1)
+                place = np.flatnonzero((hit == 1) & whole_windows(words.first, size))
+                doc = np.searchsorted(words.first, place, "right") - 1
+                low = np.maximum(place - (window - size), words.first[doc])
+                high = np.minimum(place + window, words.first[doc + 1])
+                near = [raw[a:b].decode() for a, b in zip(at[low].tolist(), (at[high] - 1).tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(doc)), batch.column("mark").take(pa.array(doc)), pa.array(np.full(len(doc), size, np.int32)), pa.array(found[place].view(np.int64)), pa.array(place - words.first[doc]), pa.array((place - low).astype(np.int32)), pa.array(near, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "hash", "place", "lead", "near"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, mark string, size int, hash long, place long, lead int, near string")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """What tells rows apart that share a doc_id: equal texts have equal results."""
+    return docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), "text")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Windows that documents hold as (doc_id, mark, start, n, words), and (item_id, words, n) of all windows."""
+    windows = written(_windows(benchmark, window), "windows")
+    shingles = written(_window_shingles(windows, shingle), "shingles")
+    near = written(_near_hits(_marked(docs), *_bit_map(shingles), window, shingle), "near")
+    counts = near.groupBy("size", "hash").agg(F.count("*").alias("uses"))
+    told = shingles.join(counts, ["size", "hash"], "left").select("words", F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "hash", "offset", "size").alias("s"))
+    prefix = told.groupBy("words").agg(F.min("s").alias("s")).select("words", "s.size", "s.hash", "s.offset")
+    prefix = prefix.withColumn("n", F.size(F.split("words", " ")))
+    met = near.join(prefix, ["size", "hash"])
+    there = F.array_join(F.slice(F.split("near", " "), F.greatest(F.col("lead") - F.col("offset"), F.lit(0)) + 1, F.col("n")), " ")
+    hits = met.where((F.col("lead") >= F.col("offset")) & (there == F.col("words")))
+    return hits.select("doc_id", "mark", (F.col("place") - F.col("offset")).alias("start"), "n", "words").distinct(), windows
+
+
+def _join_large(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """As _join."""
+    hits, windows = _joined(docs, benchmark, window, shingle)
+    hits = written(hits, "hits")
+    span = F.struct("start", (F.col("start") + F.col("n")).alias("end"))
+    merged = F.aggregate(
+        F.array_sort("spans"),
+        F.array().cast("array<struct<start: long, end: long>>"),
+        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
+    )
+    runs = hits.groupBy("doc_id", "mark").agg(F.collect_set(span).alias("spans"))  # a document's own words bound them
+    items = hits.select("doc_id", "mark", "words").distinct().join(windows.select("item_id", "words"), "words").groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    both = runs.join(items.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), merged.alias("hits"), "items")
+    rows = _marked(docs).mapInArrow(_counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, n_words long")
+    found = rows.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    return found.select("doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(_words(batch.column("text")).counts(), pa.int64())], ["doc_id", "mark", "n_words"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs, all columns, without the rows whose text holds a window."""
+    block = _block(benchmark, window, shingle, block_windows)
+    if block is None:
+        hits = _joined(docs, benchmark, window, shingle)[0].select("doc_id", "mark").distinct()
+        return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == hits["mark"]), "left_anti")
+    if not block.windows:
+        return docs
+    block.keep_rarest(_rarity(docs, block))
+    block.pack()
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        probes = {size: _Probe(x[0]) for size, x in block.shingles.items()}
+        for batch in small_batches(batches):
+            words = _words(batch.column("text"))
+            clean = np.ones(batch.num_rows, bool)
+            clean[_hits(block, probes, words, words.hashes())[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -243,26 +359,14 @@ def _union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, hits, items, n_hit) for each row of docs; hits are runs of words of that row's text."""
-    parts = []
-    for block in _blocks(benchmark, window, shingle, block_windows):
-        block.keep_rarest(_rarity(docs, block))
+    block = _block(benchmark, window, shingle, block_windows)
+    if block is None:
+        out = _join_large(docs, benchmark, window, shingle)
+    else:
+        if block.windows:
+            block.keep_rarest(_rarity(docs, block))
         block.pack()
-        parts.append(_join(docs, block))
-    out, blocks = reduce(DataFrame.unionByName, parts or [_join(docs, None)]), len(parts)
-    if blocks > 1:
-        merged = F.aggregate(
-            F.array_sort(F.flatten(F.collect_list("hits"))),
-            F.array().cast("array<struct<start: long, end: long>>"),
-            lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-        )
-        # Each block gave every row once: equal rows of docs fold into one here and are dealt out again.
-        out = out.groupBy("doc_id", "mark").agg(
-            F.first("n_words").alias("n_words"),
-            merged.alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count("*") / blocks).cast("int").alias("rows"),
-        )
-        out = out.withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
+        out = _join(docs, block)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", "n_words", "hits", "items", n_hit.alias("n_hit"))
 

@@ -344,7 +344,7 @@ def test_packed_sets_round_trip():
 # Decontamination
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, cases):
+def test_a_large_benchmark_gives_the_same(spark, cases):
     docs, items = read(spark, cases), spark.read.parquet(f"{cases}/benchmark.parquet")
     key = lambda r: str((r.doc_id, r.n_words, r.n_hit, r.items, r.hits))
     whole = sorted(map(key, decontaminate.contamination(docs, items).collect()))
@@ -560,15 +560,13 @@ def test_records_without_offsets_and_many_at_one(spark):
     assert plan.where("node < 0").count() > 200
 
 
-def test_long_items_are_cut_at_windows(spark):
+def test_long_items_are_no_block(spark):
     long = " ".join(f"i{k}" for k in range(60))
     docs = spark.createDataFrame([(d, f"x {' '.join(long.split()[d : d + 12])} y") for d in range(0, 50, 5)] + [(99, "clean words only " * 9)], "doc_id long, text string")
     items = spark.createDataFrame([(1, long), (2, "i3 i4"), (3, long)], "item_id long, text string")
     key = lambda r: str((r.doc_id, r.n_words, r.n_hit, r.items, r.hits))
     want = sorted(map(key, decontaminate.contamination(docs, items).collect()))
-    for most in (7, 1):
-        blocks = list(decontaminate._blocks(items, 10, 5, most))
-        assert max(len(b.windows) for b in blocks) <= most
+    assert decontaminate._block(items, 10, 5, 102) is None and len(decontaminate._block(items, 10, 5, 103).windows) == 52
     assert sorted(map(key, decontaminate.contamination(docs, items, block_windows=30).collect())) == want
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, block_windows=30).collect()] == [99]
 
