@@ -13,7 +13,7 @@ from siltbed.llm.packing import op10_packing
 from siltbed.llm.pii import OP3_SQL, op3_personal_data
 from siltbed.llm.quality import OP1_SQL, op1_quality
 from siltbed.llm.secrets import OP8_SQL, op8_secrets
-from siltbed.llm.simhash import op5_simhash
+from siltbed.llm.simhash import OP5_SQL, op5_simhash
 from siltbed.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from siltbed.llm.tokens import op4_token_ids
 
@@ -34,6 +34,7 @@ ORACLES: dict[str, str] = {
     "op1_quality": OP1_SQL,
     "op2_fixity": OP2_SQL,
     "op3_personal_data": OP3_SQL,
+    "op5_simhash": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_secrets": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,

@@ -116,7 +116,8 @@ def trigram_query(pattern: str) -> Query:
                 continue
             op, arg = x
             if op is sre.SUBPATTERN:
-                parts.append(of(arg[-1]))
+                # Beyond ASCII other letters match k and s whatever the case: a part without regard to case demands nothing.
+                parts.append(None if arg[1] & re.IGNORECASE else of(arg[-1]))
             elif op is sre.BRANCH:
                 parts.append(_join("any", [of(branch) for branch in arg[1]]))
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] > 0:
@@ -125,7 +126,8 @@ def trigram_query(pattern: str) -> Query:
                 parts.append(of(arg))
         return _join("all", parts)
 
-    return of(parser.parse(pattern))
+    tree = parser.parse(pattern)
+    return None if tree.state.flags & re.IGNORECASE else of(tree)
 
 
 def trigrams(query: Query) -> set[bytes]:

@@ -283,3 +283,83 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) ->
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# XXH64 in SQL, as its definition has it: 64-bit arithmetic by way of 128 bits.
+_PRIMES = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+
+
+def _times(x: str, k: int) -> str:
+    return f"cast(cast({x} as uhugeint) * {_PRIMES[k]} % 18446744073709551616 as ubigint)"
+
+
+def _plus(*x: str) -> str:
+    return f"cast(({' + '.join(f'cast({y} as uhugeint)' for y in x)}) % 18446744073709551616 as ubigint)"
+
+
+def _turn(x: str, bits: int) -> str:
+    return f"cast(cast({x} as uhugeint) * {1 << bits} % 18446744073709551616 + (cast({x} as uhugeint) // {1 << 64 - bits}) as ubigint)"
+
+
+def _bytes(at: str, n: int) -> str:
+    """n bytes of the hexadecimal text x from byte `at` (from 0) on, the lowest first."""
+    return "cast('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in range(n - 1, -1, -1)) + " as ubigint)"
+
+
+def _stages() -> str:
+    """CTEs from `spelled` (s, x: hexadecimal, n: bytes) to `hashed` (s, h)."""
+    seeds = [(_SEED + _PRIMES[0] + _PRIMES[1]) % 2**64, (_SEED + _PRIMES[1]) % 2**64, _SEED, (_SEED - _PRIMES[0]) % 2**64]
+    lane = lambda v, k: _times("r" + str(k), 0)
+    out = [
+        "striped(s, x, n, i, v0, v1, v2, v3) as ("
+        f"select s, x, n, 0, {', '.join(f'cast({v} as ubigint)' for v in seeds)} from spelled where n >= 32 union all select s, x, n, i + 1, {', '.join(lane(None, k) for k in range(4))} from ("
+        f"select *, {', '.join(_turn(f'a{k}', 31) + f' as r{k}' for k in range(4))} from (select *, {', '.join(_plus(f'v{k}', _times(_bytes(f'32 * i + {8 * k}', 8), 1)) + f' as a{k}' for k in range(4))} from striped where i < n // 32)))"
+    ]
+    long = _plus(_turn("v0", 1), _turn("v1", 7), _turn("v2", 12), _turn("v3", 18))
+    out.append(f"begun as (select s, x, n, 0 as b, {_plus(str(_SEED), str(_PRIMES[4]), 'n')} as h from spelled where n < 32 union all select s, x, n, 32 * i, {_merged(long)} from striped where i = n // 32)")
+    last = "begun"
+    for k in range(3):
+        mixed = _times(_turn(_times(_bytes(f"b + {8 * k}", 8), 1), 31), 0)
+        out.append(f"lane{k} as (select s, x, n, b, case when (n - b) // 8 > {k} then {_plus(_times(_turn('y', 27), 0), str(_PRIMES[3]))} else h end as h from (select *, case when (n - b) // 8 > {k} then xor(h, {mixed}) end as y from {last}))")
+        last = f"lane{k}"
+    four = _times(_bytes("n // 8 * 8", 4), 0)
+    out.append(f"four as (select s, x, n, case when n % 8 >= 4 then {_plus(_times(_turn('y', 23), 1), str(_PRIMES[2]))} else h end as h from (select *, case when n % 8 >= 4 then xor(h, {four}) end as y from {last}))")
+    last = "four"
+    for k in range(3):
+        out.append(f"one{k} as (select s, x, n, case when n % 4 > {k} then {_times(_turn('y', 11), 0)} else h end as h from (select *, case when n % 4 > {k} then xor(h, {_times(_bytes(f'n // 4 * 4 + {k}', 1), 4)}) end as y from {last}))")
+        last = f"one{k}"
+    for k, (bits, prime) in enumerate(((33, 1), (29, 2))):
+        out.append(f"mixed{k} as (select s, {_times(f'xor(h, h >> {bits})', prime)} as h from {last})")
+        last = f"mixed{k}"
+    return ", ".join([*out, f"hashed as (select s, xor(h, h >> 32) as h from {last})"])
+
+
+def _merged(h: str) -> str:
+    for k in range(4):
+        h = _plus(_times(f"xor({h}, {_times(_turn(_times(f'v{k}', 1), 31), 0)})", 0), str(_PRIMES[3]))
+    return _plus(h, "n")
+
+
+OP5_SQL = rf"""
+with recursive doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents
+), shingle as (
+  select r, array_to_string(w[p:p + 2], ' ') as s from (select r, w, unnest(range(1, greatest(len(w) - 1, 2))) as p from doc where len(w) > 0)
+), spelled as (
+  select s, hex(encode(s)) as x, strlen(s) as n from (select distinct s from shingle)
+), {_stages()}
+, counted as (
+  select r, count(*) as n, {", ".join(f"count(*) filter (where (h >> {b}) & 1 = 1) as c{b}" for b in range(64))} from shingle join hashed using (s) group by r
+), print as (
+  select doc.r, doc_id, coalesce({" + ".join(f"(case when 2 * c{b} > n then cast({1 << b} as uhugeint) else 0 end)" for b in range(64))}, 0)::ubigint as fp from doc left join counted on doc.r = counted.r
+), node as (
+  select fp, min(doc_id) as least from print group by fp
+), near as (
+  select a.fp as a, b.fp as b from node a join node b on bit_count(xor(a.fp, b.fp)) <= 3
+), reached as (
+  select fp as a, fp as b from node union select reached.a, near.b from reached join near on reached.b = near.a
+), rooted as (
+  select a as fp, min(least) as component_id from reached join node on reached.b = node.fp group by a
+)
+select doc_id, printf('%016x', print.fp) as fingerprint, component_id from print join rooted on print.fp = rooted.fp
+"""

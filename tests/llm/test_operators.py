@@ -462,6 +462,7 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abc|x?)") is None
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("a[Bb]c") == b"abc"
+    assert secrets.trigram_query("(?i)token") is None and secrets.trigram_query("abc(?i:key)") == b"abc"
 
 
 def test_index_loses_no_match(spark, cases):
