@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,24 @@ def _resolved(spark: SparkSession, path: str):
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; Spark removes it when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/siltbed/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/siltbed/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     hadoop, system = _resolved(spark, path)
     system.deleteOnExit(hadoop)
     return path
 
 
+def sweep(spark: SparkSession, seconds: float = 7 * 86_400) -> int:
+    """Removes what other applications left (a driver that is killed removes nothing) and have not added to for so long; how many had."""
+    own = spark.sparkContext.applicationId
+    hadoop, system = _resolved(spark, f"{shared_folder(spark)}/siltbed")
+    if not system.exists(hadoop):
+        return 0
+    old = [x.getPath() for x in system.listStatus(hadoop) if x.getPath().getName() != own and x.getModificationTime() / 1000 < time.time() - seconds]
+    for path in old:
+        system.delete(path, True)
+    return len(old)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop, system = _resolved(spark, path)
     system.delete(hadoop, True)

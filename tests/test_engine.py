@@ -125,6 +125,18 @@ def test_missing_log_is_empty_and_size(spark):
     assert log.size(log.read(spark, path)).first().asDict() == {"records": 2, "bytes": 21 + 3 + 64 + 21 + 14}
 
 
+def test_sweep_removes_what_others_left(spark):
+    from siltbed.sources.folders import exists, remove_folder, shared_folder, sweep
+
+    mine = new_folder(spark, "mine")
+    spark.range(1).write.parquet(mine)
+    other = f"{shared_folder(spark)}/siltbed/some-other-application"
+    spark.range(1).write.parquet(f"{other}/left")
+    assert sweep(spark) == 0 and exists(spark, other)
+    assert sweep(spark, -60) >= 1 and not exists(spark, other) and exists(spark, mine)
+    remove_folder(spark, mine)
+
+
 def test_crc_is_ieee_over_the_record_layout(spark):
     import struct
     import zlib
