@@ -88,7 +88,7 @@ def _iban() -> str:
         countries = "|".join(c for c, n in sorted(IBAN_LENGTHS.items()) if n == length)
         return f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
 
-    return rf"\b(?:{'|'.join(map(branch, sorted(set(IBAN_LENGTHS.values()))))})\b"
+    return rf"(?:{'|'.join(map(branch, sorted(set(IBAN_LENGTHS.values()))))})\b"
 
 
 _always: Callable[[Column], Column] = lambda m: F.lit(True)
@@ -103,7 +103,7 @@ BASE = (
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: F.length(_digits(m)).between(10, 15), 60, "phone|call|tel|mobile"),
 )
 ADDED = (
-    Rule("iban", _iban(), "", mod97, 90, "iban|account|bank"),
+    Rule("iban", r"\b(?=[A-Z]{2}[0-9]{2})" + _iban(), "", mod97, 90, "iban|account|bank"),
     Rule("social", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "-", lambda m: ~m.rlike(_NO_SOCIAL), 30, "ssn|social"),
 )
 RULES = BASE + ADDED
@@ -182,7 +182,7 @@ _SQL_RULES = [
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: cast(x as hugeint) <= 255))"),
     ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_D}) between 14 and 19 and {_LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) between 10 and 15"),
-    ("iban", ADDED[0].pattern, _MOD97),
+    ("iban", r"\b" + _iban(), _MOD97),
     ("social", ADDED[1].pattern, f"not regexp_matches(m, '{_NO_SOCIAL}')"),
 ]
 OP3_SQL = f"""
