@@ -6,7 +6,7 @@ import threading
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.config import Config
@@ -183,17 +183,26 @@ class Store:
 
     # Upkeep
 
+    def _end(self) -> Row:
+        """(pos, bytes) of what is pending."""
+        return self._records().agg(F.max("pos").alias("pos"), F.sum(record_size(F.col("key"), F.col("value"), LOG_RECORD)).alias("bytes")).first()
+
     def flush(self, force: bool = True) -> bool:
         """Pending entries become a run of level 0; without force, only from config.flush_bytes on."""
         with self._lock:
-            records = self._records()
-            end = records.agg(F.max("pos").alias("pos"), F.sum(record_size(F.col("key"), F.col("value"), LOG_RECORD)).alias("bytes")).first()
+            self.refresh()
+            end = self._end()
             if end.pos is None or not force and end.bytes < self.config.flush_bytes:
                 return False
+            writing = self.writing
             self._claim()
+            if not writing:  # what was pending may be in another writer's run by now
+                end = self._end()
+                if end.pos is None:
+                    return False
             m = self.store.manifest
             run, m.next_run = m.next_run, m.next_run + 1
-            line = self.store.write(latest(entries(records.where(F.col("pos") <= end.pos))), 0, run, self.config.run_ndv)
+            line = self.store.write(latest(entries(self._records().where(F.col("pos") <= end.pos))), 0, run, self.config.run_ndv)
             m.runs.append(line)
             m.checkpoint, m.flushes = end.pos, m.flushes + 1
             self.store.retire(log.spent(self.spark, self.log_path, end.pos))
@@ -205,11 +214,14 @@ class Store:
     def compact(self, level: int) -> None:
         """All runs of a level and the next become one run of the next. Fails, and changes nothing, if an input can't be read."""
         with self._lock:
+            self.refresh()
+            if not self.store.listed([level]):
+                return
+            self._claim()
             m = self.store.manifest
-            old = [x for x in m.runs if x[0] in (level, level + 1)]
+            old = self.store.listed([level, level + 1])
             if not any(x[0] == level for x in old):
                 return
-            self._claim()
             bottom = not any(x[0] > level + 1 for x in m.runs) and (self.config.in_order or not m.foreign)
             run = m.next_run
             line = self.store.write(merged(self.store.read(only=old), [level, level + 1], bottom), level + 1, run, self.config.run_ndv)
@@ -222,6 +234,7 @@ class Store:
 
     def due(self) -> list[int]:
         """Levels to compact, from the manifest alone: level 0 by its runs, others but the last by their bytes."""
+        self.refresh()
         of = lambda level: [x for x in self.store.manifest.runs if x[0] == level]
         big = [n for n in range(1, self.config.levels - 1) if sum(x[5] for x in of(n)) > self.config.level1_bytes]
         return [0] * (len(of(0)) >= self.config.level0_runs) + big
@@ -246,6 +259,7 @@ class Store:
 
     def stats(self) -> dict[str, int]:
         with self._lock:
+            self.refresh()
             m = self.store.manifest
             size = self.pending().agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
             return self._counts | {"flush_count": m.flushes, "compactions": m.compactions, "bytes_compacted": m.bytes_compacted, "sstable_count": len(m.runs), "memtable_size": size or 0}
@@ -263,7 +277,9 @@ class Store:
         return self.spark.createDataFrame(lines, "level int, run_id long, entries long, bytes long, smallest binary, largest binary")
 
     def close(self) -> None:
-        self.flush()
+        """Flushes what this store has written; one that only read leaves the writer alone."""
+        if self.writing:
+            self.flush()
 
 
 class Upkeep:

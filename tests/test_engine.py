@@ -212,6 +212,22 @@ def test_second_writer_replaces_the_first(spark):
     assert Store(spark, folder).get(b"k") == b"b2"
 
 
+def test_upkeep_by_a_store_that_opened_earlier(spark):
+    folder = new_folder(spark, "t")
+    a = Store(spark, folder)
+    a.put(b"k", b"1")
+    b = Store(spark, folder)
+    a.flush()
+    a.put(b"k", b"2")
+    a.flush()
+    b.close()
+    a.put(b"l", b"1")  # b had written nothing, so a is still the writer
+    checkpoint = a.store.manifest.checkpoint
+    assert b.flush() and b.store.manifest.checkpoint > checkpoint and b.due() == []
+    b.compact(0)
+    assert pairs(Store(spark, folder).scan()) == [(b"k", b"2"), (b"l", b"1")] and len(b.store.manifest.runs) == 1
+
+
 @pytest.mark.parametrize("where", ["checkpoint", "end", "unmarked"])
 def test_writes_after_a_bad_record_are_read(spark, where):
     folder = new_folder(spark, "t")
