@@ -319,12 +319,12 @@ for i in range(1000):
         for line in running.stdout:
             if line.startswith("done"):
                 acknowledged = int(line.split()[1])
-            if acknowledged >= 6:
+            if acknowledged >= 4:
                 break
     finally:
         os.killpg(running.pid, signal.SIGKILL)
         running.wait()
-    assert acknowledged >= 6
+    assert acknowledged >= 4
     store = Store(spark, folder)
     want = {b"%03d:%d" % (i, k): b"v%d" % i for i in range(acknowledged + 1) for k in range(20)}
     got = dict(pairs(store.scan()))
@@ -346,10 +346,10 @@ def test_threads_read_their_own_writes(spark):
         return {bytes(r.key): bytes(r.value) for r in found} == dict(rows)
 
     with ThreadPoolExecutor(4) as pool:
-        assert all(pool.map(one, range(12)))
+        assert all(pool.map(one, range(5)))
     upkeep.stop()
-    assert store.scan().count() == 12 * 200 and upkeep.rounds > 0
-    assert store.stats()["writes"] == 12 * 200 == store.stats()["reads"]
+    assert store.scan().count() == 5 * 200 and upkeep.rounds > 0
+    assert store.stats()["writes"] == 5 * 200 == store.stats()["reads"]
 
 
 def test_percentiles_and_rates(spark):
