@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.shared import BATCH_BYTES, bounded_batches, written
-from siltbed.llm.words import LOWER, Numbers, Words, find_words, kept, small_batches, span_hashes, utf8
+from siltbed.llm.words import LOWER, Numbers, Words, find_words, kept, release, small_batches, span_hashes, utf8
 
 UNKNOWN = "und"
 #: Bytes of words: letters, digits, and all bytes of characters beyond ASCII.
@@ -49,7 +49,9 @@ _BUCKETS = 1 << 16
 #: Slots for 4-grams as a power of two, 4-grams below which a text isn't judged, and the share of what a language's own texts have.
 _SLOTS, _FEW, FAMILIAR = 22, 40, 0.6
 #: Numbers that an array over words and languages may have.
-_CELLS = 6_000_000
+_CELLS = 4_000_000
+#: Texts of so many words go by blocks, unless languages are so many that blocks' matrices cost more than steps.
+_LONG, _MOST_BLOCKED = 20_000, 32
 
 
 @dataclass(frozen=True)
@@ -324,7 +326,10 @@ class _Scorer:
 
     def _weights(self, number: np.ndarray) -> np.ndarray:
         seen = self.table[number]
-        return np.exp(seen - seen.max(axis=1, keepdims=True)) if len(seen) else seen
+        if len(seen):
+            seen -= seen.max(axis=1, keepdims=True)
+            np.exp(seen, out=seen)
+        return seen
 
     def _stretched(self, numbers: list[np.ndarray], label: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """One text's chain in parts: the messages at each part's start are kept, and each part is gone through again on the way back."""
@@ -380,6 +385,51 @@ class _Scorer:
             elif part is not None:
                 yield part, count
 
+    def _blocked(self, weights: np.ndarray) -> np.ndarray:
+        """Word probabilities of one long text in some six times the square root of its words steps.
+
+        Each block's words make one matrix, all blocks at once; messages go from block to block by these, then within all blocks at once.
+        """
+        n, k = weights.shape
+        length = max(1, int(np.ceil(np.sqrt(n))))
+        blocks = -(-n // length)
+        w = np.ones((blocks * length, k), np.float32)
+        w[:n] = weights
+        w = w.reshape(blocks, length, k)
+        rest = n - (blocks - 1) * length  # words of the last block
+        full = lambda t: blocks if t < rest else blocks - 1
+        products = np.broadcast_to(np.eye(k, dtype=np.float32), (blocks, k, k)).copy()
+        for t in range(length):
+            m = full(t)
+            x = (products[:m] @ self.step) * w[:m, t, None, :]
+            products[:m] = x / x.sum(axis=(1, 2), keepdims=True)
+        ahead = np.empty_like(w)
+        x = self.first
+        for t in range(min(length, n)):
+            x = w[0, t] * (x @ self.step if t else x)
+            x = ahead[0, t] = x / x.sum()
+        starts = np.empty((blocks, k), np.float32)
+        for b in range(1, blocks):
+            starts[b] = x
+            x = x @ products[b]
+            x = x / x.sum()
+        x = starts[1:]
+        for t in range(length):
+            m = full(t) - 1
+            x = w[1 : m + 1, t] * (x[:m] @ self.step)
+            x = ahead[1 : m + 1, t] = x / x.sum(axis=1, keepdims=True)
+        back = np.ones((blocks, k), np.float32)
+        for b in range(blocks - 1, 0, -1):
+            y = products[b] @ back[b]
+            back[b - 1] = y / y.sum()
+        for t in range(length - 1, -1, -1):
+            m = full(t)
+            both = ahead[:m, t] * back[:m]
+            ahead[:m, t] = both / both.sum(axis=1, keepdims=True)
+            y = (back[:m] * w[:m, t]) @ self.step.T
+            back[:m] = y / y.sum(axis=1, keepdims=True)
+        return ahead.reshape(-1, k)[:n]
+
     def _alone(self, words: Words, label: bool) -> _Found:
         each = max(1, _CELLS // len(self.first))
         numbers, quads = [], np.zeros(2, np.int64)
@@ -396,10 +446,12 @@ class _Scorer:
     def _together(self, number: np.ndarray, count: np.ndarray, label: bool) -> _Found:
         k = len(self.first)
         seen = self._weights(number)
-        order = np.argsort(-count, kind="stable")
         ends = np.cumsum(count)
+        long = (count >= _LONG) & (k <= _MOST_BLOCKED)
+        steps = np.where(long, 0, count)  # long texts take no part in the steps of the others
+        order = np.argsort(-steps, kind="stable")
         begin = (ends - count)[order]
-        size = count[order]
+        size = steps[order]
         longest = int(size[0]) if len(size) else 0
         alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # documents with a word at each place
         ahead = np.empty_like(seen)
@@ -424,8 +476,16 @@ class _Scorer:
             back[:n] = y / y.sum(axis=1, keepdims=True)
         out = np.zeros((len(size), k))
         out[order] = total / np.maximum(size, 1)[:, None]
-        upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.familiar[number], axis=0, dtype=np.int64)])
-        quads = upto[ends] - upto[ends - count]
+        for d in np.flatnonzero(long).tolist():
+            chance = self._blocked(seen[ends[d] - count[d] : ends[d]])
+            out[d] = chance.mean(axis=0, dtype=np.float64)
+            if labels is not None:
+                labels[ends[d] - count[d] : ends[d]] = chance.argmax(axis=1)
+        quads = np.zeros((len(count), 2), np.int64)
+        some = np.flatnonzero(count)
+        if len(some):
+            for j in (0, 1):
+                quads[some, j] = np.add.reduceat(self.familiar[:, j][number], (ends - count)[some], dtype=np.int64)
         return _Found(out, quads[:, 0], quads[:, 1], labels, count)
 
 
@@ -465,6 +525,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 runs[best < 0] = 0
             names = [UNKNOWN if x < 0 else model.languages[x] for x in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(runs)], ["doc_id", "lang_pred", "score", "n_runs"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_runs long")
 
@@ -523,6 +584,7 @@ def prevailing(docs: DataFrame, model: Model | None) -> DataFrame:
             best, _, found = _scored(model, batch.column(batch.schema.get_field_index("text")))
             like = (found.quads < _FEW) | (found.seen >= model.least[best] * found.quads)
             yield batch.filter(pa.array((best >= 0) & like))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -45,7 +45,7 @@ _MOST_SHARDS = 50_000
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
 #: Of the memo of a worker: slots at first as a power of two, the most pieces, after which it starts anew (one text may have more), and the octets of the longest.
-_MEMO_BITS, _MEMO_PIECES, _MEMO_OCTETS = 20, 600_000, 3
+_MEMO_BITS, _MEMO_PIECES, _MEMO_OCTETS = 20, 500_000, 3
 #: Written by the shard writer; a smaller row group or page makes selective reads cheaper and full reads dearer.
 LAYOUT = {
     "compression": "zstd",

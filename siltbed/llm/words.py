@@ -5,6 +5,9 @@ Every alphabet used here puts all bytes from 0x80 on one side, so classes of byt
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -21,10 +24,19 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a worker process keeps between tasks: the last object only, so that memos of several operators don't add up."""
     if key not in _kept:
         _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the machine: the next operator's worker may be this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _class(separators: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, bool)
     for low, high in separators:

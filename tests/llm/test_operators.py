@@ -430,6 +430,19 @@ def test_long_chains_in_stretches_give_the_same(monkeypatch):
         assert got.quads.tolist() == want.quads.tolist() and got.seen.tolist() == want.seen.tolist()
 
 
+def test_long_texts_by_blocks_give_the_same(monkeypatch):
+    model = language.train(EN + DE, ["en"] * 16 + ["de"] * 16)
+    rng = np.random.default_rng(8)
+    texts = pa.array([" ".join(rng.choice(" ".join(EN + DE).split(), n)) for n in (599, 600, 601, 1000, 3137, 40, 1)])
+    monkeypatch.setattr(language, "_MOST_BLOCKED", 0)
+    want = language._Scorer(model).documents(texts, label=True)
+    monkeypatch.setattr(language, "_MOST_BLOCKED", 32)
+    for least in (1, 2, 600):
+        monkeypatch.setattr(language, "_LONG", least)
+        got = language._Scorer(model).documents(texts, label=True)
+        assert np.allclose(got.chance, want.chance, atol=1e-4) and (got.labels != want.labels).mean() < 1e-3
+
+
 def test_sample_keeps_every_language(spark):
     rows = [(7, f"ein text {i}", "de") for i in range(900)] + [(1000 + i, f"a text {i}", "en") for i in range(300)] + [(None, f"un texto {i}", "es") for i in range(300)]
     rows += [(8, "equal rows", "fr")] * 300 + [(9, None, "en"), (10, "no label", None), (11, "rare", "xx")]
