@@ -267,10 +267,12 @@ def surplus(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of docs, all its columns, for each component: the first as surplus() has it. Unlike rows that share a doc_id, or have none, all stay."""
+    # Both sides are dealt by key whatever their size: the surplus may be a third of all rows, and the plan is the same at every scale.
     found = written(surplus(docs, shingle, bits), "near")
+    dealt = found.hint("merge")
     key = text_key(docs)
     same = lambda keys: docs["doc_id"].eqNullSafe(keys["near_id"]) & (key == keys["near_key"])
-    once = docs.join(found, same(found), "left_anti")
+    once = docs.join(dealt, same(dealt), "left_anti")
     again = found.where("again")
     place = "_place"
     while place in map(str.lower, docs.columns):
@@ -342,7 +344,8 @@ def _merged(h: str) -> str:
 
 OP5_SQL = rf"""
 with recursive doc as (
-  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents
 ), shingle as (
   select r, array_to_string(w[p:p + 2], ' ') as s from (select r, w, unnest(range(1, greatest(len(w) - 1, 2))) as p from doc where len(w) > 0)
 ), spelled as (
