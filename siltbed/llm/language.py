@@ -10,7 +10,8 @@ Labelled words: label_words gives the runs of words of one language, with their
 Training takes labelled rows, at most `per_language` for each language (those with the least hash of doc_id and text, so the
 choice doesn't depend on order or partitions, and a null doc_id counts like any other), for at most `languages` languages (those with the most
 sampled rows, then by name; others are never predicted), cuts them to short segments, and joins
-segments of different documents to sequences, so that switches occur and their rate is learned. The lexicon takes the `lexicon` most frequent
+segments of different documents to sequences, so that switches occur and their rate is learned. If the sampled texts have over `characters`
+together, only the beginning of the long ones is learned from, an equal share for each text; prediction always reads whole texts. The lexicon takes the `lexicon` most frequent
 words of all languages together. That bounded sample is all that reaches the driver, and the model that is broadcast has a fixed size.
 Everything else is one streaming pass, in batches that shrink as languages grow in number; a text of more words than a batch
 should have is scored in stretches that carry the chain's messages.
@@ -60,6 +61,8 @@ class Training:
 
     per_language: int = 200
     languages: int = 400
+    characters: int = 4_000_000  # of all sampled texts together; beyond, each text's first ones, `least_characters` at least
+    least_characters: int = 2_000
     segments: int = 16  # of a document
     segment: int = 12  # words
     joined: int = 3  # segments in a sequence
@@ -260,11 +263,15 @@ def sample(docs: DataFrame, settings: Training = Training()) -> tuple[list[str],
     bounded_batches(docs.sparkSession)
     labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text").withColumn("_hash", F.xxhash64(F.lit(17), "doc_id", "text"))
     best = lambda rows, *order: rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_rank") <= settings.per_language).drop("_rank")
-    chosen = written(best(labelled.select("lang", "_hash"), "_hash"), "sample")
-    found = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(settings.languages).collect()
+    chosen = written(best(labelled.select("lang", "_hash", F.length("text").cast("long").alias("_size")), "_hash"), "sample")
+    found = chosen.groupBy("lang").agg(F.count("*").alias("n"), F.sum("_size").alias("size")).orderBy(F.col("n").desc(), "lang").limit(settings.languages).collect()
     # At most per_language rows for each of `languages`: broadcast whatever the table's size.
-    keys = F.broadcast(chosen.where(F.col("lang").isin([r.lang for r in found])).distinct())
-    rows = best(labelled.join(keys, ["lang", "_hash"], "left_semi"), "_hash", "doc_id", "text").collect()
+    keys = F.broadcast(chosen.where(F.col("lang").isin([r.lang for r in found])).select("lang", "_hash").distinct())
+    sampled = labelled.join(keys, ["lang", "_hash"], "left_semi")
+    if sum(r.size for r in found) > settings.characters:  # rows alone bound nothing: a text may have any length
+        share = max(settings.least_characters, settings.characters // sum(r.n for r in found))
+        sampled = sampled.withColumn("text", F.substring("text", 1, share))
+    rows = best(sampled, "_hash", "doc_id", "text").collect()
     rows.sort(key=lambda r: (r.lang, r._hash, r.text))
     return [r.text for r in rows], [r.lang for r in rows]
 

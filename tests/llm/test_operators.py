@@ -453,6 +453,16 @@ def test_sample_keeps_every_language(spark):
     assert language.sample(docs.repartition(7), language.Training(per_language=5, languages=2)) == some
 
 
+def test_sample_of_long_texts_is_bounded(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 30000) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    short = spark.createDataFrame([(100, "a short text", "en"), (101, "ein kurzer text", "de")], "doc_id long, text string, lang string")
+    texts, labels = language.sample(docs.unionByName(short))
+    assert Counter(labels) == {"en": 21, "de": 21} and {"a short text", "ein kurzer text"} <= set(texts)
+    assert sum(map(len, texts)) <= 4_000_000 and min(len(x) for x in texts if "word" in x) > 90_000
+    whole = docs.where("doc_id < 4").collect()
+    assert sorted(language.sample(docs.where("doc_id < 4"))[0]) == sorted(r.text for r in whole)
+
+
 def test_texts_like_none_that_was_learned_go(spark):
     docs = read(spark, "/root/testdata/sf0.01").where("lang is not null").orderBy("doc_id").limit(900)
     model = language.train(*language.sample(docs.where(~language.held_out())))
