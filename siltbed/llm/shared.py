@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from siltbed.sources.folders import new_folder
 
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches of this session have 8 MB instead of the default 64 MB; a limit that the user has set stays.
+    """Lets Arrow batches of this session have 4 MB instead of the default 64 MB; a limit that the user has set stays.
 
     Both the JVM and the Python worker of each task hold a batch, several times while it grows.
     """

@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.shared import bounded_batches, shares, text_bytes
-from siltbed.llm.words import Numbers, Octets, hash_octets, kept, octets, small_batches, span_octets, utf8
+from siltbed.llm.words import Numbers, Octets, hash_octets, kept, octets, release, small_batches, span_octets, utf8
 from siltbed.sources.folders import new_folder
 
 #: Beyond so many, shards grow instead: the manifest stays a table that a driver can hold.
 _MOST_SHARDS = 50_000
+#: Octets of text that are encoded at once: arrays over their pieces take many times as much.
+_TEXT_BYTES = 256 << 10
 #: Pieces that are encoded at once; the library's results are much larger than their ids.
 _AT_ONCE = 5_000
 #: Of the memo of a worker: slots at first as a power of two, the most pieces, after which it starts anew (one text may have more), and the octets of the longest.
@@ -238,7 +240,7 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, place = MemoTokenizer.of(shared.value), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=_TEXT_BYTES):
             ids, bounds = with_end(*encoder.encode(batch.column("text")), end_id)
             size = np.diff(bounds)
             yield pa.RecordBatch.from_arrays(
@@ -252,6 +254,7 @@ def write_shards(docs: DataFrame, definition: str, end_id: int, path: str, shard
                 ["shard", "place", "doc_id", "n_tokens", "ids"],
             )
             place += int(bounds[-1])
+        release()
 
     total = text_bytes(docs)
     n = shares(total, max(shard_bytes, total // _MOST_SHARDS), spark.sparkContext.defaultParallelism)
