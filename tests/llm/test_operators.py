@@ -443,6 +443,19 @@ def test_long_texts_by_blocks_give_the_same(monkeypatch):
         assert np.allclose(got.chance, want.chance, atol=1e-4) and (got.labels != want.labels).mean() < 1e-3
 
 
+def test_scoring_a_batch_takes_little_memory():
+    import tracemalloc
+
+    model = language.train(["the cat sat on that mat"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
+    scorer = language._Scorer(model)
+    texts = pa.array(["the cat and der hund " * 200] * 1500)
+    tracemalloc.start()
+    scorer.documents(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 46_000_000, peak
+
+
 def test_sample_keeps_every_language(spark):
     rows = [(7, f"ein text {i}", "de") for i in range(900)] + [(1000 + i, f"a text {i}", "en") for i in range(300)] + [(None, f"un texto {i}", "es") for i in range(300)]
     rows += [(8, "equal rows", "fr")] * 300 + [(9, None, "en"), (10, "no label", None), (11, "rare", "xx")]
