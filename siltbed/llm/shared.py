@@ -11,15 +11,20 @@ from siltbed.sources.folders import new_folder
 
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 BATCH_BYTES = 4 << 20
+_READ_ROWS, _READ_DEFAULT = "spark.sql.parquet.columnarReaderBatchSize", 4096
+#: Rows that Parquet's reader decodes at once: a task holds all their texts, which may have megabytes each.
+READ_ROWS = 64
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches of this session have 4 MB instead of the default 64 MB; a limit that the user has set stays.
+    """Lets Arrow batches of this session have 4 MB instead of the default 64 MB, and the reader's 64 rows instead of 4096; a limit that the user has set stays.
 
     Both the JVM and the Python worker of each task hold a batch, several times while it grows.
     """
     if spark.conf.get(_LIMIT).rstrip("b") == str(_DEFAULT):
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    if spark.conf.get(_READ_ROWS) == str(_READ_DEFAULT):
+        spark.conf.set(_READ_ROWS, str(READ_ROWS))
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

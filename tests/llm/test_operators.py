@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltbed.llm import decontaminate, language, merkle, packing, pii, quality, secrets, simhash, substring_dedup, tokens, words
+from siltbed.llm import decontaminate, language, merkle, packing, pii, quality, secrets, shared, simhash, substring_dedup, tokens, words
 from siltbed.llm.components import components, forest
 from siltbed.llm.queries import QUERIES
 from siltbed.sources.folders import new_folder
@@ -730,3 +730,18 @@ def test_bodies_of_private_keys_take_linear_time(ends):
     head = "-----BEGIN PRIVATE KEY-----"
     for text in (head * 20_000, head + "\n" * 500_000, (head + "\n" * 50) * 10_000, head + "A" * 500_000 + "-" * 500_000, head + "A b" * 300_000, head + "\nAAAAAAAAAAAAAAAA" * 30_000 + "\n" * 300_000 + "."):
         assert len(list(secrets._masked_spans(rule, re.compile(rule.pattern), text))) == text.count(head)
+
+
+def test_reader_decodes_few_texts_at_once(spark, tmp_path):
+    """A task holds all texts of a reader's batch: at 4096 rows a batch, texts of 600,000 characters ended the executor."""
+    shared.bounded_batches(spark)
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    df.collect()
+    todo, batches = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "ColumnarToRow":
+            batches += node.metrics().get("numInputBatches").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert batches >= 1000 / shared.READ_ROWS
