@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.scalar import RUN_RECORD, record_size
 from siltbed.operators.resolve import latest
-from siltbed.sources.folders import sliced
+from siltbed.sources.folders import sliced, written
 
 
 def run_metadata(runs: DataFrame) -> DataFrame:
@@ -87,30 +87,76 @@ def bloom_size(keys: int, rate: float = 0.01) -> tuple[int, int]:
     return bits, max(1, min(20, round(bits / max(keys, 1) * math.log(2))))
 
 
-def _positions(key: Column, bits: Column, hashes: int) -> Column:
+#: Keys of the largest run that a slice of the filters has.
+SLICE_KEYS = 1_000
+
+
+def _slice(key: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(2), key), F.lit(slices)).alias("slice")
+
+
+def _hashes(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("one"), F.xxhash64(F.lit(1), key).alias("two"))
+
+
+def _positions(hashed: Column, bits: Column, hashes: int) -> Column:
     """Double hashing: position i is (h1 + i * h2) modulo the bits."""
-    first, second = F.pmod(F.xxhash64(key), bits), F.pmod(F.xxhash64(F.lit(1), key), bits)
+    first, second = F.pmod(hashed["one"], bits), F.pmod(hashed["two"], bits)
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(first + i * second, bits))
 
 
+def _may_have(hashed: Column, bits: Column, words: Column, hashes: int) -> Column:
+    word = lambda at: F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
+    return F.forall(_positions(hashed, bits, hashes), lambda at: F.call_function("shiftright", word(at), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
 def bloom_build(runs: DataFrame, bits_per_key: float = 9.6, hashes: int = 10) -> DataFrame:
-    """(run_id, bits, word, mask): the words of 64 bits of each run's filter that aren't zero.
+    """(slices, slice, run_id, bits, words): each run's filter in slices by a hash of the key, the same hash for all runs; words of 64 bits.
 
-    Built by partial bit_or, so a word leaves each task once; the filter of one run may be larger than any task's memory.
+    A key is shuffled once, to its slice, where its bits are set; the filter of one run may be larger than any task's memory. Written, as
+    probes read it more than once.
     """
-    size = runs.groupBy("run_id").agg(F.greatest(F.floor(F.count("*") * bits_per_key), F.lit(64)).cast("long").alias("bits"))
-    set_ = runs.join(few(size), "run_id").select("run_id", "bits", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    return set_.groupBy("run_id", "bits", F.floor(F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(one).alias("mask"))
+    largest = runs.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    slices = max(1, math.ceil(largest / SLICE_KEYS))
+    dealt = runs.select("run_id", "key", _slice(F.col("key"), slices)).repartition("slice")
+    keys = dealt.groupBy("run_id", "slice").agg(F.count("*").alias("n"), F.collect_list(_hashes(F.col("key"))).alias("hashed"))
+    keys = keys.withColumn("bits", F.greatest(F.floor(F.col("n") * bits_per_key), F.lit(64)).cast("long"))
+    mask = lambda at: F.struct(F.floor(at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("mask"))
+    own = F.transform(F.flatten(F.transform("hashed", lambda h: _positions(h, F.col("bits"), hashes))), mask)
+    none = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bits") - 1) / 64).cast("long")), lambda w: F.struct(w.alias("word"), F.lit(0).cast("long").alias("mask")))
+    set_ = keys.select("run_id", "slice", "bits", F.explode(F.concat(own, none)).alias("at")).groupBy("run_id", "slice", "bits", "at.word").agg(F.bit_or("at.mask").alias("mask"))
+    words = F.sort_array(F.collect_list(F.struct("word", "mask")))["mask"].alias("words")
+    return written(set_.groupBy("run_id", "slice", "bits").agg(words).select(F.lit(slices).alias("slices"), "slice", "run_id", "bits", "words"), "bloom")
+
+
+def _slices(bloom: DataFrame) -> int:
+    one = bloom.select("slices").first()
+    return one.slices if one else 1
 
 
 def bloom_probe(bloom: DataFrame, probes: DataFrame, bounds: DataFrame, hashes: int = 10) -> DataFrame:
-    """(run_id, key, maybe) for each probe key and each run whose bounds hold it: False is certain. No row: the bounds rule the run out."""
-    bits = few(bloom.select("run_id", "bits").distinct())
-    asked = candidate_runs(bounds, probes.select("key").distinct()).join(bits, "run_id").select("run_id", "key", F.explode(_positions(F.col("key"), F.col("bits"), hashes)).alias("at"))
-    asked = asked.withColumn("word", F.floor(F.col("at") / 64).cast("long"))
-    bit = F.call_function("shiftright", F.coalesce("mask", F.lit(0).cast("long")), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1))
-    return asked.join(bloom.select("run_id", "word", "mask"), ["run_id", "word"], "left").groupBy("run_id", "key").agg(F.bool_and(bit == 1).alias("maybe"))
+    """(run_id, key, maybe) for each probe key and each run whose bounds hold it: False is certain. No row: the bounds rule the run out.
+
+    A key is shuffled once for all runs, to its slice, which has the slices of all their filters; its rows for each run are made there.
+    """
+    asked = probes.select("key").distinct().select("key", _slice(F.col("key"), _slices(bloom)))
+    filters = bloom.groupBy("slice").agg(F.collect_list(F.struct("run_id", "bits", "words")).alias("filters"))
+    every = bloom.agg(F.collect_set("run_id").alias("every"))  # one row
+    told = asked.join(filters, "slice", "left").join(F.broadcast(every)).withColumn("hashed", _hashes(F.col("key")))
+    answer = lambda run, maybe: F.struct(run.alias("run_id"), maybe.alias("maybe"))
+    some = F.transform("filters", lambda f: answer(f["run_id"], _may_have(F.col("hashed"), f["bits"], f["words"], hashes)))
+    # Runs that have no key in the slice have no filter there.
+    none = F.transform(F.array_except("every", F.coalesce(F.transform("filters", lambda f: f["run_id"]), F.array().cast(every.schema["every"].dataType))), lambda run: answer(run, F.lit(False)))
+    told = told.select("key", F.explode(F.coalesce(F.concat(some, none), none)).alias("told")).select("key", "told.*")
+    edges = few(bounds.select("run_id", "smallest", "largest"))
+    return told.join(edges, "run_id").where(F.col("key").between(F.col("smallest"), F.col("largest"))).select("run_id", "key", "maybe")
+
+
+def bloom_own(bloom: DataFrame, keys: DataFrame, hashes: int = 10) -> DataFrame:
+    """(run_id, key, maybe) for keys (run_id, key), each asked of its run's filter alone."""
+    asked = keys.select("run_id", "key", _slice(F.col("key"), _slices(bloom)))
+    told = asked.join(bloom.select("slice", "run_id", "bits", "words"), ["slice", "run_id"], "left")
+    return told.select("run_id", "key", F.coalesce(_may_have(_hashes(F.col("key")), F.col("bits"), F.col("words"), hashes), F.lit(False)).alias("maybe"))
 
 
 def answering_run(runs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from siltbed.operators import compact, index, reads, resolve, stats
 from siltbed.plans import load
 from siltbed.plans.fixtures import OPS_SQL, count, operations, runs
 from siltbed.sources import log
-from siltbed.sources.folders import new_folder
+from siltbed.sources.folders import new_folder, written
 from siltbed.sources.runs import RunStore
 from siltbed.streaming.flush import latest_stream, log_stream, streamed_runs
 
@@ -376,9 +376,9 @@ def q25(spark, sf_dir):
 )
 def q26(spark, sf_dir):
     """Of each run's filter: all its keys are found, and of keys that no run has at least nine in ten are rejected."""
-    r = runs(spark, sf_dir)
+    r = written(runs(spark, sf_dir).select("run_id", "level", "key"), "keys")
     bloom, bounds = index.bloom_build(r), index.run_bounds(r)
-    own = index.bloom_probe(bloom, r, bounds).join(r.select("run_id", "key"), ["run_id", "key"]).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.count_if("maybe").alias("n_found"))
+    own = index.bloom_own(bloom, r).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.count_if("maybe").alias("n_found"))
     other = r.select(F.concat("key", F.lit("-absent")).alias("key"))  # mostly within the bounds
     spared = index.bloom_probe(bloom, other, bounds).groupBy("run_id").agg((F.count_if(~F.col("maybe")) >= 0.9 * F.count("*")).alias("rejects_90_percent"))
     return own.join(spared, "run_id")
