@@ -410,6 +410,17 @@ def test_random_logs_against_a_dict(spark, ops, n_runs):
     assert dict(pairs(resolve.live(whole))) == want
 
 
+def test_row_groups_have_no_more_keys_than_their_filters_are_for(spark):
+    """A run of 40 times as many keys as its filter was sized for let every probe through."""
+    store = RunStore(spark, new_folder(spark, "t"))
+    rows = spark.range(40_000).select(formatted_key("key:", F.col("id") * 2, 8).cast("binary").alias("key"), F.lit(b"v").alias("value"), F.lit(False).alias("tombstone"), F.lit(1).cast("long").alias("seq"))
+    store.manifest.runs.append(store.write(rows, 0, 0, 1_000))
+    absent = [bytearray(b"key:%08d" % (2 * i * 1900 + 1)) for i in range(20)]
+    read = sum(scanned(store.read(**{"parquet.filter.columnindex.enabled": "false"}).where(F.col("key") == k)) for k in absent)
+    assert read <= 3 * 1_000
+    assert store.read().count() == 40_000
+
+
 def test_bloom_probes_are_not_shuffled_by_bit(spark):
     """A row for each bit of each run asked took 0.56 GB of disk over 6 MB of events."""
     from siltbed.sources.folders import written
