@@ -18,6 +18,9 @@ from siltbed.operators.stats import as_json
 from siltbed.sources import log
 from siltbed.sources.runs import Replaced, RunStore
 
+#: Records of a log file, where a batch has more.
+FILE_RECORDS = 100_000
+
 
 class Store:
     """All state is in the folder: a log, runs and a manifest. Opening a folder recovers it.
@@ -88,7 +91,9 @@ class Store:
         """
         with self._lock:
             long = F.octet_length(F.col("key").cast("binary"))
-            if records.where(F.col("key").isNull() | (long < 1) | (long > self.config.key_bytes) | ~F.col("op").isin("PUT", "DELETE")).limit(1).count():
+            wrong = F.col("key").isNull() | (long < 1) | (long > self.config.key_bytes) | ~F.col("op").isin("PUT", "DELETE")
+            told = records.agg(F.count_if(wrong).alias("wrong"), F.count("*").alias("n")).first()
+            if told.wrong:
                 raise ValueError(f"a key must have 1 to {self.config.key_bytes} bytes, and op be PUT or DELETE")
             self._claim()
             m = self.store.manifest
@@ -99,17 +104,19 @@ class Store:
             seq = F.col("seq") if "seq" in records.columns else place + m.next_seq
             value = F.when(F.col("op") == "PUT", F.col("value")).cast("binary")
             rows = records.select("op", seq.cast("long").alias("seq"), "key", value.alias("value"), (place + m.next_pos).alias("pos"), F.lit(m.epochs[-1][0]).cast("long").alias("epoch"))
+            if told.n > FILE_RECORDS:  # a batch may lie in one task, and each file of the log is read by one
+                rows = rows.repartition(-(-told.n // FILE_RECORDS), "pos")
             put = F.col("op") == "PUT"
             size = F.octet_length(F.col("key").cast("binary")) + F.coalesce(F.octet_length("value"), F.lit(0))
             seen = Observation()
             seen_rows = rows.observe(seen, F.max("pos").alias("pos"), F.max("seq").alias("seq"), F.count_if(put).alias("puts"), F.count_if(~put).alias("deletes"), F.sum(F.when(put, size)).alias("bytes"))
             log.append(seen_rows, self.log_path)
-            told = seen.get
-            m.next_pos = max(m.next_pos, (told["pos"] or 0) + 1)
-            m.next_seq = max(m.next_seq, (told["seq"] or 0) + 1)
-            self._counts["writes"] += told["puts"]
-            self._counts["deletes"] += told["deletes"]
-            self._counts["bytes_written"] += told["bytes"] or 0
+            wrote = seen.get
+            m.next_pos = max(m.next_pos, (wrote["pos"] or 0) + 1)
+            m.next_seq = max(m.next_seq, (wrote["seq"] or 0) + 1)
+            self._counts["writes"] += wrote["puts"]
+            self._counts["deletes"] += wrote["deletes"]
+            self._counts["bytes_written"] += wrote["bytes"] or 0
 
     def put_all(self, records: DataFrame) -> None:
         """records (key, value): of a key that comes more than once, the last in the DataFrame's order counts."""
@@ -202,7 +209,8 @@ class Store:
                     return False
             m = self.store.manifest
             run, m.next_run = m.next_run, m.next_run + 1
-            line = self.store.write(latest(entries(self._records().where(F.col("pos") <= end.pos))), 0, run, self.config.run_ndv)
+            # What _end() has found intact isn't checked again.
+            line = self.store.write(latest(entries(self._log().where(F.col("pos") <= end.pos))), 0, run, self.config.run_ndv)
             m.runs.append(line)
             m.checkpoint, m.flushes = end.pos, m.flushes + 1
             self.store.retire(log.spent(self.spark, self.log_path, end.pos))

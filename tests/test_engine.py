@@ -451,3 +451,18 @@ def written_rows(df):
             rows += node.metrics().get("shuffleRecordsWritten").get().value()
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return rows
+
+
+def test_a_batch_of_one_task_is_many_files_of_the_log(spark, monkeypatch):
+    """A batch that lay in one task made one file, so each later pass over the log was one task's work."""
+    from siltbed import engine
+
+    monkeypatch.setattr(engine, "FILE_RECORDS", 1_000, raising=False)
+    store = Store(spark, new_folder(spark, "t"))
+    rows = spark.range(5_000).coalesce(1).select(F.format_string("k%04d", F.col("id") % 3_000).cast("binary").alias("key"), F.col("id").cast("string").cast("binary").alias("value"))
+    store.put_all(rows)
+    assert len({r.file for r in spark.read.parquet(store.log_path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()}) >= 3
+    assert store.get(b"k0001") == b"3001" and store.get(b"k2999") == b"2999"
+    store.flush()
+    assert store.get(b"k0001") == b"3001" and store.scan().count() == 3_000
+    assert store.stats()["writes"] == 5_000
